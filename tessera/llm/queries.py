@@ -26,6 +26,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("host_rate", 6).alias("host_rate"), "kept")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per row of documents: its class (the smallest doc_id in it) and the rows of the class."""
+    from tessera.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_docs")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per row of documents: size, source_size, target, taken."""
     from tessera.llm.mixing import mix
@@ -66,6 +73,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_near_dedup": op3_near_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op7_line_dedup": op7_line_dedup,
     "op8_harmonic_packing": op8_harmonic_packing,
