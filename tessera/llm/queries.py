@@ -26,6 +26,31 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("host_rate", 6).alias("host_rate"), "kept")
 
 
+def _crc_mod(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per row of documents: held_out, score, predicted. A null doc_id is not held out."""
+    from tessera.llm.quality_model import scored
+    from tessera.llm.toxicity import THRESHOLD, fit, sample
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(*sample(docs, _table(spark, sf_dir, "labels"), "toxic", _crc_mod(3) != 1))
+    out = scored(docs, model, F.col("doc_id"))
+    return out.select("doc_id", F.coalesce(_crc_mod(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per row of documents: held_out, score, predicted. A null doc_id is not held out."""
+    from tessera.llm.quality_model import THRESHOLD, scored, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"), _crc_mod(5) != 0)
+    out = scored(docs, model, F.col("doc_id"))
+    return out.select("doc_id", F.coalesce(_crc_mod(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per row of documents: its class (the smallest doc_id in it) and the rows of the class."""
     from tessera.llm.near_dedup import near_duplicates
@@ -73,8 +98,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
     "op3_near_dedup": op3_near_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_line_dedup": op7_line_dedup,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_token_files": op9_token_files,
