@@ -65,6 +65,17 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per row of documents: spans by the rules counted by kind, their digest, and all spans."""
+    from tessera.llm.pii import KINDS, find_pii, train_on
+
+    docs = _table(spark, sf_dir, "documents")
+    by_rule = F.filter("spans", lambda s: s["by_rule"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["by_rule"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return find_pii(docs, train_on(docs)).select("doc_id", *counts, F.sha2(listed(by_rule), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per row of documents: n_lines, n_removed and the md5 of what stays."""
     from tessera.llm.line_dedup import drop_boilerplate
@@ -102,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_pii": op6_pii,
     "op7_line_dedup": op7_line_dedup,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_token_files": op9_token_files,
