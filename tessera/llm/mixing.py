@@ -88,18 +88,18 @@ def schedule(plan: DataFrame, slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, schedule, pieces). documents: row (a number of the row), doc_id, size, source_size, target, taken (words, repeats counted). schedule: see there. pieces: source, block, row, from, to (words of the row in the block).
+    """(documents, schedule, pieces). documents: row (a number of the row), doc_id, text_key (hash of its text), size, source_size, target, taken (words, repeats counted). schedule: see there. pieces: source, block, row, from, to (words of the row in the block).
 
     The shuffle is by md5 of the doc_id (ties: doc_id, size), so reruns agree. Null text: size 0, taken 0; null source: one more source, the last. Rows that share a doc_id are taken each by itself. Empty table: empty results.
     """
-    sized = checkpointed(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", column_of(docs, "source", "string").alias("source"), word_count(column_of(docs, "text", "string")).alias("size")))
+    sized = checkpointed(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", column_of(docs, "source", "string").alias("source"), word_count(column_of(docs, "text", "string")).alias("size"), F.xxhash64(column_of(docs, "text", "string")).alias("text_key")))
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = checkpointed(quotas(targets(sums, weights, share, most), block))
     slots = plan.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     digits = max(1, math.ceil(math.log(max(2, sized.count()), 16) / 2))
     shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # md5 has no hot values, so its first digits cut a source into even cells
-    laid = _numbered(sized.filter("size > 0").withColumn("mixed", shuffled), F.substring("mixed", 1, digits), [F.col("mixed"), F.col("doc_id"), F.col("size"), F.col("row")], F.col("size"), "at")
+    laid = _numbered(sized.drop("text_key").filter("size > 0").withColumn("mixed", shuffled), F.substring("mixed", 1, digits), [F.col("mixed"), F.col("doc_id"), F.col("size"), F.col("row")], F.col("size"), "at")
     key = F.coalesce("source", F.lit("\0"))
     by_source = plan.select(key.alias("key"), "source_size", "target", "step")
     laid = laid.withColumn("key", key).join(by_source, "key")
@@ -109,4 +109,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     timeline = schedule(plan, slots)
     used = pieces.withColumn("key", key).join(timeline.select(key.alias("key"), "block"), ["key", "block"]).groupBy("row").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
     out = sized.withColumn("key", key).join(by_source.drop("step"), "key").join(used, "row", "left")
-    return out.select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), timeline, pieces
+    return out.select("row", "doc_id", "text_key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), timeline, pieces

@@ -190,8 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> QualityModel:
     return fit(vectors, *sample(docs, labels, "quality", usable, SAMPLE_ROWS, SAMPLE_BYTES))
 
 
-def scored(docs: DataFrame, model, *carried: Column) -> DataFrame:
-    """The carried columns of docs with score, by any model with scores(texts). Null or empty text: the score of a text without words."""
+def scored(docs: DataFrame, model, *carried: Column, name: str = "score") -> DataFrame:
+    """The carried columns of docs with the score, by any model with scores(texts). Null or empty text: the score of a text without words."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*carried, column_of(docs, "text", "string").alias("__text"))
     names = rows.columns[:-1]
@@ -200,6 +200,6 @@ def scored(docs: DataFrame, model, *carried: Column) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "__text"):
                 values = sent.value.scores(part.column("__text"))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(values, pa.float64())], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(values, pa.float64())], [*names, name])
 
-    return rows.mapInArrow(score, rows.drop("__text").withColumn("score", F.lit(0.0)).schema)
+    return rows.mapInArrow(score, rows.drop("__text").withColumn(name, F.lit(0.0)).schema)

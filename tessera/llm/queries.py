@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,7 +26,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("host_rate", 6).alias("host_rate"), "kept")
 
 
-def _crc_mod(n: int):
+def crc_mod(n: int) -> Column:
+    """crc32 of the doc_id as text, modulo n."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
@@ -36,9 +37,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import THRESHOLD, fit, sample
 
     docs = _table(spark, sf_dir, "documents")
-    model = fit(*sample(docs, _table(spark, sf_dir, "labels"), "toxic", _crc_mod(3) != 1))
+    model = fit(*sample(docs, _table(spark, sf_dir, "labels"), "toxic", crc_mod(3) != 1))
     out = scored(docs, model, F.col("doc_id"))
-    return out.select("doc_id", F.coalesce(_crc_mod(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(crc_mod(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +47,9 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_model import THRESHOLD, scored, train
 
     docs = _table(spark, sf_dir, "documents")
-    model = train(docs, _table(spark, sf_dir, "labels"), _crc_mod(5) != 0)
+    model = train(docs, _table(spark, sf_dir, "labels"), crc_mod(5) != 0)
     out = scored(docs, model, F.col("doc_id"))
-    return out.select("doc_id", F.coalesce(_crc_mod(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(crc_mod(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,8 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     by_rule = F.filter("spans", lambda s: s["by_rule"])
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["by_rule"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["by_rule"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in KINDS]
     return find_pii(docs, train_on(docs)).select("doc_id", *counts, F.sha2(listed(by_rule), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
@@ -107,6 +109,13 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -118,4 +127,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_token_files": op9_token_files,
     "op10_exact_top_k": op10_exact_top_k,
+    "pipeline": pipeline,
 }
