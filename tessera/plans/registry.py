@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import reports, retrieval, versions  # noqa: F401  they register their queries
+from tessera.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
