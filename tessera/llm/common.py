@@ -65,24 +65,27 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = to
 
 
-def coded_words(texts: pa.Array, pattern: str | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(first word of each text and an end, code of each word, the distinct words) of an Arrow string array; null: no words.
-
-    Words are the runs without ASCII white space; each distinct one is dealt with in Python once for a slice.
-    """
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(first word of each text and an end, code of each word, the distinct words) of an Arrow string array; null: no words. Words are the runs without ASCII white space."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(texts)
     starts = lists.offsets.to_numpy().astype(np.int64)
     flat = pc.dictionary_encode(lists.values)
-    codes, words = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
+    codes, words = flat.indices.to_numpy().astype(np.int64), flat.dictionary
     codes, starts = codes[starts[0] : starts[-1]], starts - starts[0]
-    if "" in words:  # white space at either end of a text
-        keep = codes != words.index("")
+    if (empty := pc.index(words, "").as_py()) >= 0:  # white space at either end of a text
+        keep = codes != empty
         starts = np.concatenate([[0], np.cumsum(keep)])[starts]
         codes = codes[keep]
     return starts, codes, words
 
 
+def coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """word_codes with the words as strings: each distinct one is dealt with in Python once for a slice."""
+    starts, codes, words = word_codes(texts)
+    return starts, codes, words.to_pylist()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finalizer that spreads 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

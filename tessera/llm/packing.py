@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed, column_of, slices, stage_path
-from tessera.llm.tokens import closed, encoder
+from tessera.llm.tokens import TEXT_BYTES, closed, encoder
 
 CAPACITY, END_ID = 4096, 2
 #: Shares of a class's space that a piece may leave empty.
@@ -63,7 +63,7 @@ def write_pieces(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, uid = encoder(tokenizer), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXT_BYTES):
                 ids, ends = closed(*enc.encode(part.column("text")), end_id)
                 sizes = np.diff(ends)
                 lengths = [cuts(n, capacity) for n in sizes.tolist()]

@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import column_of, slices, stage_path
-from tessera.llm.tokens import closed, encoder, gathered
+from tessera.llm.tokens import TEXT_BYTES, closed, encoder, gathered
 
 END_ID = 1
 #: Ids of a shard, about; the last document may go beyond.
 SHARD_IDS = 2_000_000
 #: A pair is worth a rule from so many occurrences on; rules a round; rounds; share of symbols that a round must save to be followed by another.
 LEAST_COUNT, ROUND_RULES, ROUNDS, LEAST_GAIN = 12, 4000, 6, 0.02
+#: Slots of the table that finds a round's rules.
+SLOT_BITS = 20
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIQQQQ")
 
@@ -66,7 +68,14 @@ def chosen_pairs(keys: np.ndarray, counts: np.ndarray, room: int, base_bits: int
             out.append(key)
         if len(out) == most:
             break
-    return np.sort(np.asarray(out, keys.dtype))
+    return np.asarray(out, keys.dtype)
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where pairs are looked up."""
+    if bits == 16:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
 
 def re_pair(ids: np.ndarray, bounds: np.ndarray) -> Grammar:
@@ -90,11 +99,16 @@ def re_pair(ids: np.ndarray, bounds: np.ndarray) -> Grammar:
         pairs = chosen_pairs(inner[np.concatenate([edges, [len(inner) - 1]])], runs, limit - made, bits)
         if not len(pairs):
             break
+        # Each pair has a slot of a table; of pairs that share one, the most frequent stays
+        slot = np.zeros(1 << SLOT_BITS, np.uint16)
+        _, one = np.unique(_slots(pairs, bits), return_index=True)
+        pairs = np.sort(pairs[one])
+        slot[_slots(pairs, bits)] = np.arange(len(pairs))
         lefts, rights = np.zeros(made, bool), np.zeros(made, bool)
         lefts[pairs >> kind(bits)] = True
         rights[pairs & kind((1 << bits) - 1)] = True
         at = np.flatnonzero(lefts[seq[:-1]] & rights[seq[1:]] & ~last[:-1])
-        nth = np.minimum(np.searchsorted(pairs, keys[at]), len(pairs) - 1)
+        nth = slot[_slots(keys[at], bits)]
         hit = pairs[nth] == keys[at]
         at, nth = at[hit], nth[hit]
         if len(at) > 1:  # runs of one symbol overlap themselves: every other place counts
@@ -203,7 +217,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
             return pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(sizes)], "n_ids": [len(ids)], "payload": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXT_BYTES):
                 ids, ends = closed(*enc.encode(part.column("text")), end_id)
                 column = part.column("doc_id")
                 held.append((column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False), ids, ends))

@@ -3,72 +3,73 @@
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from tessera.llm.common import coded_words
+from tessera.llm.common import word_codes
 
-#: Words that a worker keeps the ids of, and code points of the longest.
-KEPT_WORDS, LONGEST = 500_000, 40
-#: Letters that lower-case one by one, then marks that no contraction or special token begins with.
-PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:#%&*$|]*)")
+#: Parts of words that a worker keeps the ids of; code points of the longest.
+KEPT_PARTS, LONGEST = 900_000, 40
+#: Text bytes of which the distinct words are found at a time.
+TEXT_BYTES = 12_000_000
+#: Latin-1 letters, then marks that no contraction and no special token begins with.
+PLAIN = r"^(?P<letters>[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+)(?P<marks>[.,!?;:#%&*$|]*)$"
+#: The characters that byte-level vocabularies write the bytes 0 to 255 as.
+BYTE_CHARS = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+BYTE_CHARS |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in BYTE_CHARS)}
 
 
 class WordEncoder:
     """Ids of texts as tokenizer.encode(text, add_special_tokens=False) gives them.
 
-    The tokenizer must deal with stretches between ASCII white space one by one: it drops white space, and neither its normalizer nor its special tokens reach over it. Where it also
-    lower-cases and splits letters from marks (`splits_marks`), a word of Latin-1 letters shares its ids with the same word in other cases and before other marks.
+    The tokenizer must deal with stretches between ASCII white space one by one: it drops white space, and neither its normalizer nor its special tokens reach over it. With `plain`, it also
+    lower-cases, splits runs of letters from runs of marks and has a byte-level BPE model: then Latin-1 letters (which composition leaves alone and which lower-case one by one) with marks behind
+    them go to the model straight, each part once.
     """
 
-    def __init__(self, path: str, splits_marks: bool = True):
+    def __init__(self, path: str, plain: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.splits_marks = Tokenizer.from_file(path), splits_marks
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _fill(self, missing: list[str]) -> dict[str, bytes]:
-        cut, want = {}, set()
-        for w in missing:
-            m = PLAIN.fullmatch(w) if self.splits_marks else None
-            cut[w] = (m[1].lower(), m[2]) if m else (w,)
-            want.update(x for x in cut[w] if x and x not in self.parts)
-        want = list(want)
-        fresh = dict(zip(want, self._encode(want), strict=True))
-        if len(self.parts) + len(fresh) > KEPT_WORDS:
-            self.parts = {x: self.parts[x] for c in cut.values() for x in c if x in self.parts}
-        self.parts.update(fresh)
-        got = {w: b"".join(self.parts[x] for x in c if x) for w, c in cut.items()}
-        for w in fresh:
-            if len(w) > LONGEST:
-                del self.parts[w]
-        return got
-
-    def ids_of_words(self, words: list[str]) -> list[bytes]:
-        get = self.words.get
-        found = [get(w) for w in words]
-        if missing := [w for w, x in zip(words, found, strict=True) if x is None]:
-            fresh = self._fill(missing)
-            if len(self.words) + len(fresh) > KEPT_WORDS:
-                self.words = {}
-            self.words.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST)
-            found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        self.tokenizer, self.plain = Tokenizer.from_file(path), plain
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _ids(self, part: str) -> bytes:
+        """Of lower-cased letters, or of marks."""
+        chars = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
+        return np.array([t.id for t in self.model.tokenize(chars)], np.uint32).tobytes()
+
+    def _runs(self, parts: list[str]) -> list[bytes]:
+        found = list(map(self.parts.get, parts))
+        if len(self.parts) > KEPT_PARTS:
+            self.parts = {"": b""}
+        for i, x in enumerate(found):
+            if x is None:
+                part = parts[i]
+                x = found[i] = self._ids(part)
+                if len(part) <= LONGEST:
+                    self.parts[part] = x
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids as uint32, first id of each text and an end); null: no ids."""
-        starts, codes, words = coded_words(texts)
-        found = self.ids_of_words(words)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, codes, words = word_codes(texts)
+        cut = pc.extract_regex(words, PLAIN) if self.plain else pa.nulls(len(words), pa.struct([("letters", pa.string()), ("marks", pa.string())]))
+        letters, marks = (pc.dictionary_encode(x) for x in (pc.utf8_lower(cut.field("letters")), cut.field("marks")))
+        other = cut.is_null().to_numpy(zero_copy_only=False)
+        rest = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes() for w in words.filter(pa.array(other)).to_pylist()]
+        runs = [b"", *self._runs(letters.dictionary.to_pylist()), *self._runs(marks.dictionary.to_pylist()), *rest]
+        # A word is two runs: its letters and its marks, or itself and nothing
+        n = len(letters.dictionary)
+        pair = np.zeros((len(words), 2), np.int64)
+        pair[:, 0] = np.where(other, n + len(marks.dictionary) + np.cumsum(other), pc.fill_null(letters.indices, 0).to_numpy(zero_copy_only=False) + 1)
+        pair[:, 1] = np.where(other, 0, pc.fill_null(marks.indices, 0).to_numpy(zero_copy_only=False) + 1 + n)
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
         at = np.concatenate([[0], np.cumsum(sizes)])
-        ids, ends = gathered(np.frombuffer(b"".join(found), np.uint32), at[:-1], sizes, codes)
-        return ids, ends[starts]
+        ids, ends = gathered(np.frombuffer(b"".join(runs), np.uint32), at[:-1], sizes, pair[codes].ravel())
+        return ids, ends[2 * starts]
 
 
 def gathered(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,9 +83,9 @@ def gathered(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray, codes: np.ndar
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, splits_marks: bool = True) -> WordEncoder:
+def encoder(path: str, plain: bool = True) -> WordEncoder:
     """One encoder a worker; tasks that follow each other in it find its words."""
-    return WordEncoder(path, splits_marks)
+    return WordEncoder(path, plain)
 
 
 def closed(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
