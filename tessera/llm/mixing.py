@@ -69,7 +69,7 @@ def _numbered(rows: DataFrame, cell: Column, order: list[Column], value: Column,
     by = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("key", "cell", F.coalesce(F.sum("total").over(by), F.lit(0)).alias("base"))
     within = Window.partitionBy("key", "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("inside", F.coalesce(F.sum("value").over(within), F.lit(0))).join(base, ["key", "cell"]).withColumn(name, (F.col("base") + F.col("inside")).cast("long")).drop("cell", "key", "value", "base", "inside")
+    return rows.withColumn("inside", F.coalesce(F.sum("value").over(within), F.lit(0))).join(base.hint("merge"), ["key", "cell"]).withColumn(name, (F.col("base") + F.col("inside")).cast("long")).drop("cell", "key", "value", "base", "inside")
 
 
 def schedule(plan: DataFrame, slots: int) -> DataFrame:
@@ -107,6 +107,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     spread = laid.select("row", "source", "at", "size", "step", F.explode(F.sequence(F.floor(start / step), F.floor((end - 1) / step))).alias("block"))
     pieces = spread.select("source", "block", "row", (F.greatest(start, F.col("block") * step) - start).alias("from"), (F.least(end, (F.col("block") + 1) * step) - start).alias("to"))
     timeline = schedule(plan, slots)
-    used = pieces.withColumn("key", key).join(timeline.select(key.alias("key"), "block"), ["key", "block"]).groupBy("row").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
+    # Sizes are estimated from the few sources that the slots are made of, so joins with them name their kind
+    used = pieces.withColumn("key", key).join(timeline.select(key.alias("key"), "block").hint("merge"), ["key", "block"]).groupBy("row").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
     out = sized.withColumn("key", key).join(by_source.drop("step"), "key").join(used, "row", "left")
     return out.select("row", "doc_id", "text_key", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), timeline, pieces
