@@ -179,3 +179,31 @@ def page(rows: DataFrame, order: list[Column | str], skip: int, take: int) -> Da
     total = rows.agg(F.count("*").alias("total"))
     shown = rows.orderBy(*order).offset(skip).limit(take)
     return shown.join(F.broadcast(total)).withColumn("has_more", F.col("total") > skip + take)
+
+
+def pattern_search(entities: DataFrame, contents: DataFrame, semantic: DataFrame | None, pattern: str, mode: str = "hybrid", limit: int = 20) -> DataFrame:
+    """id, score, sources of a search by names, by contents, by meaning (semantic: id, score) or by all three; without semantic hits the last two fall back to names.
+
+    entities: id, name, kind, namespace; contents: id, text.
+    """
+    from tessera.operators.vector import weighted_fusion
+
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be from 1 to 100")
+    if mode not in ("entity", "content", "semantic", "hybrid"):
+        raise ValueError(f"no such mode: {mode}")
+    if semantic is None and mode in ("semantic", "hybrid"):
+        mode = "entity"
+    by_name = entities.filter(F.col("name").rlike(f"(?i){pattern}")).select("id", relevance_of_name(F.col("name"), pattern).alias("score"))
+    by_text = content_search(contents, pattern, "id").select("id", F.col("relevance").alias("score"))
+    if mode == "hybrid":
+        return weighted_fusion(by_name, by_text, semantic, limit)
+    hits = {"entity": by_name, "content": by_text, "semantic": semantic}[mode]
+    return hits.select("id", "score", F.lit(mode).alias("sources"), F.lit(1).cast("long").alias("n_sources")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def resolved_share(cached: DataFrame, live: DataFrame, id_col: str, least: float = 0.8) -> DataFrame:
+    """cached, resolved, usable: how many cached rows still are there, and whether enough to keep the cache."""
+    there = live.select(F.col(id_col).alias("__there")).distinct()
+    out = cached.join(there, F.col(id_col) == F.col("__there"), "left").agg(F.count("*").alias("cached"), F.count("__there").alias("resolved"))
+    return out.withColumn("usable", F.col("resolved") >= least * F.col("cached"))

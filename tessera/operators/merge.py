@@ -238,3 +238,22 @@ def replacement_conflicts(changes: DataFrame) -> DataFrame:
 def preview_impact(references: DataFrame) -> DataFrame:
     """symbol, locations, affected_files, breaking (the symbol is public)."""
     return references.groupBy("symbol").agg(F.count("*").alias("locations"), F.count_distinct("file").alias("affected_files"), F.bool_or("is_public").alias("breaking"))
+
+
+# Extensions of files that are copied whole, and of those that are merged by unit.
+BINARY = ("png", "jpg", "jpeg", "gif", "ico", "dll", "exe", "pdf", "zip", "bin")
+SEMANTIC = ("cs", "json", "xml", "yaml", "yml", "ps1", "sh", "cmd", "bat")
+
+
+def file_plan(source: DataFrame, target: DataFrame, pattern: str | None = None) -> DataFrame:
+    """path, way, in_base, in_source, in_target of the files that the source branch changed (path, status: A, M, D; renamed_from): copied, merged by unit or merged as text."""
+    from tessera.functions.text import glob_matches
+
+    chosen = source if pattern is None else source.filter(glob_matches(F.col("path"), pattern))
+    ext = F.lower(F.substring_index("path", ".", -1))
+    other = target.select(F.col("path").alias("__path"), F.col("status").alias("__status"))
+    both = chosen.join(other, F.coalesce("renamed_from", "path") == F.col("__path"), "left")
+    way = F.when(ext.isin(*BINARY), "binary").when(ext.isin(*SEMANTIC), "semantic").otherwise("text")
+    in_base = (F.col("status") != "A") & ~F.coalesce(F.col("__status") == "A", F.lit(False))
+    in_target = F.when(F.col("__status").isNull(), F.col("status") != "A").otherwise(F.col("__status") != "D")
+    return both.select("path", way.alias("way"), in_base.alias("in_base"), (F.col("status") != "D").alias("in_source"), in_target.alias("in_target"))

@@ -10,11 +10,32 @@ from tessera.functions.text import latin_words, other_words
 from tessera.operators.vector import centroid_pairs, centroids
 from tessera.operators.lookup import FLAGS
 
-# Rules of some presets.
-PRESETS = {
-    "performance": ("CA1829", "CA1860", "CA1861", "CA1850", "CA1845", "CA1847", "CA1854", "CA1851", "CA1853", "CA1855", "CA1858", "CA1859"),
-    "maintainability": ("CA1822", "CA1506", "CA1505", "CA1502", "CA1501"),
+# Rules of the presets; a-b stands for all numbers between.
+PRESET_RANGES = {
+    "performance": "CA1860-1861 CA1850-1851 CA1845 CA1847 CA1853-1855 CA1858-1859",
+    "maintainability": "CA1501-1502 CA1505-1506 CA1822",
+    "security": "CA2100 CA2109 CA2119 CA2153 CA2300-2302 CA2305 CA2310 CA2315 CA2321-2322 CA2326-2330 CA3001-3012 CA5350-5351 CA5359-5405",
+    "reliability": "CA2000 CA2002 CA2007-2009 CA2011-2020",
+    "usage": "CA1031 CA1303 CA2201 CA2207-2208 CA2211 CA2213-2219 CA2224-2227 CA2229 CA2231 CA2234-2235 CA2237 CA2241-2260",
+    "design": "CA1000-1003 CA1005 CA1008 CA1010 CA1012 CA1014 CA1016-1019 CA1021 CA1024 CA1027-1028 CA1030-1034 CA1036 CA1040-1041 CA1043-1047 CA1050-1056 CA1058 CA1060-1070",
+    "globalization": "CA1303-1305 CA1307-1310 CA2101",
+    "naming": "CA1700 CA1707-1708 CA1710-1717 CA1720-1722 CA1724-1726",
+    "documentation": "CA1200 CS1572-1574 CS1591",
+    "logging": "CA1848-1850 CA1852-1873",
+    "notable": "CA1854 CA1860 CA1869",
+    "trivial": "CA1822",
 }
+PRESET_SUMS = {"critical": ("security",), "high": ("reliability", "notable"), "medium": ("performance", "maintainability"), "low": ("naming", "documentation", "trivial")}
+
+
+def preset(name: str) -> set[str]:
+    """Rule ids of a preset, in any case; an unknown name has none."""
+    out: set[str] = set()
+    for part in PRESET_SUMS.get(name.lower(), (name.lower(),)):
+        for item in PRESET_RANGES.get(part, "").split():
+            letters, (first, *last) = item[:2], item[2:].split("-")
+            out |= {f"{letters}{n}" for n in range(int(first), int(last[0] if last else first) + 1)}
+    return out
 
 
 def diagnostic_stats(rows: DataFrame) -> DataFrame:

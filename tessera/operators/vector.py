@@ -160,3 +160,19 @@ def embed_once(rows: DataFrame, text: str, embedder, name: str = "embedding") ->
     keyed = rows.withColumn("__key", key)
     once = keyed.select("__key").distinct().withColumn(name, embedder(F.col("__key")))
     return keyed.join(once, "__key", "left").drop("__key")
+
+
+def enriched(requests: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
+    """request_id, id, similarity, rank: for each request (id, embedding) the rows that a kind of request shows beside its own result."""
+    k, floor = ENRICHMENT[kind]
+    return knn_join(requests, rows, k, floor).select(F.col("left_id").alias("request_id"), F.col("right_id").alias("id"), "similarity", "rank")
+
+
+def search_scope(rows: DataFrame, scope: str) -> DataFrame:
+    """rows of a scope: solution, methods, classes or project:name."""
+    if scope.startswith("project:"):
+        return rows.filter(F.col("project") == scope.partition(":")[2])
+    kinds = {"solution": None, "methods": "method", "classes": "class"}
+    if scope not in kinds:
+        raise ValueError(f"no such scope: {scope}")
+    return rows if kinds[scope] is None else rows.filter(F.col("kind") == kinds[scope])

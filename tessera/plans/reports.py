@@ -121,9 +121,9 @@ def diagnostics_page(spark, d) -> DataFrame:
     return lookup.page(diagnostics(spark, d), [ratings.severity_order(F.col("severity")).desc(), "file_path", "diag_id", "nth"], 10, 25).select("nth", "total", "has_more")
 
 
-@query(f"WITH {DIAGNOSTICS} SELECT nth FROM diagnostics WHERE diag_id IN ('CA1829', 'CA1860', 'CA1861', 'CA1850', 'CA1845', 'CA1847', 'CA1854', 'CA1851', 'CA1853', 'CA1855', 'CA1858', 'CA1859')")
+@query(f"WITH {DIAGNOSTICS} SELECT nth FROM diagnostics WHERE diag_id IN ('CA1873', 'CA2000')")
 def preset_filter(spark, d) -> DataFrame:
-    return diagnostics(spark, d).filter(F.col("diag_id").isin(*metrics.PRESETS["performance"])).select("nth")
+    return diagnostics(spark, d).filter(F.col("diag_id").isin(*sorted(metrics.preset("logging") | metrics.preset("High")))).select("nth")
 
 
 @query(f"WITH {DIAGNOSTICS} SELECT file_path, count(*) FILTER (severity = 'Error') AS errors, count(*) FILTER (severity = 'Warning') AS warnings, count(*) FILTER (severity = 'Info') AS infos FROM diagnostics GROUP BY 1 HAVING count(*) FILTER (severity IN ('Error', 'Warning')) > 0 ORDER BY count(*) FILTER (severity IN ('Error', 'Warning')) DESC, file_path LIMIT 20")

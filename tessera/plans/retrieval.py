@@ -298,3 +298,49 @@ def snippets(spark, d) -> DataFrame:
 def bloom_sizes(spark, d) -> DataFrame:
     n = (F.col("r_regionkey") + 1) * 1000
     return table(spark, d, "region").select(F.col("r_regionkey").alias("id"), X.bloom_size(n, F.lit(0.01)).alias("x")).select("id", F.col("x.bits").cast("long").alias("bits"), "x.hashes")
+
+
+@query(f"""WITH e AS (SELECT p_partkey AS id, 0.3 * CASE WHEN lower(p_name) = 'ring' THEN 1.0 WHEN starts_with(lower(p_name), 'ring') THEN 0.8 WHEN contains(lower(p_name), 'ring') THEN 0.6 ELSE 0.4 END AS score, 'entity' AS source FROM part WHERE regexp_matches(p_name, '(?i)ring')),
+c AS (SELECT doc_id AS id, 0.3 * least(1.0, len(regexp_extract_all(text, '(?i)ring')) / greatest(length(text) // 100, 1)) AS score, 'content' AS source FROM documents WHERE regexp_matches(text, '(?i)ring')),
+s AS (SELECT e.vec_id AS id, 0.4 * {COSINE} AS score, 'semantic' AS source FROM embeddings e, embeddings q WHERE q.vec_id = 0), f AS (SELECT id, sum(score) AS score, string_agg(source, '+' ORDER BY source) AS sources, count(*) AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM c UNION ALL SELECT * FROM s) GROUP BY id)
+SELECT id, round(score, 6) AS score, sources FROM f ORDER BY round(score, 9) DESC, n DESC, id LIMIT 50""")
+def pattern_search(spark, d) -> DataFrame:
+    e = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    s = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), cosine(F.col("embedding"), F.array(*map(F.lit, map(float, _vector(spark, d, 0))))).alias("score"))
+    return lookup.pattern_search(e, c, s, "ring", limit=50).select("id", F.round("score", 6).alias("score"), "sources")
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS request_id, e.vec_id AS id, {COSINE} AS x FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 3), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY x DESC, id)::INT AS rank FROM s WHERE x >= 0.6)
+SELECT request_id, id, round(x, 6) AS similarity, rank FROM r WHERE rank <= 10""")
+def enriched_results(spark, d) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vector.enriched(e.filter("id % 50 = 3"), e, "search_symbols").withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""WITH h AS (SELECT doc_id, source, lang, lower(text[1:40]) AS text, row_number() OVER (PARTITION BY lower(text[1:40]) ORDER BY source, lang, doc_id) AS n FROM documents WHERE regexp_matches(text[1:40], '(?im)^th'))
+SELECT source AS file, lang AS kind, string_agg(text, '|' ORDER BY text) AS texts FROM (SELECT * FROM h WHERE n = 1 ORDER BY source, lang, text LIMIT 20) GROUP BY ALL""")
+def definition_search(spark, d) -> DataFrame:
+    u = table(spark, d, "documents").select(F.col("source").alias("file"), F.lit("p").alias("parent"), F.col("lang").alias("kind"), F.lower(F.substring("text", 1, 40)).alias("text"))
+    return lookup.definition_search(u, "^th").select("file", "kind", F.array_join("texts", "|").alias("texts"))
+
+
+@query(f"WITH {SYMBOLS} SELECT canonical_fqn AS fqn FROM symbols WHERE regexp_matches(canonical_fqn, '(?i)brandn1.*ring') OR regexp_matches(simple_name, '(?i)brandn1.*ring') GROUP BY 1 ORDER BY 1 LIMIT 30")
+def type_search(spark, d) -> DataFrame:
+    return lookup.type_search(symbols(spark, d).select(F.col("canonical_fqn").alias("fqn"), F.col("simple_name").alias("name")), "brandn1.*ring", 30).select("fqn")
+
+
+@query("SELECT count(*) AS cached, count(*) FILTER (o_orderkey % 7 <> 0) AS resolved, count(*) FILTER (o_orderkey % 7 <> 0) >= 0.8 * count(*) AS usable FROM orders")
+def resolved_share(spark, d) -> DataFrame:
+    o = table(spark, d, "orders")
+    return lookup.resolved_share(o, o.filter("o_orderkey % 7 <> 0"), "o_orderkey")
+
+
+@query()
+def stack_hints(spark, d) -> DataFrame:
+    from tessera.functions.similarity import stack_confidence
+
+    hints = F.array(F.lit("at Cat.ECONOMY.BrandN17.red_widget(int)"), F.lit("in small rng"))
+    s = symbols(spark, d)
+    kind = F.element_at(F.split("namespace", r"\."), -1)
+    return s.select("id", F.round(stack_confidence(hints, F.col("simple_name"), kind, F.col("namespace"), F.col("namespace"), F.col("canonical_fqn")), 6).alias("confidence"))

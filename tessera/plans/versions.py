@@ -349,3 +349,12 @@ def enclosing_scopes(spark, d) -> DataFrame:
     return scopes(h, "s7", 4)
 
 
+
+
+@query("""WITH s AS (SELECT o_orderkey AS k, 'src/f' || o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '.cs' WHEN 1 THEN '.PNG' ELSE '.txt' END AS path, o_orderstatus AS status FROM orders WHERE o_orderkey % 4 = 0), t AS (SELECT k, CASE WHEN k % 5 = 0 THEN 'D' ELSE 'M' END AS status FROM s WHERE k % 8 = 0)
+SELECT path, CASE k % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'binary' ELSE 'text' END AS way, s.status <> 'P' AS in_base, s.status <> 'F' AS in_source, CASE WHEN t.status IS NULL THEN s.status <> 'P' ELSE t.status <> 'D' END AS in_target FROM s LEFT JOIN t USING (k)""")
+def merge_file_plan(spark, d) -> DataFrame:
+    k = F.col("o_orderkey")
+    s = table(spark, d, "orders").filter("o_orderkey % 4 = 0").select(k, F.concat(F.lit("src/f"), k.cast("string"), F.expr("CASE o_orderkey % 3 WHEN 0 THEN '.cs' WHEN 1 THEN '.PNG' ELSE '.txt' END")).alias("path"), F.expr("CASE o_orderstatus WHEN 'P' THEN 'A' WHEN 'F' THEN 'D' ELSE 'M' END").alias("status"), F.lit(None).cast("string").alias("renamed_from"))
+    t = s.filter("o_orderkey % 8 = 0").select("path", F.when(k % 5 == 0, "D").otherwise("M").alias("status"))
+    return merge.file_plan(s, t, "src/*")
