@@ -27,14 +27,13 @@ def top_k(rows: DataFrame, query: list[float], k: int, floor: float = 0.0, id_co
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), id_col)))
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, floor: float, left_id: str = "id", right_id: str = "id", vector: str = "embedding", same: str | None = None) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, floor: float, left_id: str = "id", right_id: str = "id", vector: str = "embedding", same: str | None = None, blocks: int = 4) -> DataFrame:
     """left_id, right_id, similarity, rank: for each left row the k most similar right rows (none with its own id).
 
-    Both sides are dealt into blocks whose pairs are compared, so neither is broadcast whole; with `same`, only rows alike in that column are compared and it is the join key.
+    Both sides are dealt into blocks whose pairs are compared, so neither is broadcast whole (take about a block for 10,000 rows of the larger side); with `same`, only rows alike in that column are compared and it is the join key.
     """
     a = left.select(F.col(left_id).alias("left_id"), F.col(vector).alias("v"), *([F.col(same).alias("same")] if same else []))
     b = right.select(F.col(right_id).alias("right_id"), F.col(vector).alias("w"), *([F.col(same).alias("same")] if same else []))
-    blocks = 4
     a = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("left_id"), F.lit(blocks)))
     b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.pmod(F.xxhash64("right_id"), F.lit(blocks)))
     pairs = a.join(b, ["block", "part", *(["same"] if same else [])]).filter(F.col("left_id") != F.col("right_id"))

@@ -13,3 +13,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
+
+
+def ship_code(spark) -> None:
+    """Sends this package to the executors, once a session, so that Python functions find it there whatever their path."""
+    import io
+    import os
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, str(Path(package.name) / f.relative_to(package)))
+    path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), f"{package.name}.zip")
+    Path(path).write_bytes(data.getvalue())
+    sc.addPyFile(path)
+    sc._tessera_shipped = True
