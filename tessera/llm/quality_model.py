@@ -25,7 +25,7 @@ BUCKET_BITS, DIMENSIONS, NONZERO = 14, 32, 2
 #: Neighbours on either side that count as context.
 WINDOW = 2
 #: The network is fitted to this many labelled texts at most and to no more than so many bytes of them; a share of them is for the temperature.
-SAMPLE_ROWS, SAMPLE_BYTES, HELD = 4000, 48_000_000, 0.2
+SAMPLE_ROWS, SAMPLE_BYTES, HELD = 4000, 32_000_000, 0.2
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.01, 1e-4
 #: Numbers that a text is pooled to.
 WIDTH = 2 * DIMENSIONS + 4
@@ -158,7 +158,7 @@ def fit(vectors: np.ndarray, texts: pa.Array, y: np.ndarray) -> QualityModel:
     layers = [rng.normal(0, width**-0.5, (width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.log(rate / (1 - rate))]
     if len(np.unique(y)) < 2:
         return QualityModel(vectors, np.zeros(width), np.ones(width), tuple(layers), 1.0)
-    x = pooled(texts, vectors)
+    x = np.concatenate([pooled(part.column("text"), vectors) for part in slices(pa.record_batch({"text": texts}), most=1_000_000)])
     held = np.arange(len(y)) < HELD * len(y)
     center, scale = x[~held].mean(axis=0), x[~held].std(axis=0) + 1e-3
     layers[2] = rng.normal(0, HIDDEN**-0.5, HIDDEN)

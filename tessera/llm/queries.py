@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import ship_code
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -15,6 +17,7 @@ def tokenizer_path() -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -113,6 +116,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
 
+    ship_code(spark)
     return corpus_pipeline.run(spark, sf_dir)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import coded_words, column_of, slices
@@ -20,7 +20,9 @@ from tessera.llm.common import coded_words, column_of, slices
 GRAMS = (2, 3, 4, 5)
 FEATURE_BITS = 18
 #: The classifier is fitted to this many labelled texts at most, those whose doc_id has the smallest hash, and to no more than so many bytes of them.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 48_000_000
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32_000_000
+#: Text bytes of the sample whose n-grams are in memory at a time.
+FIT_BYTES = 500_000
 #: Pseudo-count of the ratios; features that fewer sample texts have, or whose ratio is nearer to 0, are left out.
 SMOOTH, LEAST_TEXTS, LEAST_RATIO = 1.0, 4, 0.7
 STEPS, RATE, DECAY = 150, 0.03, 1e-3
@@ -30,11 +32,11 @@ THRESHOLD = 0.7
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[pa.Array, np.ndarray]:
     """(texts, labels) of at most so many labelled rows for which usable holds, null labels left out. The chosen ids are no more than `rows`, so they are broadcast."""
     picked = labels.filter(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).distinct().orderBy(F.xxhash64("doc_id"), "y").limit(rows)
-    found = docs.select("doc_id", column_of(docs, "text", "string").alias("text")).join(F.broadcast(picked), "doc_id").withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
-    kept = found.orderBy(F.xxhash64("doc_id"), "bytes", "text").limit(rows)
-    table = kept.select("text", "y", "bytes").toArrow()
-    n = int(np.searchsorted(np.cumsum(table["bytes"].to_numpy()), size, side="right")) if table.num_rows else 0
-    return table["text"].combine_chunks()[:n], table["y"].to_numpy()[:n].astype(np.float64)
+    found = docs.select("doc_id", column_of(docs, "text", "string").alias("text")).join(F.broadcast(picked), "doc_id").withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    # At most `rows` rows, or a few more where rows repeat, so one task can add up their sizes
+    order = Window.orderBy(F.xxhash64("doc_id"), "bytes", "text").rowsBetween(Window.unboundedPreceding, 0)
+    table = found.withColumn("so_far", F.sum("bytes").over(order)).filter(F.col("so_far") <= size).orderBy("so_far").select("text", "y").limit(rows).toArrow()
+    return table["text"].combine_chunks(), table["y"].to_numpy().astype(np.float64)
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,34 +84,41 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _cells(texts: pa.Array, keep: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text number, feature, words of the text with it) for stretches of texts; of the features in keep only."""
+    first = 0
+    for part in slices(pa.record_batch({"text": texts}), most=FIT_BYTES):
+        doc, word, words = distinct_words(part.column("text"))
+        of, feature = word_grams(words)
+        if keep is not None:
+            of, feature = of[keep[feature]], feature[keep[feature]]
+        order = np.argsort(of, kind="stable")
+        of, feature = of[order], feature[order]
+        at = np.searchsorted(of, np.arange(len(words) + 1))
+        n = np.diff(at)[word]
+        where = np.repeat(at[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        cells, counts = np.unique(np.repeat(doc, n) << FEATURE_BITS | feature[where], return_counts=True)
+        yield (first + (cells >> FEATURE_BITS)).astype(np.int32), (cells & ((1 << FEATURE_BITS) - 1)).astype(np.int32), counts.astype(np.int32)
+        first += part.num_rows
+
+
 def fit(texts: pa.Array, y: np.ndarray) -> ToxicityModel:
     """Log-count ratios of the texts' features, then logistic regression on the scaled counts by gradient steps with weight decay. Without both labels: the share of label 1, smoothed."""
     rate = (y.sum() + 0.5) / (len(y) + 1)
     prior = ToxicityModel(np.zeros(1 << FEATURE_BITS), np.log(rate / (1 - rate)))
     if len(np.unique(y)) < 2:
         return prior
-    doc, word, words = distinct_words(texts)
-    of, feature = word_grams(words)
-    at = np.searchsorted(of, np.arange(len(words) + 1)) if np.all(of[1:] >= of[:-1]) else None
-    if at is None:
-        order = np.argsort(of, kind="stable")
-        of, feature = of[order], feature[order]
-        at = np.searchsorted(of, np.arange(len(words) + 1))
-    n = np.diff(at)[word]
-    where = np.repeat(at[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    rows, cols = np.repeat(doc, n), feature[where]
-    cells, counts = np.unique(rows.astype(np.int64) << FEATURE_BITS | cols, return_counts=True)
-    rows, cols = cells >> FEATURE_BITS, cells & ((1 << FEATURE_BITS) - 1)
     size = 1 << FEATURE_BITS
-    texts_with = np.bincount(cols, minlength=size)
-    toxic = np.bincount(cols, weights=y[rows], minlength=size) + SMOOTH
-    clean = texts_with - (toxic - SMOOTH) + SMOOTH
+    texts_with, toxic = np.zeros(size), np.full(size, SMOOTH)
+    for rows, cols, _ in _cells(texts):
+        texts_with += np.bincount(cols, minlength=size)
+        toxic += np.bincount(cols, weights=y[rows], minlength=size)
+    clean = texts_with - toxic + 2 * SMOOTH
     r = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
     r[(texts_with < LEAST_TEXTS) | (np.abs(r) < LEAST_RATIO)] = 0
-    keep = r[cols] != 0
-    rows, cols, counts = rows[keep], cols[keep], counts[keep]
+    rows, cols, counts = (np.concatenate(x) for x in zip(*_cells(texts, r != 0), strict=True))
     used, cols = np.unique(cols, return_inverse=True)
-    x = (counts * r[used][cols]).astype(np.float64)
+    x = (counts * r[used][cols]).astype(np.float32)
     w, b = np.zeros(len(used)), prior.bias
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, STEPS + 1):
