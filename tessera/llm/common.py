@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Text bytes that a Python worker turns into words at a time.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
+#: Rows that Spark hands to Python at a time; texts may be long.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,13 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once; Catalyst would copy the expression to each place that reads it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -63,6 +72,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as hash_word
 
-from tessera.llm.common import coded_words, column_of, slices
+from tessera.llm.common import coded_words, column_of, slices, small_batches
 from tessera.llm.toxicity import sample
 
 #: Words are hashed into a table of fixed size (2 MB of vectors); words of a bucket share a vector.
@@ -75,6 +75,7 @@ def _add_contexts(table: np.ndarray, ids: np.ndarray, ends: np.ndarray, at: np.n
 def word_vectors(rows: DataFrame) -> np.ndarray:
     """Unit context vectors by bucket, gathered from every text of rows; a bucket without contexts has its own index vector. Tasks send tables of fixed size, added up part by part as they arrive."""
     parts = 16
+    small_batches(rows.sparkSession)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, (at, sign), n = np.zeros((1 << BUCKET_BITS) * DIMENSIONS), _index_vectors(), 0
@@ -192,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> QualityModel:
 
 def scored(docs: DataFrame, model, *carried: Column, name: str = "score") -> DataFrame:
     """The carried columns of docs with the score, by any model with scores(texts). Null or empty text: the score of a text without words."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*carried, column_of(docs, "text", "string").alias("__text"))
     names = rows.columns[:-1]

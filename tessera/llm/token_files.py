@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column_of, slices, stage_path
+from tessera.llm.common import column_of, slices, small_batches, stage_path
 from tessera.llm.tokens import TEXT_BYTES, closed, encoder, gathered
 
 END_ID = 1
@@ -228,6 +228,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
         if held:
             yield full()
 
+    small_batches(docs.sparkSession)
     path = path or stage_path(docs.sparkSession, "shards")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), column_of(docs, "text", "string").alias("text"))
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SHARDS).write.option("compression", "zstd").parquet(path)
