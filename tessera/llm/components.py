@@ -7,24 +7,29 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed
 
-#: Rounds after which a wrong loop would be stopped; each halves the longest way at least, so no graph needs as many.
+#: Rounds after which a wrong loop would be stopped; in each, every node that is not the smallest among its neighbours is merged into one, so no graph needs as many.
 MOST_ROUNDS = 64
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) of the nodes in edges (a, b).
 
-    Each round a node takes the smallest label among its neighbours', then the label of that label. Neighbours' labels are reduced before the shuffle, so a node of many edges is a row a task;
-    labels stay in the shared folder between rounds.
+    Each round merges a node into its smallest neighbour, or up to three steps on along that way, and renames the edges, of which those within a merged node go; so edges get fewer from round to
+    round. Neighbours are reduced before the shuffle, so a node of many edges is a row a task. Merges and edges stay in the shared folder between rounds; labels follow from the merges in the end.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")))
+    rest = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    labels = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(MOST_ROUNDS):
-        seen = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        met = labels.join(seen, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        new = checkpointed(met.join(jump, F.col("low") == F.col("at"), "left").select("node", F.col("label").alias("old"), F.least("low", F.coalesce("further", "low")).alias("label")))
-        labels = new.select("node", "label")
-        if new.filter("old <> label").limit(1).count() == 0:
-            return labels
-    raise RuntimeError("labels did not settle")
+        if rest.limit(1).count() == 0:
+            return checkpointed(labels)
+        # Edges point from the smaller to the larger node: a larger one leaves, a smaller one may
+        hooks = rest.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to"))
+        for _ in range(2):
+            further = hooks.select(F.col("from").alias("via"), F.col("to").alias("end"))
+            hooks = hooks.join(further, F.col("to") == F.col("via"), "left").select("from", F.coalesce("end", "to").alias("to"))
+        hooks = checkpointed(hooks)
+        labels = labels.join(hooks, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
+        starts, ends = hooks.select(F.col("from").alias("a"), F.col("to").alias("to_a")), hooks.select(F.col("from").alias("b"), F.col("to").alias("to_b"))
+        renamed = rest.join(starts, "a", "left").join(ends, "b").select(F.coalesce("to_a", "a").alias("x"), F.col("to_b").alias("y")).filter("x <> y")
+        rest = checkpointed(renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    raise RuntimeError("edges did not run out")

@@ -1,6 +1,6 @@
 """Near-duplicates by consistent weighted sampling over TF-IDF shingles.
 
-Shingles of five words weigh (1 + ln tf) * (1 + IDF_SHARE * idf). Improved
+Shingles of five words weigh (1 + ln tf) * (1 + share * idf). Improved
 consistent weighted sampling draws, for each of HASHES seeds, a shingle and a
 level of its weight, so that two texts draw alike with a probability of their
 weighted Jaccard similarity. Bands of the draws bring texts together; texts of
@@ -15,25 +15,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as hash_word
 
-from tessera.llm.common import checkpointed, coded_words, column_of, mix64, slices
+from tessera.llm.common import checkpointed, coded_words, column_of, mix64, slices, small_batches
 from tessera.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BANDS, ROWS = 64, 32, 5
-#: Weight of idf beside 1. With idf alone, the few shingles that an edit makes, which no other text has, would outweigh the many that a large group of copies shares.
-IDF_SHARE = 0.25
+#: Weight of idf beside 1, in draws and in the comparison. Draws lean on rare shingles, so that a passage of many texts brings few together. The comparison leans less: the few shingles
+#: that an edit makes, which no other text has, would outweigh the many that a large group of copies shares.
+DRAW_IDF, IDF_SHARE = 1.0, 0.1
 #: Document frequencies are counted in so many hashed buckets, a table of fixed size (2 MB); shingles of a bucket share their count.
 DF_BITS, DF_PARTS = 18, 16
 #: Draws are read from tables of so many entries by seeds of their own; a shingle's full hash decides between equal draws.
 TABLE_BITS = 16
-#: Of 64 draws' lowest bits, texts at the threshold share 57.6 in the mean with a deviation of 2.4; pairs with more differences than this are not alike.
-MOST_BITS = 18
-#: Shingles drawn from at a time.
-CHUNK = 32_768
+#: Four bits of each draw: texts at the threshold draw 69 % alike at least (in a group of nearly all texts, 80 % in a small one), and then differ in 19 draws with a deviation of 3.6; pairs that
+#: differ in more than this, four deviations above, are not alike.
+SKETCH_WORDS, MOST_DIFFERENT = 4, 33
+#: Nodes are hashed to so many places to tell which texts are wanted, so that set has a fixed size (8 MB).
+PLACES = 1 << 20
+#: Shingles drawn from at a time; text bytes of which shingles are in memory.
+CHUNK, TEXT_BYTES = 32_768, 2_000_000
+#: Texts of a band that leaders leave apart are held against each other pair by pair in bands of so many texts, in larger ones by blocks of a pool of alike texts.
+SMALL_BAND, BLOCK, COLUMNS = 32, 256, 4096
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,14 +81,14 @@ def _draws() -> tuple[np.ndarray, ...]:
     return r.astype(f), (1 / r).astype(f), np.log(c).astype(f), beta.astype(f), multiply, bands
 
 
-def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return ((1 + np.log(tf)) * idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)]).astype(np.float32)
+def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray, share: float) -> np.ndarray:
+    return ((1 + np.log(tf)) * (1 + share * idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)])).astype(np.float32)
 
 
 def idf_table(df: np.ndarray, n_docs: int) -> np.ndarray:
-    """1 + IDF_SHARE * idf by bucket, idf from 0 (in every text) to 1 (in none)."""
+    """idf by bucket, from 0 (in every text) to 1 (in none)."""
     top = np.log1p(max(n_docs, 1))
-    return (1 + IDF_SHARE * np.clip((top - np.log1p(df)) / top, 0, 1)).astype(np.float32)
+    return np.clip((top - np.log1p(df)) / top, 0, 1).astype(np.float32)
 
 
 def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -108,11 +115,11 @@ def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signatures(doc: np.ndarray, h: np.ndarray, w: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _signatures(doc: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(texts with shingles, their band keys, their sketch bits)."""
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     have, ends = doc[first], np.concatenate([first[1:], [len(doc)]])
-    keys, sketch = np.empty((len(have), BANDS), np.int64), np.empty(len(have), np.int64)
+    keys, sketch = np.empty((len(have), BANDS), np.int64), np.empty((len(have), SKETCH_WORDS), np.int64)
     bands = _draws()[5]
     i = 0
     with np.errstate(over="ignore"):
@@ -120,9 +127,9 @@ def _signatures(doc: np.ndarray, h: np.ndarray, w: np.ndarray, n_docs: int) -> t
             j = max(i + 1, int(np.searchsorted(ends, first[i] + CHUNK, side="right")))
             a, b = first[i], ends[j - 1]
             s = mix64(samples(h[a:b], w[a:b], first[i:j] - a).ravel()).reshape(HASHES, j - i)
-            bits = np.zeros(j - i, np.uint64)
+            bits = np.zeros((j - i, SKETCH_WORDS), np.uint64)
             for k in range(HASHES):
-                bits |= (s[k] & np.uint64(1)) << np.uint64(k)
+                bits[:, k // 16] |= (s[k] & np.uint64(15)) << np.uint64(4 * (k % 16))
             sketch[i:j] = bits.view(np.int64)
             for k in range(BANDS):
                 x = np.full(j - i, k + 1, np.uint64)
@@ -139,7 +146,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, n = np.zeros(1 << DF_BITS, np.int64), 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXT_BYTES):
                 _, h, _ = shingles(part.column("text"))
                 table += np.bincount((h >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS)
                 n += part.num_rows
@@ -164,6 +171,17 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return df.ravel(), sum(t[1] for t in tables)
 
 
+def differences(a: str, b: str) -> Column:
+    """Draws that differ, by the sketches in columns a0 to a3 and b0 to b3."""
+    total = F.lit(0)
+    for i in range(SKETCH_WORDS):
+        x = F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return total
+
+
 def text_node(text: Column) -> Column:
     """A number for each distinct text."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -179,10 +197,18 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - both)
 
 
+def _texts(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, text of the wanted nodes. Most texts are not wanted: those whose place is free are left where they are."""
+    wanted = wanted.distinct().join(nodes.select("node", "first_doc"), "node")
+    place = F.pmod("node", F.lit(PLACES)).alias("place")
+    near = rows.withColumn("place", place).join(F.broadcast(wanted.select(place).distinct()), "place", "left_semi")
+    found = near.join(wanted.select(F.col("node").alias("want"), "first_doc"), near.doc_id.eqNullSafe(F.col("first_doc")) & (near.node == F.col("want")))
+    return found.select("node", "text").dropDuplicates(["node"])
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshold: float) -> DataFrame:
-    """a, b, alike of pairs (a, b) of nodes. Only texts that stand in a pair are moved; b's are the fewer, so they are read last and kept while they repeat."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "first_doc"), "node")
-    texts = rows.join(wanted.select(F.col("node").alias("want"), "first_doc"), rows.doc_id.eqNullSafe(F.col("first_doc")) & (rows.node == F.col("want"))).select("node", "text").dropDuplicates(["node"])
+    """a, b, alike of pairs (a, b) of nodes. b's are the fewer, so they are read last and kept while they repeat."""
+    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), nodes, rows)
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +219,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshol
                 new = {x: i for i, x in enumerate(b) if x not in held}
                 both = pa.concat_arrays([part.column("text_a"), part.column("text_b").take(pa.array(list(new.values()), pa.int64()))])
                 doc, h, tf = shingles(both)
-                w = weights(h, tf, idf.value)
+                w = weights(h, tf, idf.value, IDF_SHARE)
                 at = np.searchsorted(doc, np.arange(len(both) + 1))
                 of = lambda i: (h[at[i] : at[i + 1]], w[at[i] : at[i + 1]])
                 fresh = {x: of(len(a) + i) for i, x in enumerate(new)}
@@ -204,13 +230,77 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshol
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, alike boolean")
 
 
+def block_links(texts: pa.Array, other: pa.Array, labels: np.ndarray, other_labels: np.ndarray, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of texts and others of different labels whose similarity reaches the threshold, for each text one of each label.
+
+    min(w, v) of a shingle that the texts have m and n times is the sum over levels up to both m and n of what a level adds, so sums of minima are a product of matrices over levels of shingles.
+    """
+    n = len(texts)
+    doc, h, tf = shingles(pa.concat_arrays([texts.cast(pa.large_string()), other.cast(pa.large_string())]))
+    unit = weights(h, np.ones(len(h)), idf, IDF_SHARE).astype(np.float64)
+    total = np.bincount(doc, weights=weights(h, tf, idf, IDF_SHARE), minlength=n + len(other))
+    level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+    adds = np.repeat(unit, tf) * np.where(level == 0, 1.0, np.log1p(level) - np.log(np.maximum(level, 1)))
+    with np.errstate(over="ignore"):
+        keys = np.repeat(h, tf) + mix64(level.astype(np.uint64))
+    doc = np.repeat(doc, tf)
+    _, column = np.unique(keys, return_inverse=True)
+    here, there = np.zeros(column.max(initial=-1) + 1, bool), np.zeros(column.max(initial=-1) + 1, bool)
+    here[column[doc < n]], there[column[doc >= n]] = True, True
+    rank = np.cumsum(here & there) - 1
+    keep = (here & there)[column]
+    doc, column, value = doc[keep], rank[column[keep]], np.sqrt(adds[keep]).astype(np.float32)
+    order = np.argsort(column, kind="stable")
+    doc, column, value = doc[order], column[order], value[order]
+    both = np.zeros((n, len(other)), np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        dense = np.zeros((n + len(other), COLUMNS), np.float32)
+        dense[doc[a:b], column[a:b] - low] = value[a:b]
+        both += dense[:n] @ dense[n:].T
+    whole = total[:n, None] + total[None, n:] - both
+    alike = (both >= (threshold - 1e-5) * whole) & (labels[:, None] != other_labels[None, :])
+    i, j = np.nonzero(alike)
+    _, one = np.unique(np.stack([i, other_labels[j]]), axis=1, return_index=True) if len(i) else (None, np.zeros(0, np.int64))
+    return i[one], j[one]
+
+
+def _pool_links(open_nodes: DataFrame, checked: DataFrame, labels: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshold: float) -> DataFrame:
+    """a, b: links between classes of one pool (classes that compared pairs connect, though these were not alike). Those outside the pool's largest class are held against all of the pool, block by block."""
+    named = open_nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"of_{name}"))
+    # Classes, not nodes, are what pools connect, so a class of thousands of links is one end of an edge
+    between = checked.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b").distinct()
+    there = named.select("label").distinct()
+    between = between.join(there.withColumnRenamed("label", "a"), "a", "left_semi").join(there.withColumnRenamed("label", "b"), "b", "left_semi")
+    pools = named.join(components(between).select(F.col("node").alias("label"), F.col("label").alias("pool")), "label")
+    sizes = pools.groupBy("pool", "label").agg(F.count("*").alias("n")).groupBy("pool").agg(F.max(F.struct("n", "label")).alias("core"), F.sum("n").alias("all"))
+    plan = sizes.filter(F.col("all") > F.col("core.n")).select("pool", F.col("core.label").alias("core"), F.ceil(F.col("all") / BLOCK).alias("columns"), F.ceil((F.col("all") - F.col("core.n")) / BLOCK).alias("lines"))
+    placed = checkpointed(pools.join(plan, "pool"))
+    spread = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    part = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
+    rest = placed.filter("label <> core").select("pool", part("lines").alias("line"), spread("columns").alias("column"), "node", "label", F.lit(True).alias("asks"))
+    every = placed.select("pool", spread("lines").alias("line"), part("columns").alias("column"), "node", "label", F.lit(False).alias("asks"))
+    sent = rest.unionByName(every).join(_texts(placed.select("node"), nodes, rows), "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table["asks"].combine_chunks()
+        a, b = table.filter(asks), table.filter(pc.invert(asks))
+        column = lambda t, c: t[c].combine_chunks()
+        i, j = block_links(column(a, "text"), column(b, "text"), a["label"].to_numpy(), b["label"].to_numpy(), idf.value, threshold) if a.num_rows and b.num_rows else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": a["node"].to_numpy()[i], "b": b["node"].to_numpy()[j]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return sent.groupBy("pool", "line", "column").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, node (its text), class_id (smallest doc_id of the class), class_docs: one row for each row of docs.
+    """doc_id, node (its text), class_node (smallest node of the class), class_id (smallest doc_id of it), class_docs: one row for each row of docs.
 
     Texts of at least `threshold` weighted Jaccard similarity are linked, links make classes; equal texts are of one class, and so are texts that differ in white space. Texts without words, null
     among them, are alike only if equal. Null doc_ids: class_id is the smallest that is not null. Empty table: empty result.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     text = column_of(docs, "text", "string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_node(text).alias("node"))
     df, n_docs = document_frequencies(rows)
@@ -218,38 +308,46 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=TEXT_BYTES):
                 doc, h, tf = shingles(part.column("text"))
-                have, keys, sketch = _signatures(doc, h, weights(h, tf, idf.value), part.num_rows)
+                have, keys, sketch = _signatures(doc, h, weights(h, tf, idf.value, DRAW_IDF))
                 bands = np.zeros(part.num_rows + 1, np.int32)
                 bands[have + 1] = BANDS
-                bits = np.zeros(part.num_rows, np.int64)
-                bits[have] = sketch
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "node": part.column("node"), "bits": bits, "bands": pa.ListArray.from_arrays(pa.array(np.cumsum(bands, dtype=np.int32)), pa.array(keys.ravel()))})
-
-    signed = rows.mapInArrow(sign, "doc_id long, node long, bits long, bands array<long>")
-    nodes = checkpointed(signed.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands")))
-    banded = nodes.select("node", "bits", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("node", "bits")).alias("lead")).filter("n > 1").select("band", "lead")
+                words = np.zeros((part.num_rows, SKETCH_WORDS), np.int64)
+                words[have] = sketch
+                columns = {"doc_id": part.column("doc_id"), "node": part.column("node")} | {f"s{i}": words[:, i] for i in range(SKETCH_WORDS)}
+                yield pa.RecordBatch.from_pydict(columns | {"bands": pa.ListArray.from_arrays(pa.array(np.cumsum(bands, dtype=np.int32)), pa.array(keys.ravel()))})
+
+    drawn = [f"s{i}" for i in range(SKETCH_WORDS)]
+    signed = rows.mapInArrow(sign, f"doc_id long, node long, {', '.join(f'{c} long' for c in drawn)}, bands array<long>")
+    nodes = checkpointed(signed.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in drawn], F.first("bands").alias("bands")))
+    sketch = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}{i}") for i, c in enumerate(drawn)])
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     members = checkpointed(banded.join(shared, "band"))
-    differs = lambda x, y: F.bit_count(x.bitwiseXOR(y))
-    led = members.filter((F.col("node") != F.col("lead.node")) & (differs(F.col("bits"), F.col("lead.bits")) <= MOST_BITS))
-    first = checkpointed(_verified(led.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct(), nodes, rows, idf, threshold))
-    labels = components(first.filter("alike"))
 
-    # What the leaders did not decide: members of one band that are still in different classes
-    placed = members.select("band", "node", "bits").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-    open_ = checkpointed(placed.join(split, "band"))
-    other = open_.select("band", F.col("node").alias("b"), F.col("bits").alias("bits_b"), F.col("label").alias("label_b"))
-    left = open_.join(other, "band").filter((F.col("label") < F.col("label_b")) & (differs(F.col("bits"), F.col("bits_b")) <= MOST_BITS))
-    known = first.filter("not alike").select("a", "b")
+    # Each band's texts are held against its first and its last one
+    met = members.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").distinct()
+    near = met.join(sketch("a"), "a").join(sketch("b"), "b").filter(differences("a", "b") <= MOST_DIFFERENT).select("a", "b")
+    checked = checkpointed(_verified(near, nodes, rows, idf, threshold))
+    links, known = checked.filter("alike").select("a", "b"), checked.filter("not alike").select("a", "b")
     known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = left.select(F.col("node").alias("a"), "b").distinct().join(known, ["a", "b"], "left_anti")
-    second = checkpointed(_verified(pairs, nodes, rows, idf, threshold).filter("alike"))
-    if second.limit(1).count():
-        labels = components(first.filter("alike").unionByName(second))
+    labels = components(links)
+
+    # What the leaders did not decide: members of one band that are still in different classes
+    placed = members.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = placed.groupBy("band").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.count("*").alias("in_band")).filter("one <> other").select("band", "in_band")
+    open_ = checkpointed(placed.join(split, "band").select("band", "in_band", F.col("node").alias("a"), F.col("label").alias("label_a")))
+    small = open_.filter(F.col("in_band") <= SMALL_BAND).drop("in_band").join(sketch("a"), "a")
+    names = {"a": "b", "label_a": "label_b"} | {f"a{i}": f"b{i}" for i in range(SKETCH_WORDS)}
+    left = small.join(small.withColumnsRenamed(names), "band").filter((F.col("label_a") < F.col("label_b")) & (differences("a", "b") <= MOST_DIFFERENT))
+    pairs = left.select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
+    more = _verified(pairs, nodes, rows, idf, threshold).filter("alike").select("a", "b")
+    large = open_.filter(F.col("in_band") > SMALL_BAND).select(F.col("a").alias("node")).distinct()
+    more = checkpointed(more.unionByName(_pool_links(large, checked.select("a", "b"), labels, nodes, rows, idf, threshold)))
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
     classed = checkpointed(nodes.select("node", "first_doc", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     named = classed.groupBy("label").agg(F.min("first_doc").alias("class_id"), F.sum("n").alias("class_docs"))
-    by_node = classed.select("node", "label").join(named, "label").select("node", "class_id", "class_docs")
-    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "class_id", "class_docs")
+    by_node = classed.select("node", "label").join(named, "label").select("node", F.col("label").alias("class_node"), "class_id", "class_docs")
+    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "class_node", "class_id", "class_docs")

@@ -155,6 +155,65 @@ def test_near_duplicates_against_brute_force(spark):
             assert len(group) == 1 or any(len(sets[d] & sets[e]) / len(sets[d] | sets[e]) >= 0.75 for e in group if e != d)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    from tessera.llm.components import components
+
+    rng = random.Random(seed)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 230 - i) for i in range(30)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    assert dict(components(spark.createDataFrame(edges, "a long, b long")).collect()) == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_large_bands_are_compared_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL_BAND", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(9)
+    base = [f"v{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            t[rng.randrange(120)] = f"e{rng.random()}"
+        rows.append((i, " ".join(t), "en", "s", 1))
+    out = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    sets = {d: shingle_set(t) for d, t, *_ in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.83:
+                assert out[a] == out[b]
+
+
+def test_block_links_are_the_pairs_links():
+    rng = random.Random(1)
+    base = rng.choices([f"v{i}" for i in range(50)], k=100)
+
+    def text():
+        t = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            t[rng.randrange(100)] = f"e{rng.randrange(30)}"
+        return " ".join(t + t[:30])
+
+    a, b = [text() for _ in range(30)], [text() for _ in range(40)]
+    idf = np.linspace(0, 1, 1 << near_dedup.DF_BITS).astype(np.float32)
+    i, j = near_dedup.block_links(pa.array(a), pa.array(b), np.arange(30), np.arange(100, 140), idf, 0.8)
+    doc, h, tf = near_dedup.shingles(pa.array(a + b, pa.large_string()))
+    w, at = near_dedup.weights(h, tf, idf, near_dedup.IDF_SHARE), np.searchsorted(doc, np.arange(71))
+    of = lambda k: (h[at[k] : at[k + 1]], w[at[k] : at[k + 1]])
+    assert set(zip(i.tolist(), j.tolist())) == {(x, y) for x in range(30) for y in range(40) if near_dedup.similarity(of(x), of(30 + y)) >= 0.8}
+
+
 def test_near_duplicates_odd_rows(spark, odd, none):
     out = near_dedup.near_duplicates(odd).collect()
     assert len(out) == len(ODD)
