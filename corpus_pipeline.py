@@ -37,10 +37,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (operator 3) the document with the smallest doc_id; of equal rows, one."""
+    """Of each class of near-duplicates (operator 3) the document with the smallest doc_id (null: the last); of equal rows, one."""
     classes = near_dedup.near_duplicates(docs)
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("node"))
-    keep = first.select(F.col("class_id").alias(f"{OWN}doc"), F.col("node").alias(f"{OWN}text"))
+    first = classes.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("row"))
+    keep = first.select(F.col("row.doc_id").alias(f"{OWN}doc"), F.col("row.node").alias(f"{OWN}text"))
     joined = docs.select("*", near_dedup.text_node(F.col("text")).alias(f"{OWN}node")).join(keep, F.col("doc_id").eqNullSafe(F.col(f"{OWN}doc")) & (F.col(f"{OWN}node") == F.col(f"{OWN}text")))
     return joined.dropDuplicates([f"{OWN}doc", f"{OWN}text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
