@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import boosting
-from tessera.llm.common import column_of, slices
+from tessera.llm.common import column_of, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_TAIL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -218,8 +218,11 @@ def train(texts: list[str], seed: int = 5) -> PiiModel:
 
 def train_on(docs: DataFrame, rows: int = SAMPLE_ROWS) -> PiiModel:
     """train() on so many texts of docs at most, those whose doc_id has the smallest hash; of each, two stretches of 2,000 code points are enough to write formats into."""
+    # Ids first: a task would send its own `rows` texts to the driver otherwise
+    picked = docs.filter(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
     text = column_of(docs, "text", "string")
-    found = docs.select(F.col("doc_id"), F.substring(text, 1, 2000).alias("head"), F.substring(text, -2000, 2000).alias("tail")).orderBy(F.xxhash64("doc_id"), "head").limit(rows).collect()
+    ends = docs.select("doc_id", F.substring(text, 1, 2000).alias("head"), F.substring(text, -2000, 2000).alias("tail")).join(F.broadcast(picked), "doc_id")
+    found = ends.orderBy(F.xxhash64("doc_id"), "head", "tail").limit(rows).collect()
     return train([t for r in found for t in (r.head, r.tail)])
 
 
@@ -228,6 +231,7 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint,by_rule:boolean,probab
 
 def find_pii(docs: DataFrame, model: PiiModel) -> DataFrame:
     """doc_id and spans (kind, start, end in code points, end exclusive; by_rule; probability), by start, then kind: one row for each row of docs. Null text: no spans. Whole texts are read."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = ("kind", "start", "end", "by_rule", "probability")
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("by_rule", pa.bool_()), ("probability", pa.float64())]))
