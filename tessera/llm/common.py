@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,6 +58,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system: after a fit, the allocator would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once; Catalyst would copy the expression to each place that reads it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as hash_word
 
-from tessera.llm.common import checkpointed, coded_words, column_of, mix64, slices, small_batches
+from tessera.llm.common import checkpointed, coded_words, column_of, give_back, mix64, slices, small_batches
 from tessera.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -305,6 +305,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_node(text).alias("node"))
     df, n_docs = document_frequencies(rows)
     idf = spark.sparkContext.broadcast(idf_table(df, n_docs))
+    give_back()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as hash_word
 
-from tessera.llm.common import coded_words, column_of, slices, small_batches
+from tessera.llm.common import coded_words, column_of, give_back, slices, small_batches
 from tessera.llm.toxicity import sample
 
 #: Words are hashed into a table of fixed size (2 MB of vectors); words of a bucket share a vector.
@@ -194,6 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> QualityModel:
 def scored(docs: DataFrame, model, *carried: Column, name: str = "score") -> DataFrame:
     """The carried columns of docs with the score, by any model with scores(texts). Null or empty text: the score of a text without words."""
     small_batches(docs.sparkSession)
+    give_back()
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*carried, column_of(docs, "text", "string").alias("__text"))
     names = rows.columns[:-1]
