@@ -41,6 +41,8 @@ PLACES = 1 << 20
 CHUNK, TEXT_BYTES = 32_768, 2_000_000
 #: Texts of a band that leaders leave apart are held against each other pair by pair in bands of so many texts, in larger ones by blocks of a pool of alike texts.
 SMALL_BAND, BLOCK, COLUMNS = 32, 256, 4096
+#: Sketches of a large band are held against each other in blocks of so many.
+SKETCHES = 1024
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,23 +267,75 @@ def block_links(texts: pa.Array, other: pa.Array, labels: np.ndarray, other_labe
     return i[one], j[one]
 
 
-def _pool_links(open_nodes: DataFrame, checked: DataFrame, labels: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshold: float) -> DataFrame:
-    """a, b: links between classes of one pool (classes that compared pairs connect, though these were not alike). Those outside the pool's largest class are held against all of the pool, block by block."""
-    named = open_nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _dealt(open_rows: DataFrame, group: str, size: int) -> DataFrame:
+    """Rows (group, label and others) of groups of more than one class, with the group's largest class (core) and the columns and lines of blocks it takes to hold those outside the core against all."""
+    sizes = open_rows.groupBy(group, "label").agg(F.count("*").alias("n")).groupBy(group).agg(F.max(F.struct("n", "label")).alias("core"), F.sum("n").alias("all"))
+    plan = sizes.filter(F.col("all") > F.col("core.n")).select(group, F.col("core.label").alias("core"), F.ceil(F.col("all") / size).alias("columns"), F.ceil((F.col("all") - F.col("core.n")) / size).alias("lines"))
+    return checkpointed(open_rows.join(plan, group))
+
+
+def _sent(placed: DataFrame, group: str, *others: str) -> DataFrame:
+    """group, line, column of each block with its rows: those that ask (outside the core) and those that they are held against."""
+    spread = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    part = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
+    rest = placed.filter("label <> core").select(group, part("lines").alias("line"), spread("columns").alias("column"), "node", "label", *others, F.lit(True).alias("asks"))
+    every = placed.select(group, spread("lines").alias("line"), part("columns").alias("column"), "node", "label", *others, F.lit(False).alias("asks"))
+    return rest.unionByName(every)
+
+
+def near_labels(a: np.ndarray, b: np.ndarray, labels: np.ndarray, other_labels: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(label, label) that connect all the labels of sketches (rows of a and of b) which differ in at most so many draws."""
+    differ = np.zeros((len(a), len(b)), np.uint8)
+    for k in range(SKETCH_WORDS):
+        x = a[:, k, None] ^ b[None, :, k]
+        x |= (x >> np.uint64(2)) & np.uint64(0x3333333333333333)
+        x |= (x >> np.uint64(1)) & np.uint64(0x5555555555555555)
+        differ += np.bitwise_count(x & np.uint64(0x1111111111111111))
+    near = (differ <= most) & (labels[:, None] != other_labels[None, :])
+    left, out = near.any(1), []
+    while left.any():
+        seed = int(np.argmax(left))
+        rows, columns = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        rows[seed], new = True, np.array([seed])
+        while len(new):
+            met = near[new].any(0) & ~columns
+            columns |= met
+            new = np.flatnonzero(near[:, met].any(1) & ~rows)
+            rows[new] = True
+        left &= ~rows
+        ends = np.unique(np.concatenate([labels[rows], other_labels[columns]]))
+        out.append(np.stack([np.full(len(ends), labels[seed]), ends]))
+    pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return pairs[0], pairs[1]
+
+
+def _near_classes(open_rows: DataFrame) -> DataFrame:
+    """a, b: classes that texts of one large band (band, node, label, a0 to a3) connect, as their sketches allow that they are alike. No text need be near a leader for that: those outside the band's largest class are held against all of the band."""
+    words, most = [f"a{i}" for i in range(SKETCH_WORDS)], MOST_DIFFERENT
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table["asks"].combine_chunks()
+        a, b = table.filter(asks), table.filter(pc.invert(asks))
+        bits = lambda t: np.stack([t[c].to_numpy().view(np.uint64) for c in words], axis=1)
+        x, y = near_labels(bits(a), bits(b), a["label"].to_numpy(), b["label"].to_numpy(), most)
+        return pa.table({"a": x, "b": y}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    sent = _sent(_dealt(open_rows, "band", SKETCHES), "band", *words)
+    return sent.groupBy("band", "line", "column").applyInArrow(compare, "a long, b long").filter("a <> b").distinct()
+
+
+def _pool_links(open_rows: DataFrame, checked: DataFrame, labels: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshold: float) -> DataFrame:
+    """a, b: links between classes of one pool (classes that texts of a large band connect by their sketches, or compared pairs that were not alike). Those outside the pool's largest class are held against all of the pool, block by block."""
     of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"of_{name}"))
+    named = checkpointed(open_rows.select("node", "label").distinct())
     # Classes, not nodes, are what pools connect, so a class of thousands of links is one end of an edge
     between = checked.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b").distinct()
     there = named.select("label").distinct()
     between = between.join(there.withColumnRenamed("label", "a"), "a", "left_semi").join(there.withColumnRenamed("label", "b"), "b", "left_semi")
+    between = between.unionByName(_near_classes(open_rows))
     pools = named.join(components(between).select(F.col("node").alias("label"), F.col("label").alias("pool")), "label")
-    sizes = pools.groupBy("pool", "label").agg(F.count("*").alias("n")).groupBy("pool").agg(F.max(F.struct("n", "label")).alias("core"), F.sum("n").alias("all"))
-    plan = sizes.filter(F.col("all") > F.col("core.n")).select("pool", F.col("core.label").alias("core"), F.ceil(F.col("all") / BLOCK).alias("columns"), F.ceil((F.col("all") - F.col("core.n")) / BLOCK).alias("lines"))
-    placed = checkpointed(pools.join(plan, "pool"))
-    spread = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
-    part = lambda k: F.pmod(F.xxhash64("node"), F.col(k))
-    rest = placed.filter("label <> core").select("pool", part("lines").alias("line"), spread("columns").alias("column"), "node", "label", F.lit(True).alias("asks"))
-    every = placed.select("pool", spread("lines").alias("line"), part("columns").alias("column"), "node", "label", F.lit(False).alias("asks"))
-    sent = rest.unionByName(every).join(_texts(placed.select("node"), nodes, rows), "node")
+    placed = _dealt(pools, "pool", BLOCK)
+    sent = _sent(placed, "pool").join(_texts(placed.select("node"), nodes, rows), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table["asks"].combine_chunks()
@@ -344,7 +398,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     left = small.join(small.withColumnsRenamed(names), "band").filter((F.col("label_a") < F.col("label_b")) & (differences("a", "b") <= MOST_DIFFERENT))
     pairs = left.select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
     more = _verified(pairs, nodes, rows, idf, threshold).filter("alike").select("a", "b")
-    large = open_.filter(F.col("in_band") > SMALL_BAND).select(F.col("a").alias("node")).distinct()
+    large = open_.filter(F.col("in_band") > SMALL_BAND).drop("in_band").join(sketch("a"), "a").withColumnsRenamed({"a": "node", "label_a": "label"})
     more = checkpointed(more.unionByName(_pool_links(large, checked.select("a", "b"), labels, nodes, rows, idf, threshold)))
     if more.limit(1).count():
         labels = components(links.unionByName(more))

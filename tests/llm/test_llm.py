@@ -195,6 +195,47 @@ def test_large_bands_are_compared_by_blocks(spark, monkeypatch):
                 assert out[a] == out[b]
 
 
+def test_texts_far_from_every_leader_are_compared(spark):
+    rng = random.Random(4)
+    text = lambda: [f"v{rng.random()}" for _ in range(80)]
+    one, low, high = text(), text(), text()
+    texts = [" ".join(t) for t in (low, one, one[:-1] + ["other"], high)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("node", near_dedup.text_node(F.col("text")))
+    nodes = rows.select("node", F.col("doc_id").alias("first_doc"))
+    # One large band: the leaders' sketches have nothing in common with those of the two alike, which differ in one draw
+    words = F.when(F.col("doc_id") == 0, F.lit(0x1111111111111111)).when(F.col("doc_id") == 3, F.lit(0x2222222222222222)).otherwise(F.lit(0x4444444444444444) + F.col("doc_id"))
+    band = rows.select(F.lit(7).cast("long").alias("band"), "node", F.col("node").alias("label"), *[words.alias(f"a{i}") for i in range(near_dedup.SKETCH_WORDS)])
+    none = lambda schema: spark.createDataFrame([], schema)
+    idf = spark.sparkContext.broadcast(np.ones(1 << near_dedup.DF_BITS, np.float32))
+    found = near_dedup._pool_links(band, none("a long, b long"), none("node long, label long"), nodes, rows, idf, 0.8).collect()
+    alike = {r.node for r in rows.filter("doc_id IN (1, 2)").collect()}
+    assert {frozenset((r.a, r.b)) for r in found} == {frozenset(alike)}
+
+
+def test_near_labels_connect_what_all_pairs_do():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 64, (6, near_dedup.SKETCH_WORDS), np.uint64)
+    bits = base[rng.integers(0, 6, 90)] ^ (rng.integers(0, 1 << 64, (90, near_dedup.SKETCH_WORDS), np.uint64) & rng.integers(0, 1 << 64, (90, near_dedup.SKETCH_WORDS), np.uint64) & np.uint64(0x1111111111111111))
+    labels = np.arange(90) // 2
+    differ = lambda x, y: sum(bin(int(p) ^ int(q))[2:].zfill(64)[k : k + 4] != "0000" for p, q in zip(x, y, strict=True) for k in range(0, 64, 4))
+    for most in (16, 20, 26):
+        of = {}
+
+        def root(x):
+            while of.get(x, x) != x:
+                x = of[x]
+            return x
+
+        want, got = [(labels[i], labels[j]) for i in range(40) for j in range(40, 90) if labels[i] != labels[j] and differ(bits[i], bits[j]) <= most], near_dedup.near_labels(bits[:40], bits[40:], labels[:40], labels[40:], most)
+        classes = []
+        for edges in (want, zip(*got, strict=True)):
+            of.clear()
+            for x, y in edges:
+                of[max(root(x), root(y))] = min(root(x), root(y))
+            classes.append([root(x) for x in labels])
+        assert want and classes[0] == classes[1]
+
+
 def test_block_links_are_the_pairs_links():
     rng = random.Random(1)
     base = rng.choices([f"v{i}" for i in range(50)], k=100)
