@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +53,11 @@ def backtrace(edges: DataFrame, method: str, start: str | None = None, most_dept
     return done.withColumn("confidence", path_confidence(F.col("depth"), F.col("reached"))).orderBy(F.desc("confidence"), F.array_join("path", ">")).limit(most_paths)
 
 
-def reachable(edges: DataFrame, start: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """node, depth of all nodes that a way leads to from start (node), with the shortest depth; cycles end. A round handles the newest nodes only."""
     seen = checkpointed(start.select("node").distinct().withColumn("depth", F.lit(0)))
     newest = seen
-    for depth in range(1, most_rounds + 1):
+    for depth in itertools.count(1):
         step = newest.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         newest = checkpointed(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if newest.limit(1).count() == 0:
@@ -69,18 +71,20 @@ def dependents(dependencies: DataFrame, changed: DataFrame) -> DataFrame:
     return reachable(dependencies.select(F.col("depends_on").alias("src"), F.col("file").alias("dst")), changed)
 
 
-def levels(nodes: DataFrame, dependencies: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def levels(nodes: DataFrame, dependencies: DataFrame) -> DataFrame:
     """node, level: 0 without dependencies, else one more than the highest of them. Where only cycles are left, the smallest node of them goes first."""
     left = checkpointed(nodes.select("node").distinct())
     deps = checkpointed(dependencies.select("node", "needs").distinct())
     out = None
-    for level in range(most_rounds):
+    for level in itertools.count():
         waiting = deps.join(left.select("node"), "node", "left_semi").join(left.select(F.col("node").alias("needs")), "needs", "left_semi").select("node").distinct()
         ready = left.join(waiting, "node", "left_anti")
         if ready.limit(1).count() == 0:
             ready = left.orderBy("node").limit(1)
         placed = checkpointed(ready.withColumn("level", F.lit(level)))
         out = placed if out is None else out.unionByName(placed)
+        if level % 50 == 49:
+            out = checkpointed(out)
         left = checkpointed(left.join(placed, "node", "left_anti"))
         if left.limit(1).count() == 0:
             break

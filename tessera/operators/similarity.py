@@ -38,21 +38,42 @@ def set_pairs(sets: DataFrame, id_col: str, elements: str, floor: float) -> Data
     return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).filter(F.col("similarity") >= floor)
 
 
-def greedy_groups(pairs: DataFrame, most_rounds: int = 200) -> DataFrame:
+def _settled(pairs: list[tuple], taken: set) -> list[tuple]:
+    """(id, role) of the rows in pairs (a < b), in id order: a row leads unless it is taken or a smaller neighbour leads."""
+    below: dict = {}
+    for a, b in pairs:
+        below.setdefault(a, [])
+        below.setdefault(b, []).append(a)
+    roles: dict = {}
+    for x in sorted(below):
+        roles[x] = "taken" if x in taken or any(roles[a] == "leader" for a in below[x]) else "leader"
+    return list(roles.items())
+
+
+def greedy_groups(pairs: DataFrame, few: int = 100_000) -> DataFrame:
     """member, leader, similarity (1 for the leader itself) as one pass in id order makes them: a row that no earlier leader took leads, and takes all later rows alike to it that are free.
 
     Leaders are found in rounds over the pairs (a < b): a row leads once all its smaller neighbours are taken, and is taken once a smaller neighbour leads; its leader is the smallest such one.
+    A round settles one row at least, in a chain of versions no more, so once no more than `few` pairs of open rows are left, the driver goes through those in id order.
     """
     pairs = checkpointed(pairs.select("a", "b", "similarity"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     state = checkpointed(ids.withColumn("role", F.lit("open")))
-    for _ in range(most_rounds):
+    while state.filter("role = 'open'").limit(1).count():
         below = pairs.select(F.col("b").alias("id"), F.col("a")).join(state.select(F.col("id").alias("a"), F.col("role").alias("of")), "a")
         seen = below.groupBy("id").agg(F.max((F.col("of") == "leader").cast("int")).alias("led"), F.max((F.col("of") == "open").cast("int")).alias("waits"))
         role = F.when(F.col("role") != "open", F.col("role")).when(F.coalesce("led", F.lit(0)) == 1, "taken").when(F.coalesce("waits", F.lit(0)) == 0, "leader").otherwise("open")
         state = checkpointed(state.join(seen, "id", "left").select("id", role.alias("role")))
-        if state.filter("role = 'open'").limit(1).count() == 0:
-            break
+        open_ = state.filter("role = 'open'").select("id")
+        left = pairs.select("a", "b").join(open_.withColumnRenamed("id", "a"), "a", "left_semi").join(open_.withColumnRenamed("id", "b"), "b", "left_semi")
+        rest = left.select("a", "b").limit(few + 1).collect()
+        if 0 < len(rest) <= few:
+            # Rows that a leader of this round takes are open, but do not lead
+            led = pairs.join(state.filter("role = 'leader'").select(F.col("id").alias("a")), "a").join(open_.withColumnRenamed("id", "b"), "b", "left_semi")
+            ends = {x for r in rest for x in r}
+            found = _settled([tuple(r) for r in rest], {r.b for r in led.select("b").distinct().collect() if r.b in ends})
+            settled = state.sparkSession.createDataFrame(found, state.select("id", F.col("role").alias("now")).schema)
+            state = checkpointed(state.join(settled, "id", "left").select("id", F.coalesce("now", "role").alias("role")))
     leaders = state.filter("role = 'leader'").select(F.col("id").alias("a"))
     taken = state.filter("role = 'taken'").select(F.col("id").alias("b"))
     owned = pairs.join(leaders, "a").join(taken, "b").groupBy("b").agg(F.min(F.struct("a", "similarity")).alias("by"))

@@ -38,6 +38,13 @@ def test_greedy_groups_as_one_pass(spark):
     assert got == leader
 
 
+@pytest.mark.parametrize("few", [0, 5, 100_000])
+def test_greedy_groups_leave_no_row_open(spark, few):
+    n = 1000 if few == 100_000 else 10
+    out = similarity.greedy_groups(frame(spark, [(i, i + 1, 0.9) for i in range(n - 1)], "a long, b long, similarity double"), few).collect()
+    assert {r.member: r.leader for r in out} == {i: i - i % 2 for i in range(n)}
+
+
 def test_greedy_assignment(spark):
     rows = [("p", 1, 10, 0.9), ("p", 1, 11, 0.8), ("p", 2, 10, 0.95), ("p", 2, 11, 0.5), ("p", 1, 12, 0.1), ("p", 2, 12, 0.1)]
     out = similarity.assigned(frame(spark, rows, "pair string, l long, r long, s double"), ["pair"], "l", "r", "s").first()
