@@ -8,6 +8,7 @@ alone, so each distinct word of a stretch of texts is scored once.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +30,29 @@ STEPS, RATE, DECAY = 150, 0.03, 1e-3
 THRESHOLD = 0.7
 
 
+def fitting(sizes: list[int], most: int) -> list[bool]:
+    """Whether each size, in order, fits what those taken before it leave of most; one that does not is passed over."""
+    out = []
+    for n in sizes:
+        out.append(n <= most)
+        most -= n if n <= most else 0
+    return out
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[pa.Array, np.ndarray]:
-    """(texts, labels) of at most so many labelled rows for which usable holds, null labels left out. The chosen ids are no more than `rows`, so they are broadcast."""
+    """(texts, labels) of at most so many labelled rows for which usable holds, null labels left out. The chosen ids are no more than `rows`, so they are broadcast.
+
+    Texts that do not fit the bytes left are passed over, so a long one takes no other's place. Sizes are read first, so that only texts that fit reach the driver.
+    """
     picked = labels.filter(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).distinct().orderBy(F.xxhash64("doc_id"), "y").limit(rows)
     found = docs.select("doc_id", column_of(docs, "text", "string").alias("text")).join(F.broadcast(picked), "doc_id").withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    # At most `rows` rows, or a few more where rows repeat, so one task can add up their sizes
-    order = Window.orderBy(F.xxhash64("doc_id"), "bytes", "text").rowsBetween(Window.unboundedPreceding, 0)
-    table = found.withColumn("so_far", F.sum("bytes").over(order)).filter(F.col("so_far") <= size).orderBy("so_far").select("text", "y").limit(rows).toArrow()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("bytes"), F.col("y")]
+    # At most `rows` rows, or a few more where rows repeat
+    sizes = found.select("doc_id", "bytes", "y").orderBy(*order).limit(rows).collect()
+    taken = Counter((r.doc_id, r.bytes, r.y) for r, fits in zip(sizes, fitting([r.bytes for r in sizes], size), strict=True) if fits)
+    chosen = docs.sparkSession.createDataFrame([(*k, n) for k, n in taken.items()], found.select("doc_id", "bytes", "y", F.lit(0).cast("long").alias("most")).schema)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "bytes", "y").orderBy("text"))
+    table = found.join(F.broadcast(chosen), ["doc_id", "bytes", "y"]).withColumn("nth", nth).filter("nth <= most").orderBy(*order, "text").select("text", "y").toArrow()
     return table["text"].combine_chunks(), table["y"].to_numpy().astype(np.float64)
 
 

@@ -441,6 +441,18 @@ def test_toxicity_on_held_out_texts():
     assert 0 < toxicity.fit(pa.array([], pa.string()), np.zeros(0)).scores(pa.array(["x"]))[0] < 1
 
 
+def test_long_text_takes_no_place_in_the_sample(spark):
+    ids = [r[0] for r in spark.range(6).orderBy(F.xxhash64("id")).collect()]
+    text = {d: "x" * n for d, n in zip(ids, (500, 40, 70, 30, 60, 20), strict=True)}
+    docs = spark.createDataFrame([*text.items(), (ids[1], "y" * 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, toxic long")
+    texts, y = toxicity.sample(docs, labels, "toxic", F.lit(True), size=150)
+    assert texts.to_pylist() == [text[ids[1]], "y" * 40, text[ids[2]]]
+    assert y.tolist() == [ids[1] % 2, ids[1] % 2, ids[2] % 2]
+    assert len(toxicity.sample(docs, labels, "toxic", F.lit(True), size=10)[0]) == 0
+    assert toxicity.fitting([500, 40, 70, 60, 20], 100) == [False, True, False, True, False]
+
+
 def test_quality_on_held_out_texts():
     texts, y = toy(300, 3)
     bad = pa.array([t if g == 0 else re.sub(" ", "### ", t) for t, g in zip(texts.to_pylist(), y)])
