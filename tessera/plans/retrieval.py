@@ -150,7 +150,8 @@ def vector_upsert(spark, d) -> DataFrame:
 
 @query()
 def lsh_topk(spark, d) -> DataFrame:
-    return vector.lsh_top_k(table(spark, d, "embeddings"), _vector(spark, d, 0), 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    e = table(spark, d, "embeddings")
+    return vector.lsh_top_k(e.filter("vec_id % 20 = 0"), e, 10).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query("""WITH b AS (SELECT r_regionkey AS id, md5(lower(trim(r_name))) AS h FROM region), v AS (SELECT id, i, CASE WHEN true THEN ('0x' || substr(h, ((i % 16) * 2 + 1)::INT, 2))::INT END / 128.0::DOUBLE - 1 AS x FROM b, range(384) t(i)), n AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY id)) AS s FROM v)

@@ -32,3 +32,22 @@ def test_entry(spark):
     out = __spark_entry__.entry(spark)
     assert out.columns == ["vec_id", "similarity", "rank"] and out.count() == 20
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_lsh_recall_against_brute_force(spark):
+    import numpy as np
+
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.array(e.embedding.tolist(), float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = e.vec_id.to_numpy()
+    got = {}
+    for r in QUERIES["lsh_topk"](spark, SF).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = [i for i in ids if i % 20 == 0]
+    assert set(got) == set(asked) and len(asked) > 1
+    recall = []
+    for i in asked:
+        best = ids[np.argsort(-(x @ x[ids == i][0]), kind="stable")[:10]]
+        recall.append(len(got[i] & set(best)) / 10)
+    assert np.mean(recall) >= 0.9
