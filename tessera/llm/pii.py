@@ -29,8 +29,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: The generators: more than the rules accept, to be scored.
 AT, DOT = r"(?:@|[\[({]\s?(?:at|@)\s?[\])}]|\sat\s)", r"(?:\.|[\[({]\s?(?:dot|\.)\s?[\])}]|\sdot\s)"
-LOOSE_EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9_%+-]{{0,63}}(?:{DOT}[A-Za-z0-9_%+-]{{1,63}}){{0,3}}\s?{AT}\s?[A-Za-z0-9-]{{1,63}}(?:\s?{DOT}\s?[A-Za-z0-9-]{{1,63}}){{1,4}}")
-LOOSE_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?[0-9]{1,3}){3}(?![0-9])")
+LOOSE_EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9_%+-]{{0,63}}(?:{DOT}[A-Za-z0-9_%+-]{{1,63}}){{0,3}}\s?{AT}\s?[A-Za-z0-9-]{{1,63}}(?:\s?{DOT}\s?[A-Za-z0-9-]{{1,63}}){{1,4}}", re.I)
+#: Where an address may be: an at sign, one in brackets, or one spelled out with a dot to follow.
+EMAIL_AT = re.compile(r"@|[\[({]\s?at\s?[\])}]|\sat\s(?=\S+\s?(?:[\[({]|\sdot\s|dot\s)|[a-z0-9-]+\.[a-z0-9])", re.I)
+LOOSE_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?[0-9]{1,3}){3}(?![0-9])", re.I)
 LOOSE_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}[0-9]){12,18}(?![0-9])")
 LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:\+|00)?\(?[0-9](?:[\x20()./-]{0,3}[0-9]){6,14}(?![0-9])")
 HINTS = {
@@ -40,6 +42,9 @@ HINTS = {
     "phone": re.compile(r"phone|tel|call|mobile|fax|ring|anruf|llam|appel", re.I),
 }
 HARMLESS = re.compile(r"version|\bv$|order|invoice|isbn|part|serial|total|date|\bid\b|page|price|[$€£]\s?$|token|key", re.I)
+#: Words before a spelled-out at that tell of a place, not of a mailbox.
+PLACES = ("look", "looking", "more", "us", "only", "available", "online", "visit", "found", "hosted", "see", "it", "is", "was", "are", "here", "them", "out", "live", "site", "website", "page", "blog", "store", "read", "learn", "work", "works", "working", "based")
+AT_PLACE = re.compile(rf"(?:{'|'.join(PLACES)})\sat\s", re.I)
 #: Code points before a candidate that count as its context.
 AROUND = 24
 #: Share of accepted candidates that must be right on texts that were not fitted to.
@@ -88,11 +93,9 @@ def rule_spans(text: str) -> list[tuple[str, int, int]]:
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that may be personal data; they overlap."""
     out = []
-    low = text.lower() if "dot" in text or "DOT" in text or "Dot" in text else ""
-    if "@" in text or "[" in text or "(" in text or "{" in text or " dot " in low:
-        for m in re.finditer(r"@|[\[({]\s?at\s?[\])}]|\sat\s(?=\S+\s?(?:[\[({]|\sdot\s|dot\s))", text):
-            a, b = max(0, m.start() - 90), min(len(text), m.end() + 130)
-            out.extend(("email", a + x.start(), a + x.end()) for x in LOOSE_EMAIL.finditer(text[a:b]) if a + x.start() < m.end() and a + x.end() > m.start())
+    for m in EMAIL_AT.finditer(text):
+        a, b = max(0, m.start() - 90), min(len(text), m.end() + 130)
+        out.extend(("email", a + x.start(), a + x.end()) for x in LOOSE_EMAIL.finditer(text[a:b]) if a + x.start() < m.end() and a + x.end() > m.start())
     if "[" in text or "(" in text or "{" in text:
         out.extend(("ip", *m.span()) for m in LOOSE_IP.finditer(text))
     out.extend(("card", *m.span()) for m in LOOSE_CARD.finditer(text))
@@ -109,11 +112,11 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     char = lambda c: 0 if not c or c.isspace() else 1 if c.isdigit() else 2 if c.isalpha() else 3
     return [
         KINDS.index(kind), end - start, len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), len(gaps), len(set(gaps)),
-        s[:1] == "+", s[:2] == "00", "(" in s and ")" in s, "-" in s, "." in s, "/" in s, "@" in s, bool(re.search(r"[\[({]\s?(?:at|@)", s)), bool(re.search(r"[\[({]\s?(?:dot|\.)", s)),
+        s[:1] == "+", s[:2] == "00", "(" in s and ")" in s, "-" in s, "." in s, "/" in s, "@" in s, bool(re.search(r"[\[({]\s?(?:at|@)", s, re.I)), bool(re.search(r"[\[({]\s?(?:dot|\.)", s, re.I)),
         " at " in s.lower(), " dot " in s.lower(), len(last[0]), last[0].islower(), luhn(digits) if digits else -1, all(int(g[:9]) <= 255 for g in groups) if groups else -1,
         bool(re.fullmatch(r"(?:19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}.*|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](?:19|20)[0-9]{2}.*", s)),
         [len(g) for g in groups] in ([4, 4, 4, 4], [4, 6, 5]), [len(g) for g in groups][-2:] in ([3, 4], [2, 2], [4, 4]), len(set(digits)),
-        bool(HINTS[kind].search(before)), bool(HARMLESS.search(before)), char(before[-1:]), char(after[:1]), after[:1] in ".," and char(after[1:2]) == 1,
+        bool(HINTS[kind].search(before)), bool(HARMLESS.search(before)), char(before[-1:]), char(after[:1]), after[:1] in ".," and char(after[1:2]) == 1, bool(AT_PLACE.match(s)),
     ]
 
 
@@ -161,9 +164,9 @@ def _written(rng: np.random.Generator, kind: str, wanted: bool) -> str:
     word = lambda: "".join(chr(97 + i) for i in rng.integers(0, 26, rng.integers(3, 9)))
     if kind == "email":
         if wanted:
-            at, dot = pick(("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" at ", " dot "), ("{at}", "."), (" (at) ", "."), ("[@]", "."))
+            at, dot = pick(("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" at ", " dot "), ("{at}", "."), (" (at) ", "."), ("[@]", "."), (" at ", "."), (" [AT] ", " [DOT] "), ("(AT)", "(DOT)"), (" AT ", " DOT "))
             return f"{word()}{pick('', '.' + word(), n(2))}{at}{word()}{dot}{pick('com', 'org', 'net', 'de', 'io')}"
-        return pick(f"{word()} at {word()} dot {word()}ing", f"{word()} (at) {word()}", f"{word()}@{word()}", f"{word()} at {word()}. {word().title()}", f"@{word()} . {word()}")
+        return pick(f"{word()} at {word()} dot {word()}ing", f"{word()} (at) {word()}", f"{word()}@{word()}", f"{word()} at {word()}. {word().title()}", f"{word()} at {word()}.{word().title()}", f"{pick(*PLACES)} at {pick('www.', '')}{word()}.{pick('com', 'org', 'net')}", f"@{word()} . {word()}")
     if kind == "ip":
         parts = [str(rng.integers(0, 256 if wanted else 1000)) for _ in range(4)]
         if not wanted:

@@ -415,6 +415,18 @@ def test_pii_model_adds_formats_and_leaves_prose(spark, odd, none):
     assert pii.find_pii(none, model).count() == 0
 
 
+def test_spelled_out_addresses_are_proposed():
+    for s in ("alice [AT] example [DOT] com", "alice(AT)example(DOT)com", "alice AT example DOT com", "john at example.com", "John At Example Dot Com", "a.b {At} example.org"):
+        text = f"so write to {s} today"
+        assert ("email", 12, 12 + len(s)) in pii.candidates(text), s
+    assert [c for c in pii.candidates("they met at noon. Then at home") if c[0] == "email"] == []
+    assert ("ip", 0, 21) in pii.candidates("10[DOT]0[DOT]0[DOT]77")
+    model = pii.train(["plain words stand here and there at times of the day"] * 20)
+    for s in ("alice [AT] example [DOT] com", "contact alice AT example DOT com", "contact john at example.com"):
+        assert [x[0] for x in model.spans(s)] == ["email"], s
+    assert model.spans("look at example.com") == []
+
+
 def toy(n, seed):
     rng = random.Random(seed)
     syllables = ["ka", "to", "mi", "ren", "sol", "ta", "bu", "ne"]
