@@ -4,14 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share. Where it is unset, a temporary folder stands in, but only if there is no other machine; a cluster without one is an error."""
+    sc = spark.sparkContext
+    own = sc._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
+    if found:
+        return found.rstrip("/")
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once into spark.checkpoint.dir, which all executors share (a folder of our own only where that is unset)."""
+    """df computed once into the shared folder, where the loss of an executor doesn't reach it."""
     sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
