@@ -16,14 +16,77 @@ def frame(spark, rows, schema):
 def test_set_pairs_against_brute_force(spark):
     rng = random.Random(1)
     sets = [(i, [rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(0, 9))]) for i in range(60)]
-    got = {(r.a, r.b): r.similarity for r in similarity.set_pairs(frame(spark, sets, "id long, s array<string>"), "id", "s", 0.6).collect()}
+    sets += [(60 + i, list(reversed(s))) for i, s in sets[:20]]
+    classes = similarity.set_classes(frame(spark, sets, "id long, s array<string>"), "id", "s")
+    first = {}
+    for i, s in sets:
+        first.setdefault(frozenset(s), i)
+    assert {r.id: r.rep for r in classes.collect()} == {i: first[frozenset(s)] for i, s in sets if s}
+    got = {(r.a, r.b): r.similarity for r in similarity.set_pairs(classes, 0.6).collect()}
     want = {}
-    for (i, x), (j, y) in itertools.combinations([(i, set(s)) for i, s in sets if s], 2):
+    for (x, i), (y, j) in itertools.combinations([(x, i) for x, i in first.items() if x], 2):
         if len(x & y) / len(x | y) >= 0.6:
-            want[i, j] = len(x & y) / len(x | y)
+            want[min(i, j), max(i, j)] = len(x & y) / len(x | y)
     assert got == pytest.approx(want)
 
 
+def test_copies_go_with_their_representative(spark):
+    groups = frame(spark, [(1, 1, 1.0), (3, 1, 0.9)], "member long, leader long, similarity double")
+    classes = frame(spark, [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 6)], "id long, rep long")
+    out = {r.member: (r.leader, r.similarity) for r in similarity.with_copies(groups, classes).collect()}
+    assert out == {1: (1, 1.0), 2: (1, 1.0), 3: (1, 0.9), 4: (1, 0.9), 6: (6, 1.0), 7: (6, 1.0)}
+
+
+@pytest.mark.parametrize("floor", [0.31, 0.72])
+def test_sparse_pairs_against_brute_force(spark, floor):
+    rng = random.Random(8)
+    rows = {(i, rng.randrange(12) ** 2 % 40): rng.randrange(1, 4) for i in range(50) for _ in range(6)}
+    got = {(r.a, r.b): r.similarity for r in similarity.sparse_pairs(frame(spark, [(*k, n) for k, n in rows.items()], "id long, key long, n int"), floor).collect()}
+    maps = {i: {k: n for (j, k), n in rows.items() if i == j} for i in range(50)}
+    size = {i: sum(n * n for n in m.values()) ** 0.5 for i, m in maps.items()}
+    want = {}
+    for a, b in itertools.combinations(maps, 2):
+        x = sum(n * maps[b].get(k, 0) for k, n in maps[a].items()) / (size[a] * size[b])
+        if x >= floor:
+            want[a, b] = x
+    assert want and got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("same", [None, "label"])
+def test_knn_join_against_brute_force(spark, monkeypatch, same):
+    import numpy as np
+
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 9)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (40, 4)).astype(float)
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(90, [1.0, 2.0], 0), (91, None, 1), (92, [0.0] * 4, 2)]
+    e = frame(spark, rows, "id long, embedding array<double>, label int")
+    got = [(r.left_id, r.rank, r.right_id, round(r.similarity, 9)) for r in vector.knn_join(e.filter("id % 4 = 0"), e, 3, 0.1, same=same).collect()]
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, v, _ in rows if v and len(v) == 4}
+    of = {i: label for i, _, label in rows}
+    want = []
+    for a in (i for i in unit if i % 4 == 0):
+        near = sorted((-round(float(unit[a] @ unit[b]), 9), b) for b in unit if a != b and (not same or of[a] == of[b]) and unit[a] @ unit[b] >= 0.1)
+        want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(near[:3])]
+    assert {(a, n, s) for a, n, _, s in got} == {(a, n, s) for a, n, _, s in want}
+    every = vector.knn_join(e, e, None, 0.49, same=same).count()
+    assert every == sum(a != b and unit[a] @ unit[b] >= 0.49 and (not same or of[a] == of[b]) for a in unit for b in unit)
+
+
+def test_running_sums(spark):
+    from tessera.operators.order import numbered, running
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(50), i, rng.randrange(9)) for i in range(300)]
+    out = running(frame(spark, rows, "a long, b long, v long"), [F.desc("a"), F.col("b")], before=F.col("v")).collect()
+    total = 0
+    for r in sorted(out, key=lambda r: (-r.a, r.b)):
+        assert r.before == total
+        total += r.v
+    assert sorted(r.nth for r in numbered(frame(spark, rows, "a long, b long, v long"), ["a", "b"]).collect()) == list(range(300))
+    assert numbered(frame(spark, [], "a long"), ["a"]).count() == 0
+
+
 def test_greedy_groups_as_one_pass(spark):
     rng = random.Random(2)
     pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(60)})
@@ -76,10 +139,44 @@ def test_three_way_and_text_merge(spark):
     assert merge.merged_text("a", "a", "c") == "c"
 
 
+@pytest.mark.parametrize(
+    ("base", "a", "b", "want"),
+    [
+        ("a\nb\nc", "a\nB\nc", "a\nX\nc", None),  # the same line, differently
+        ("a\nb\nc", "a\nB\nc", "a\nB\nc\nd", "a\nB\nc\nd"),  # the same line alike, and one more
+        ("a", "p\na", "q\na", "p\nq\na"),  # both add at the top
+        ("a", "a\np", "a\nq", "a\np\nq"),  # both add at the bottom
+        ("a\nb", "a\nx\nb", "a\ny\nb", None),  # both add between
+        ("a\nb\nc\nd", "a\nc\nd", "a\nb\nc\nD", "a\nc\nD"),  # one deletes, one changes elsewhere
+        ("a\nb\nc\nd", "a\nd", "a\nb\nX\nd", None),  # one deletes what the other changes
+        ("a\nb\nc\nd\ne", "b\nc\nd\ne", "a\nb\nc\ne\nd", "b\nc\ne\nd"),  # one deletes, one moves lines
+    ],
+)
+def test_merged_text(base, a, b, want):
+    assert merge.merged_text(base, a, b) == want
+
+
+def test_merged_text_keeps_both_sides_edits():
+    rng = random.Random(4)
+    for _ in range(200):
+        base = [f"line {i}" for i in range(30)]
+        sides = []
+        for part in (range(0, 14), range(16, 30)):
+            lines = list(base)
+            for i in sorted(rng.sample(part, 4), reverse=True):
+                lines[i : i + 1] = rng.choice([[], ["new"], [lines[i], "added"]])
+            sides.append(lines)
+        want = sides[0][: sides[0].index("line 14")] + ["line 14", "line 15"] + sides[1][sides[1].index("line 15") + 1 :]
+        assert merge.merged_text(*("\n".join(x) for x in (base, *sides))) == "\n".join(want)
+
+
 def test_changed_ranges():
     assert merge.changed_ranges(["a", "b", "c"], ["a", "x", "c"]) == [(1, 2)]
     assert merge.changed_ranges(["a", "b"], ["a"]) == [(1, 2)]
-    assert merge.changed_ranges([], ["a"]) == []
+    assert merge.changed_ranges([], ["a"]) == [(0, 0)]
+    assert merge.changed_ranges(["a", "b"], ["a", "x", "b"]) == [(1, 1)]
+    assert merge.changed_ranges(["a", "b", "c", "d"], ["b", "c", "d", "a"]) == [(0, 1), (4, 4)]
+    assert len(merge.COMMON_TYPES) == 37 and len(set(merge.COMMON_TYPES)) == 37
 
 
 def test_instructions(spark):
@@ -174,3 +271,62 @@ def test_windowed_stream(spark, tmp_path):
     q.awaitTermination(60)
     want = sorted(map(tuple, streams.windowed(events, "ts", "10 minutes", ["k"]).collect()))
     assert sorted(map(tuple, spark.table("windowed").collect())) == want
+
+
+def test_forward_paths_and_feasibility(spark):
+    edges = frame(spark, [("a", "b", "x > 5"), ("a", "c", "x <= 5"), ("b", "d", "x < 3"), ("b", "e", None), ("c", "a", "y != 2"), ("e", "e", None)], "src string, dst string, condition string")
+    out = [(r.path, r.conditions, r.ended) for r in graph.forward_paths(edges, "a").collect()]
+    assert out == [(["a", "b", "d"], ["x > 5", "x < 3"], "exit"), (["a", "b", "e", "e"], ["x > 5"], "revisit"), (["a", "c", "a"], ["x <= 5", "y != 2"], "revisit")]
+    assert [(r.path, r.ended) for r in graph.forward_paths(edges, "a", most_depth=1).collect()] == [(["a", "b"], "depth"), (["a", "c"], "depth")]
+    cases = [
+        (["x > 5", "x < 3"], False, 0), (["x >= 5", "x <= 5"], True, 0), (["x >= 5", "x < 5"], False, 0), (["x == 5", "x != 5"], False, 0), (["x == 1", "x == 2"], False, 0),
+        (["x > 1", "y < 0", "z()"], True, 1), ([], True, 0), (["x != 1", "x != 2"], True, 0), (["a.b >= -1.5", "a.b <= -1.5"], True, 0), (["x > 1", "x > 3", "x <= 3"], False, 0),
+    ]
+    got = {r.id: (r.feasible, r.unknown) for r in graph.feasible(frame(spark, [(i, c[0]) for i, c in enumerate(cases)], "id int, conditions array<string>")).collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}
+
+
+def test_versions(spark, tmp_path):
+    from tessera.sources import versions
+
+    root, rows = str(tmp_path / "t"), lambda *x: frame(spark, [(i,) for i in x], "id long")
+    assert versions.listed(spark, root).count() == 0
+    with pytest.raises(ValueError):
+        versions.current(spark, root)
+    assert [versions.create(rows(*range(n)), root) for n in (3, 4, 5, 6)] == [0, 1, 2, 3]
+    versions.rollback(spark, root, 1)
+    with pytest.raises(ValueError):
+        versions.rollback(spark, root, 9)
+    assert versions.current(spark, root).count() == 4
+    assert versions.cleanup(spark, root, 1) == [0, 2] and versions.cleanup(spark, root, 1) == []
+    assert sorted(versions.listed(spark, root).collect()) == [(1, 4, True), (3, 6, False)]
+    delta = frame(spark, [(0, "D"), (70, "A")], "id long, op string")
+    assert not versions.compact(spark, root, delta, threshold=2) and versions.compact(spark, root, delta, threshold=1)
+    assert sorted(r.id for r in versions.current(spark, root).collect()) == [1, 2, 3, 70]
+
+
+def test_structural_forms(spark):
+    from tessera.functions.text import sequence_calls, structural_of
+
+    row = frame(spark, [('{ "a b" : [1, 2] }', '<?xml version="1.0"?>\n<a>\n <b>x y</b>\n</a>\n', 'f("// no"); // yes\n/* a\n * b */ g( 1 );', "x  \n\n\n\ny\n")], "j string, x string, c string, t string")
+    got = row.select(*[structural_of(F.col(c), F.lit(e)) for c, e in (("j", "json"), ("x", ".XML"), ("c", ".cs"), ("t", "txt"))]).first()
+    assert tuple(got) == ('{"a b":[1,2]}', "<a><b>x y</b></a>", 'f("// no"); g( 1 );', "x\n\ny")
+    calls = frame(spark, [("a.Where(x).Foo().OrderBy<int>(y).ToList()",)], "t string").select(sequence_calls(F.col("t")).alias("c")).first().c
+    assert [tuple(c) for c in calls] == [("Where", True), ("OrderBy", True), ("ToList", False)]
+
+
+def test_bloom_filter_has_no_false_negatives(spark):
+    from tessera.operators import bloom
+
+    keys = frame(spark, [(f"key{i}" if i else None,) for i in range(400)], "k string")
+    f = bloom.merged(bloom.built(keys.limit(200), F.col("k"), 4000, 7), bloom.built(keys, F.col("k"), 4000, 7))
+    assert bloom.asked(keys, F.col("k"), f, 4000, 7).filter("might_contain").count() == 399
+    others = frame(spark, [(f"other{i}",) for i in range(1000)], "k string")
+    rate = bloom.stats(f, 4000, 7).first().rate
+    assert abs(bloom.asked(others, F.col("k"), f, 4000, 7).filter("might_contain").count() / 1000 - rate) < 0.03
+
+
+def test_routes(spark):
+    modes = [(m, x, y) for m in ("local", "hub", "any", "both") for x in (True, False) for y in (True, False)]
+    got = {(r.m, r.x, r.y): r.to for r in frame(spark, modes, "m string, x boolean, y boolean").withColumn("to", vector.search_route(F.col("m"), F.col("x"), F.col("y"))).collect()}
+    assert got["local", False, True] == "none" and got["hub", True, True] == "hub" and got["any", True, True] == "local" and got["any", False, True] == "hub" and got["both", True, True] == "both" and got["both", False, True] == "hub"
