@@ -10,32 +10,68 @@ from tessera.functions.text import latin_words, other_words
 from tessera.operators.vector import centroid_pairs, centroids
 from tessera.operators.lookup import FLAGS
 
-# Rules of the presets; a-b stands for all numbers between.
-PRESET_RANGES = {
-    "performance": "CA1860-1861 CA1850-1851 CA1845 CA1847 CA1853-1855 CA1858-1859",
-    "maintainability": "CA1501-1502 CA1505-1506 CA1822",
-    "security": "CA2100 CA2109 CA2119 CA2153 CA2300-2302 CA2305 CA2310 CA2315 CA2321-2322 CA2326-2330 CA3001-3012 CA5350-5351 CA5359-5405",
-    "reliability": "CA2000 CA2002 CA2007-2009 CA2011-2020",
-    "usage": "CA1031 CA1303 CA2201 CA2207-2208 CA2211 CA2213-2219 CA2224-2227 CA2229 CA2231 CA2234-2235 CA2237 CA2241-2260",
-    "design": "CA1000-1003 CA1005 CA1008 CA1010 CA1012 CA1014 CA1016-1019 CA1021 CA1024 CA1027-1028 CA1030-1034 CA1036 CA1040-1041 CA1043-1047 CA1050-1056 CA1058 CA1060-1070",
-    "globalization": "CA1303-1305 CA1307-1310 CA2101",
-    "naming": "CA1700 CA1707-1708 CA1710-1717 CA1720-1722 CA1724-1726",
-    "documentation": "CA1200 CS1572-1574 CS1591",
-    "logging": "CA1848-1850 CA1852-1873",
-    "notable": "CA1854 CA1860 CA1869",
-    "trivial": "CA1822",
-}
+# Rules of the presets.
+PRESETS = {
+    "performance": (
+        "CA1845", "CA1847", "CA1850", "CA1851", "CA1853", "CA1854", "CA1855", "CA1858", "CA1859", "CA1860", "CA1861",
+    ),
+    "maintainability": (
+        "CA1501", "CA1502", "CA1505", "CA1506", "CA1822",
+    ),
+    "security": (
+        "CA2100", "CA2109", "CA2119", "CA2153", "CA2300", "CA2301", "CA2302", "CA2305", "CA2310", "CA2315", "CA2321", "CA2322",
+        "CA2326", "CA2327", "CA2328", "CA2329", "CA2330", "CA3001", "CA3002", "CA3003", "CA3004", "CA3005", "CA3006", "CA3007",
+        "CA3008", "CA3009", "CA3010", "CA3011", "CA3012", "CA5350", "CA5351", "CA5359", "CA5360", "CA5361", "CA5362", "CA5363",
+        "CA5364", "CA5365", "CA5366", "CA5367", "CA5368", "CA5369", "CA5370", "CA5371", "CA5372", "CA5373", "CA5374", "CA5375",
+        "CA5376", "CA5377", "CA5378", "CA5379", "CA5380", "CA5381", "CA5382", "CA5383", "CA5384", "CA5385", "CA5386", "CA5387",
+        "CA5388", "CA5389", "CA5390", "CA5391", "CA5392", "CA5393", "CA5394", "CA5395", "CA5396", "CA5397", "CA5398", "CA5399",
+        "CA5400", "CA5401", "CA5402", "CA5403", "CA5404", "CA5405",
+    ),
+    "reliability": (
+        "CA2000", "CA2002", "CA2007", "CA2008", "CA2009", "CA2011", "CA2012", "CA2013", "CA2014", "CA2015", "CA2016", "CA2017",
+        "CA2018", "CA2019", "CA2020",
+    ),
+    "usage": (
+        "CA1031", "CA1303", "CA2201", "CA2207", "CA2208", "CA2211", "CA2213", "CA2214", "CA2215", "CA2216", "CA2217", "CA2218",
+        "CA2219", "CA2224", "CA2225", "CA2226", "CA2227", "CA2229", "CA2231", "CA2234", "CA2235", "CA2237", "CA2241", "CA2242",
+        "CA2243", "CA2244", "CA2245", "CA2246", "CA2247", "CA2248", "CA2249", "CA2250", "CA2251", "CA2252", "CA2253", "CA2254",
+        "CA2255", "CA2256", "CA2257", "CA2258", "CA2259", "CA2260",
+    ),
+    "design": (
+        "CA1000", "CA1001", "CA1002", "CA1003", "CA1005", "CA1008", "CA1010", "CA1012", "CA1014", "CA1016", "CA1017", "CA1018",
+        "CA1019", "CA1021", "CA1024", "CA1027", "CA1028", "CA1030", "CA1031", "CA1032", "CA1033", "CA1034", "CA1036", "CA1040",
+        "CA1041", "CA1043", "CA1044", "CA1045", "CA1046", "CA1047", "CA1050", "CA1051", "CA1052", "CA1053", "CA1054", "CA1055",
+        "CA1056", "CA1058", "CA1060", "CA1061", "CA1062", "CA1063", "CA1064", "CA1065", "CA1066", "CA1067", "CA1068", "CA1069",
+        "CA1070",
+    ),
+    "globalization": (
+        "CA1303", "CA1304", "CA1305", "CA1307", "CA1308", "CA1309", "CA1310", "CA2101",
+    ),
+    "naming": (
+        "CA1700", "CA1707", "CA1708", "CA1710", "CA1711", "CA1712", "CA1713", "CA1714", "CA1715", "CA1716", "CA1717", "CA1720",
+        "CA1721", "CA1722", "CA1724", "CA1725", "CA1726",
+    ),
+    "documentation": (
+        "CA1200", "CS1572", "CS1573", "CS1574", "CS1591",
+    ),
+    "logging": (
+        "CA1848", "CA1849", "CA1850", "CA1852", "CA1853", "CA1854", "CA1855", "CA1856", "CA1857", "CA1858", "CA1859", "CA1860",
+        "CA1861", "CA1862", "CA1863", "CA1864", "CA1865", "CA1866", "CA1867", "CA1868", "CA1869", "CA1870", "CA1871", "CA1872",
+        "CA1873",
+    ),
+    "notable": (
+        "CA1854", "CA1860", "CA1869",
+    ),
+    "trivial": (
+        "CA1822",
+    ),
+}
 PRESET_SUMS = {"critical": ("security",), "high": ("reliability", "notable"), "medium": ("performance", "maintainability"), "low": ("naming", "documentation", "trivial")}
 
 
 def preset(name: str) -> set[str]:
     """Rule ids of a preset, in any case; an unknown name has none."""
-    out: set[str] = set()
-    for part in PRESET_SUMS.get(name.lower(), (name.lower(),)):
-        for item in PRESET_RANGES.get(part, "").split():
-            letters, (first, *last) = item[:2], item[2:].split("-")
-            out |= {f"{letters}{n}" for n in range(int(first), int(last[0] if last else first) + 1)}
-    return out
+    return {rule for part in PRESET_SUMS.get(name.lower(), (name.lower(),)) for rule in PRESETS.get(part, ())}
 
 
 def diagnostic_stats(rows: DataFrame) -> DataFrame:
@@ -148,6 +184,23 @@ def import_usage(imports: DataFrame) -> DataFrame:
     return imports.groupBy("name").agg(F.count_distinct("file").alias("files")).join(F.broadcast(total)).select("name", "files", (F.col("files") == F.col("total")).alias("common"))
 
 
+def unique_imports(imports: DataFrame) -> DataFrame:
+    """file, name: what a file imports (name, file) that not every file does."""
+    once = imports.select("file", "name").distinct()
+    rare = import_usage(imports).filter("NOT common").select("name")
+    return once.join(rare, "name").select("file", "name")
+
+
+def unit_stats(units: DataFrame) -> DataFrame:
+    """type, units, files, embedded of indexed units (type, file, embedding)."""
+    return units.groupBy("type").agg(F.count("*").alias("units"), F.count_distinct("file").alias("files"), F.count("embedding").alias("embedded"))
+
+
+def project_listing(rows: DataFrame) -> DataFrame:
+    """project, branches, vectors, first, last of stored rows (project, branch, ts)."""
+    return rows.groupBy("project").agg(F.count_distinct("branch").alias("branches"), F.count("*").alias("vectors"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
 def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
@@ -156,5 +209,3 @@ def score_histogram(rows: DataFrame, score: str) -> DataFrame:
     """bucket, n of scores: perfect, high (0.9), good (0.8), fair (0.7) or low."""
     bucket = F.when(F.col(score) >= 1, "perfect").when(F.col(score) >= 0.9, "high").when(F.col(score) >= 0.8, "good").when(F.col(score) >= 0.7, "fair").otherwise("low")
     return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-
-
