@@ -28,6 +28,56 @@ def fingerprint(text: Column) -> Column:
     return F.md5(structural(text))
 
 
+#: A quoted string (kept as it is), or white space.
+_STRING_OR_GAP = r'("(?:[^"\\]|\\.)*")|\s+'
+#: A quoted string (kept), or a comment to the end of its line or between marks.
+_STRING_OR_COMMENT = r'("(?:[^"\\\n]|\\.)*")|//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/'
+
+
+def structural_of(text: Column, extension: Column) -> Column:
+    """What a fingerprint is taken of, by a file's extension: JSON without white space between tokens, XML without declaration and white space between tags, code without comments and with single spaces, else structural()."""
+    bare = F.lower(F.ltrim(extension, F.lit(".")))
+    json = F.regexp_replace(text, _STRING_OR_GAP, "$1")
+    bared = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
+    xml = F.regexp_replace(F.regexp_replace(bared(text), r"^<\?xml[^>]*\?>\s*", ""), r">\s+<", "><")
+    # A mark stands for each comment, and behind each string, where it goes again
+    marked = F.replace(F.regexp_replace(text, _STRING_OR_COMMENT, "$1\x01"), F.lit('"\x01'), F.lit('"'))
+    code = bared(F.regexp_replace(marked, r"[\x01\s]+", " "))
+    return F.when(bare == "json", json).when(bare.isin("xml", "csproj", "config"), xml).when(bare.isin("cs", "java", "js", "ts", "go", "c", "cpp"), code).otherwise(structural(text))
+
+
+def snippet_features(text: Column) -> Column:
+    """struct of what can be read off a snippet of code without a compiler, comments and strings aside: lines, branches, loops, cyclomatic, parameters, calls and types (sorted sets of names)."""
+    bare = F.regexp_replace(text, _STRING_OR_COMMENT, " ")
+    count = lambda rx: F.regexp_count(bare, F.lit(rx))
+    names = lambda rx: F.array_sort(F.array_distinct(F.regexp_extract_all(bare, F.lit(rx), 1)))
+    branches, loops = count(r"\b(?:if|case|catch)\b"), count(r"\b(?:for|foreach|while)\b")
+    called = F.filter(names(r"([A-Za-z_]\w*)\s*\("), lambda n: ~n.isin("if", "for", "foreach", "while", "switch", "catch", "return", "using", "lock"))
+    head = F.regexp_extract(bare, r"\(([^()]*)\)", 1)
+    return F.struct(
+        F.size(F.split(text, "\n")).alias("lines"), branches.alias("branches"), loops.alias("loops"), (1 + branches + loops + count(r"&&|\|\|")).alias("cyclomatic"),
+        F.when(F.btrim(head) == "", 0).otherwise(F.size(F.split(head, ","))).alias("parameters"), called.alias("calls"), names(r"\bnew\s+([A-Za-z_]\w*)").alias("types"),
+    )
+
+
+# Names of sequence operators; those that run when they are read from, not when they are written.
+SEQUENCE_OPERATORS = (
+    "Where", "Select", "SelectMany", "Join", "GroupBy", "GroupJoin", "OrderBy", "OrderByDescending", "ThenBy", "ThenByDescending", "Take", "Skip", "TakeWhile", "SkipWhile",
+    "First", "FirstOrDefault", "Last", "LastOrDefault", "Single", "SingleOrDefault", "Any", "All", "Count", "Sum", "Min", "Max", "Average", "Aggregate",
+    "Distinct", "Union", "Intersect", "Except", "Concat", "ToList", "ToArray", "ToDictionary", "ToHashSet", "AsEnumerable", "AsQueryable", "Cast", "OfType",
+)
+DEFERRED_OPERATORS = (
+    "Where", "Select", "SelectMany", "Join", "GroupBy", "GroupJoin", "OrderBy", "OrderByDescending", "ThenBy", "ThenByDescending", "Take", "Skip", "TakeWhile", "SkipWhile",
+    "Distinct", "Union", "Intersect", "Except", "Concat", "AsEnumerable", "AsQueryable", "Cast", "OfType", "Reverse",
+)
+
+
+def sequence_calls(text: Column) -> Column:
+    """array of struct(name, deferred): the sequence operators that a text calls, in order."""
+    called = F.filter(F.regexp_extract_all(text, F.lit(r"\.([A-Z]\w*)\s*(?:<[^<>()]*>)?\("), 1), lambda n: n.isin(*SEQUENCE_OPERATORS))
+    return F.transform(called, lambda n: F.struct(n.alias("name"), n.isin(*DEFERRED_OPERATORS).alias("deferred")))
+
+
 def snippet(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 
@@ -137,3 +187,10 @@ def bloom_size(n: Column, rate: Column) -> Column:
     """struct(bits, hashes) of a Bloom filter for n keys at a false positive rate."""
     bits = F.ceil(-n * F.ln(rate) / (F.ln(F.lit(2.0)) * F.ln(F.lit(2.0))))
     return F.struct(bits.alias("bits"), F.greatest(F.lit(1), F.round(bits / n * F.ln(F.lit(2.0)))).cast("int").alias("hashes"))
+
+
+def bloom_positions(key: Column, bits: int, hashes: int) -> Column:
+    """array of the bits that a key sets in a Bloom filter: two halves of its md5, the second taken up to `hashes` - 1 times."""
+    digest = F.md5(key)
+    half = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(half(1) + i * half(9), F.lit(bits)))

@@ -31,25 +31,28 @@ def _view(df: DataFrame, name: str) -> SparkSession:
 def backtrace(edges: DataFrame, method: str, start: str | None = None, most_depth: int = MOST_DEPTH, most_paths: int = MOST_PATHS, cycles: bool = False) -> DataFrame:
     """path (entry first), depth (edges), reached (an entry: start, or a method without callers), confidence; best first, then by the path.
 
-    All ways up are followed to most_depth; unless cycles, a method is on a way once.
+    Ways up are followed to most_depth; unless cycles, a method is on a way once. Confidence falls with depth, so once most_paths ways have reached an entry, longer ones can't be among the best.
     """
     spark = edges.sparkSession
-    up = checkpointed(edges.select("caller", "callee").distinct())
+    up = checkpointed(edges.select("caller", F.col("callee").alias("head")).distinct())
     paths = spark.createDataFrame([([method], 0)], "path array<string>, depth int")
-    done = None
-    for _ in range(most_depth + 1):
+    done, found = None, 0
+    for depth in range(most_depth + 1):
         head = F.col("path")[0]
         stop = F.lower(head) == start.lower() if start else F.lit(False)
-        next_ = paths.withColumn("head", head).withColumn("stop", stop).join(up.withColumnRenamed("callee", "head"), "head", "left")
+        next_ = paths.withColumn("head", head).withColumn("stop", stop).join(up, "head", "left")
         if not cycles:
             next_ = next_.withColumn("caller", F.when(~F.array_contains("path", F.col("caller")), F.col("caller")))
+        next_ = checkpointed(next_)
         ended = next_.groupBy("path", "depth").agg(F.bool_or("stop").alias("at_start"), F.count("caller").alias("n"))
-        full = F.col("depth") >= most_depth
+        full = F.lit(depth >= most_depth)
         finished = ended.filter(F.col("at_start") | (F.col("n") == 0) | full).select("path", "depth", (F.col("at_start") | ~full).alias("reached"))
         done = finished if done is None else done.unionByName(finished)
-        paths = checkpointed(next_.filter(~F.col("stop") & F.col("caller").isNotNull() & (F.col("depth") < most_depth)).select(F.concat(F.array("caller"), "path").alias("path"), (F.col("depth") + 1).alias("depth")).distinct())
-        if paths.limit(1).count() == 0:
-            break
+        paths = next_.filter(~F.col("stop") & F.col("caller").isNotNull()).select(F.concat(F.array("caller"), "path").alias("path"), (F.col("depth") + 1).alias("depth")).distinct()
+        if depth < most_depth:
+            found += finished.filter("reached").limit(most_paths).count()
+            if found >= most_paths or paths.limit(1).count() == 0:
+                break
     return done.withColumn("confidence", path_confidence(F.col("depth"), F.col("reached"))).orderBy(F.desc("confidence"), F.array_join("path", ">")).limit(most_paths)
 
 
@@ -132,22 +135,57 @@ def references_with_context(references: DataFrame, lines: DataFrame, limit: int
 
 
 def forward_paths(edges: DataFrame, entry: str, most_paths: int = 100, most_depth: int = 50) -> DataFrame:
-    """path, ended (exit or revisit) of all ways from entry through a flow graph (src, dst, condition); a way ends where it has no next block or comes to one that it holds."""
+    """path, conditions, ended (exit, revisit or depth) of the ways from entry through a flow graph (src, dst and, if there is one, condition), the first by path.
+
+    A way ends where it has no next block, comes to one that it holds, or has most_depth edges. conditions: those of its edges that have one, in order.
+    """
     spark = edges.sparkSession
-    paths = spark.createDataFrame([([entry],)], "path array<string>")
+    condition = F.col("condition") if "condition" in edges.columns else F.lit(None)
+    steps = checkpointed(edges.select("src", "dst", condition.cast("string").alias("condition")).distinct())
+    paths = spark.createDataFrame([([entry], [])], "path array<string>, conditions array<string>")
     out = None
-    for _ in range(most_depth):
-        at = F.element_at("path", -1)
-        next_ = checkpointed(paths.withColumn("src", at).join(edges.select("src", "dst").distinct(), "src", "left"))
+    for depth in range(most_depth + 1):
+        last = F.element_at("path", -1)
+        next_ = checkpointed(paths.withColumn("src", last).join(steps, "src", "left"))
         revisit = F.coalesce(F.array_contains("path", F.col("dst")), F.lit(False))
-        ended = next_.filter(F.col("dst").isNull() | revisit).select(F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst"))).alias("path"), F.when(F.col("dst").isNull(), "exit").otherwise("revisit").alias("ended"))
+        full = F.lit(depth >= most_depth)
+        held = F.when(F.col("condition").isNull(), F.col("conditions")).otherwise(F.concat("conditions", F.array("condition")))
+        gone = F.col("dst").isNull() | full
+        way = F.when(gone, F.col("path")).otherwise(F.concat("path", F.array("dst")))
+        kind = F.when(F.col("dst").isNull(), "exit").when(full, "depth").otherwise("revisit")
+        ended = next_.filter(gone | revisit).select(way.alias("path"), F.when(gone, F.col("conditions")).otherwise(held).alias("conditions"), kind.alias("ended")).distinct()
         out = ended if out is None else out.unionByName(ended)
-        paths = next_.filter(F.col("dst").isNotNull() & ~revisit).select(F.concat("path", F.array("dst")).alias("path"))
-        if paths.limit(1).count() == 0:
+        paths = next_.filter(F.col("dst").isNotNull() & ~revisit).select(F.concat("path", F.array("dst")).alias("path"), held.alias("conditions"))
+        if depth == most_depth or paths.limit(1).count() == 0:
             break
-    return out.orderBy(F.array_join("path", ">")).limit(most_paths)
+    return out.orderBy(F.array_join("path", ">"), F.array_join("conditions", ">")).limit(most_paths)
 
 
+def feasible(paths: DataFrame, id_col: str = "id", conditions: str = "conditions") -> DataFrame:
+    """id, feasible, unknown of paths with conditions (array): whether comparisons of names with numbers (x > 5, x <= 7, x == 1, x != 2) can all hold at once; unknown counts those of other forms, which bind nothing.
+
+    Each name's comparisons leave an interval without some points; a path can be taken if no name's is empty. All comparisons of a path and a name meet in one aggregate.
+    """
+    rx = r"^\s*([A-Za-z_][\w.]*)\s*(<=|>=|==|!=|<|>)\s*(-?[0-9]+(?:\.[0-9]+)?)\s*$"
+    part = lambda i: F.regexp_extract("c", rx, i)
+    each = paths.select(F.col(id_col).alias("id"), F.explode_outer(conditions).alias("c"))
+    read = each.select("id", "c", part(1).alias("name"), part(2).alias("op"), F.when(part(3) != "", part(3).cast("double")).alias("x"))
+    of = lambda f, *ops: f(F.when(F.col("op").isin(*ops), F.col("x")))
+    bounds = read.groupBy("id", "name").agg(
+        of(F.max, ">", ">=", "==").alias("low"), of(F.max, ">").alias("above"), of(F.min, "<", "<=", "==").alias("high"), of(F.min, "<").alias("below"),
+        F.collect_set(F.when(F.col("op") == "!=", F.col("x"))).alias("other"), F.count_if(F.col("c").isNotNull() & (F.col("name") == "")).alias("unknown"),
+    )
+    point = F.coalesce(F.col("above") < F.col("low"), F.lit(True)) & F.coalesce(F.col("below") > F.col("high"), F.lit(True)) & ~F.array_contains("other", F.col("low"))
+    holds = F.col("low").isNull() | F.col("high").isNull() | (F.col("low") < F.col("high")) | ((F.col("low") == F.col("high")) & point)
+    return bounds.groupBy("id").agg(F.bool_and(holds).alias("feasible"), F.sum("unknown").alias("unknown"))
+
+
+def overrides(members: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """type, signature, base: members (type, signature) of a type that has one of the same signature in a type right above it (hierarchy: child, parent); for interfaces, what implements them."""
+    below = members.join(hierarchy, F.col("type") == F.col("child")).select("type", "signature", F.col("parent").alias("base"))
+    above = members.select(F.col("type").alias("base"), "signature").distinct()
+    return below.join(above, ["base", "signature"]).select("type", "signature", "base").distinct()
+
 
 def exported(paths: DataFrame, form: str) -> DataFrame:
     """text: a graph of the paths (path, confidence) as dot, mermaid or graphml. An edge bears the best confidence of its paths."""

@@ -89,6 +89,6 @@ def unexpired(entries: DataFrame, now: int) -> DataFrame:
     return entries.filter(F.col("created_at") + F.col("ttl") >= now)
 
 
-def compacted(base: DataFrame, delta: DataFrame, path: str, id_col: str = "id") -> None:
-    """Writes the base with the delta in it as a new version."""
-    applied(base, delta, id_col).write.mode("errorifexists").parquet(path)
+def notifications(changes: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """changes (project, author, ...) with subscriber: a row for each subscriber (subscriptions: project, subscriber) to a change's project but its author."""
+    return changes.join(subscriptions.distinct(), "project").filter(F.col("subscriber") != F.col("author"))

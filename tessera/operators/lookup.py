@@ -144,14 +144,55 @@ def type_search(types: DataFrame, pattern: str, limit: int) -> DataFrame:
     return met.dropDuplicates(["fqn"]).orderBy("fqn").limit(limit)
 
 
-def enclosing_scopes(units: DataFrame, start: str, most: int = 16) -> DataFrame:
-    """depth, id of the unit `start` (id, parent_id) and what encloses it, outwards; a cycle ends after `most` steps."""
-    reached = units.filter(F.col("id") == start).select(F.lit(0).alias("depth"), "id", "parent_id")
-    frontier, out = reached, reached
-    for depth in range(1, most + 1):
-        frontier = units.alias("u").join(F.broadcast(frontier.select(F.col("parent_id").alias("want"))), F.col("u.id") == F.col("want")).select(F.lit(depth).alias("depth"), "u.id", "u.parent_id")
-        out = out.unionByName(frontier)
-    return out.select("depth", "id")
+def enclosing_scopes(units: DataFrame, start: str, most: int = 1000) -> DataFrame:
+    """depth, id of the unit `start` (id, parent_id) and what encloses it, outwards; a cycle ends where it comes to a unit again. More than `most` steps are an error."""
+    step = units.filter(F.col("id") == start).select("id", "parent_id").first()
+    out, seen = [], set()
+    while step and step.id not in seen:
+        if len(out) > most:
+            raise RuntimeError(f"more than {most} units around {start}")
+        out.append((len(out), step.id))
+        seen.add(step.id)
+        step = units.filter(F.col("id") == step.parent_id).select("id", "parent_id").first() if step.parent_id is not None else None
+    return units.sparkSession.createDataFrame(out, f"depth int, id {dict(units.dtypes)['id']}")
+
+
+def shared_passages(passages: DataFrame, docs: DataFrame, passage_id: str, doc_id: str, words: int = 8, text: str = "text") -> DataFrame:
+    """passage_id, doc_id, shared, windows: texts that share runs of `words` words, how many different ones, and how many the passage has. Whole texts on both sides meet by the hashes of their runs."""
+
+    def windows(rows: DataFrame, name: str) -> DataFrame:
+        split = rows.select(F.col(name), F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w")).filter(F.size("w") >= words)
+        runs = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.md5(F.array_join(F.slice("w", i, words), " ")))
+        return split.select(name, F.explode(F.array_distinct(runs)).alias("g"))
+
+    asked = windows(passages, passage_id)
+    total = asked.groupBy(passage_id).agg(F.count("*").alias("windows"))
+    return asked.join(windows(docs, doc_id), "g").groupBy(passage_id, doc_id).agg(F.count("*").alias("shared")).join(total, passage_id).select(passage_id, doc_id, "shared", "windows")
+
+
+def replace_preview(docs: DataFrame, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, container (number of the line from 1), n, conflict (more than one match in it) of the lines in which the pattern occurs."""
+    lines = docs.select(F.col(id_col), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    found = lines.withColumn("n", F.regexp_count("line", F.lit(pattern)).cast("long")).filter("n > 0")
+    return found.select(id_col, (F.col("at") + 1).alias("container"), "n", (F.col("n") > 1).alias("conflict"))
+
+
+def replaced(docs: DataFrame, pattern: str, replacement: str, mode: str = "BestEffort", id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, text, applied (lines changed) of the texts in which the pattern occurs. BestEffort leaves lines with more than one match as they are; AllOrNothing changes nothing if there is such a line anywhere."""
+    if mode not in ("AllOrNothing", "BestEffort"):
+        raise ValueError(f"no such mode: {mode}")
+    once = lambda x: F.regexp_count(x, F.lit(pattern)) == 1
+    lines = F.split(text, "\n")
+    hit = docs.filter(F.col(text).rlike(pattern))
+    out = hit.select(
+        id_col, F.col(text).alias("old"), F.array_join(F.transform(lines, lambda x: F.when(once(x), F.regexp_replace(x, pattern, replacement)).otherwise(x)), "\n").alias("new"),
+        F.size(F.filter(lines, once)).cast("long").alias("n"), F.exists(lines, lambda x: F.regexp_count(x, F.lit(pattern)) > 1).alias("conflict"),
+    )
+    if mode == "AllOrNothing":
+        any_ = out.agg(F.coalesce(F.bool_or("conflict"), F.lit(False)).alias("stop"))
+        out = out.join(F.broadcast(any_))
+        return out.select(id_col, F.when(F.col("stop"), F.col("old")).otherwise(F.col("new")).alias("text"), F.when(F.col("stop"), 0).otherwise(F.col("n")).cast("long").alias("applied"))
+    return out.select(id_col, F.col("new").alias("text"), F.col("n").alias("applied"))
 
 
 def diagnostics_filtered(rows: DataFrame, least: str | None = None, ids: list[str] | None = None, projects: list[str] | None = None, globs: list[str] | None = None) -> DataFrame:

@@ -20,24 +20,51 @@ def similar_pairs(rows: DataFrame, id_col: str, features: list[str], similarity:
     return pairs.select("a", "b", similarity(F.col("fa"), F.col("fb")).alias("similarity")).filter(F.col("similarity") >= floor)
 
 
-def set_pairs(sets: DataFrame, id_col: str, elements: str, floor: float) -> DataFrame:
-    """a, b (a < b), similarity: all pairs of sets (arrays) of Jaccard similarity at floor or above, exactly.
+def set_classes(sets: DataFrame, id_col: str, elements: str) -> DataFrame:
+    """id, rep (smallest id with the same set), s (the set, sorted) of the rows whose set has elements."""
+    each = sets.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(elements)).alias("s")).filter(F.size("s") > 0)
+    keyed = each.withColumn("key", F.md5(F.array_join(F.transform("s", lambda x: x.cast("string")), "\x1f")))
+    reps = keyed.groupBy("key").agg(F.min("id").alias("rep"))
+    return keyed.join(reps, "key").select("id", "rep", "s")
+
+
+def set_pairs(classes: DataFrame, floor: float) -> DataFrame:
+    """a, b (a < b), similarity of representatives (see set_classes): all pairs of different sets of Jaccard similarity at floor or above, exactly. Rows alike in their sets are one representative, so copies don't multiply pairs.
 
     Elements are ordered from rare to common; two sets that similar share one of the first |s| - ceil(floor * |s|) + 1 elements of each, so only those meet, and only sets of nearly equal sizes.
     """
-    each = sets.select(F.col(id_col).alias("id"), F.array_distinct(elements).alias("s")).filter(F.size("s") > 0)
+    each = classes.filter("id = rep").select("id", "s")
     flat = each.select("id", F.size("s").alias("n"), F.explode("s").alias("e"))
     counts = flat.groupBy("e").agg(F.count("*").alias("df"))
     order = F.row_number().over(Window.partitionBy("id").orderBy("df", "e"))
     prefix = flat.join(counts, "e").withColumn("at", order).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * floor) + 1).select("id", "n", "e")
     other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "e")
-    met = prefix.select(F.col("id").alias("a"), "n", "e").join(other, "e").filter((F.col("a") < F.col("b")) & (F.col("n") >= F.col("m") * floor) & (F.col("m") >= F.col("n") * floor)).select("a", "b").distinct()
-    full = each.withColumnRenamed("s", "x")
-    both = met.join(full.select(F.col("id").alias("a"), "x"), "a").join(each.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    alike_in_size = (F.col("n") >= F.col("m") * floor) & (F.col("m") >= F.col("n") * floor)
+    met = prefix.select(F.col("id").alias("a"), "n", "e").join(other, "e").filter((F.col("a") < F.col("b")) & alike_in_size).select("a", "b").distinct()
+    both = met.join(each.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(each.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).filter(F.col("similarity") >= floor)
 
 
+def sparse_pairs(entries: DataFrame, floor: float) -> DataFrame:
+    """a, b (a < b), similarity: all pairs of sparse vectors, given as entries (id, key, n), of cosine similarity at floor (above 0) or above, exactly.
+
+    Keys are ordered from rare to common. What a vector holds behind its prefix is shorter than floor times its length, so two vectors that similar share a key of both prefixes; only those meet.
+    """
+    if floor <= 0:
+        raise ValueError("floor must be above 0")
+    x = F.col("n").cast("double")
+    lengths = entries.groupBy("id").agg(F.sqrt(F.sum(x * x)).alias("length"))
+    counts = entries.groupBy("key").agg(F.count("*").alias("df"))
+    unit = checkpointed(entries.join(lengths, "id").filter("length > 0").join(counts, "key").select("id", "key", "df", (x / F.col("length")).alias("u")))
+    rest = F.sum(F.col("u") * F.col("u")).over(Window.partitionBy("id").orderBy("df", "key").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    prefix = unit.withColumn("rest", rest).filter(F.col("rest") >= floor * floor - 1e-9).select("id", "key")
+    met = prefix.select(F.col("id").alias("a"), "key").join(prefix.select(F.col("id").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct()
+    left = met.join(unit.select(F.col("id").alias("a"), "key", F.col("u").alias("u")), "a")
+    products = left.join(unit.select(F.col("id").alias("b"), "key", F.col("u").alias("v")), ["b", "key"])
+    return products.groupBy("a", "b").agg(F.sum(F.col("u") * F.col("v")).alias("similarity")).filter(F.col("similarity") >= floor)
+
+
 def _settled(pairs: list[tuple], taken: set) -> list[tuple]:
     """(id, role) of the rows in pairs (a < b), in id order: a row leads unless it is taken or a smaller neighbour leads."""
     below: dict = {}
@@ -81,6 +108,13 @@ def greedy_groups(pairs: DataFrame, few: int = 100_000) -> DataFrame:
     return members.unionByName(members.select(F.col("leader").alias("member"), "leader", F.lit(1.0).alias("similarity")).distinct())
 
 
+def with_copies(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """member, leader, similarity of all rows of classes (id, rep) whose representative is in groups or has copies: copies go where their representative goes, with 1 to one that leads."""
+    sizes = classes.groupBy("rep").agg(F.count("*").alias("n"))
+    each = classes.select("id", "rep").join(sizes, "rep").join(groups.select(F.col("member").alias("rep"), "leader", "similarity"), "rep", "left").filter("leader IS NOT NULL OR n > 1")
+    return each.select(F.col("id").alias("member"), F.coalesce("leader", "rep").alias("leader"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+
+
 def group_summary(groups: DataFrame) -> DataFrame:
     """leader, n, similarity (mean of the others to the leader), clone type and priority, most urgent first."""
     out = groups.groupBy("leader").agg(F.count("*").alias("n"), F.avg(F.when(F.col("member") != F.col("leader"), F.col("similarity"))).alias("similarity"))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine, dot, magnitude
+from tessera.operators.order import numbered
 
 #: Above this many rows a search may use hashing (see lsh_top_k); results are exact by default.
 BACKEND_LIMITS = {"small": 5_000, "default": 10_000, "enterprise": 50_000}
+#: Rows of a block of vectors; of a block's rows compared at a time; bytes of blocks that Spark hands to Python at a time.
+BLOCK_ROWS, PAIR_ROWS, PAIR_BYTES = 4096, 512, 16_000_000
 # Results and floor by kind of request.
 ENRICHMENT = {
     "definition": (5, 0.75), "references": (5, 0.7), "modify": (3, 0.8), "members": (5, 0.75), "complexity": (3, 0.7), "all_references": (10, 0.65), "list_types": (8, 0.7),
@@ -27,22 +35,69 @@ def top_k(rows: DataFrame, query: list[float], k: int, floor: float = 0.0, id_co
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), id_col)))
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, floor: float, left_id: str = "id", right_id: str = "id", vector: str = "embedding", same: str | None = None, blocks: int = 4) -> DataFrame:
-    """left_id, right_id, similarity, rank: for each left row the k most similar right rows (none with its own id).
+def _dealt(rows: DataFrame, side: str, id_col: str, vector: str, same: str | None) -> tuple[DataFrame, int]:
+    """Rows with an id and a vector, dealt by id into blocks of about BLOCK_ROWS (within `same`): a row for each with ids and vectors as arrays; and the number of blocks."""
+    kept = rows.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
+    blocks = max(1, -(-kept.count() // BLOCK_ROWS))
+    key = F.col(same) if same else F.lit(0)
+    each = kept.select(key.alias("same"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias(side), F.col(id_col).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    return each.groupBy("same", side).agg(F.collect_list("id").alias(f"{side}_ids"), F.collect_list("v").alias(f"{side}_v")), blocks
+
+
+def _matrices(row: pa.RecordBatch, side: str) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """length -> (ids, unit vectors; zeros stay) of a block."""
+    ids, lists = row.column(f"{side}_ids")[0].values, row.column(f"{side}_v")[0].values
+    sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    out = {}
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        m = flat[(ends[at] - d)[:, None] + np.arange(d)]
+        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        out[d] = ids.take(pa.array(at)), m / np.where(length > 0, length, 1.0)
+    return out
+
+
+def knn_join(left: DataFrame, right: DataFrame, k: int | None, floor: float, left_id: str = "id", right_id: str = "id", vector: str = "embedding", same: str | None = None) -> DataFrame:
+    """left_id, right_id, similarity, rank: for each left row the k most similar right rows at floor or above, best first (ties: smaller id); without k, all of them.
 
-    Both sides are dealt into blocks whose pairs are compared, so neither is broadcast whole (take about a block for 10,000 rows of the larger side); with `same`, only rows alike in that column are compared and it is the join key.
+    Rows with the row's own id, and vectors of another length, are not compared; a vector of zeros has similarity 0. With `same`, only rows alike in that column are. Both sides are dealt into blocks
+    by their counts; each pair of blocks is a matrix product, from which a left row keeps k rows at most, so neither side is ever whole in one place.
     """
-    a = left.select(F.col(left_id).alias("left_id"), F.col(vector).alias("v"), magnitude(F.col(vector)).alias("v_size"), *([F.col(same).alias("same")] if same else []))
-    b = right.select(F.col(right_id).alias("right_id"), F.col(vector).alias("w"), magnitude(F.col(vector)).alias("w_size"), *([F.col(same).alias("same")] if same else []))
-    a = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("left_id"), F.lit(blocks)))
-    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.pmod(F.xxhash64("right_id"), F.lit(blocks)))
-    pairs = a.join(b, ["block", "part", *(["same"] if same else [])]).filter(F.col("left_id") != F.col("right_id"))
-    # As cosine(), with each row's magnitude computed once
-    sizes = F.col("v_size") * F.col("w_size")
-    similarity = F.when((F.size("v") != F.size("w")) | (sizes == 0), 0.0).otherwise(dot(F.col("v"), F.col("w")) / sizes)
-    near = pairs.select("left_id", "right_id", similarity.alias("similarity")).filter(F.col("similarity") >= floor)
+    a, blocks = _dealt(left, "a", left_id, vector, same)
+    b, _ = _dealt(right, "b", right_id, vector, same)
+    kind = dict(left.dtypes)[left_id], dict(right.dtypes)[right_id]
+    schema = f"left_id {kind[0]}, right_id {kind[1]}, similarity double"
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, other = _matrices(batch.slice(i, 1), "a"), _matrices(batch.slice(i, 1), "b")
+                for d in one.keys() & other.keys():
+                    yield from _nearest(*one[d], *other[d], k, floor)
+
+    # A row of blocks is a few megabytes, so few of them make a batch
+    left.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", PAIR_BYTES)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    pairs = a.join(b.withColumn("a", every), ["same", "a"])
+    near = pairs.select("a_ids", "a_v", "b_ids", "b_v").mapInArrow(compare, schema)
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+    ranked = near.withColumn("rank", rank)
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+
+
+def _nearest(left: pa.Array, x: np.ndarray, right: pa.Array, y: np.ndarray, k: int | None, floor: float) -> Iterator[pa.RecordBatch]:
+    """left_id, right_id, similarity of the pairs of two blocks that a join keeps: no more than k of a left row but for ties with the k-th."""
+    codes = pc.dictionary_encode(pa.concat_arrays([left.cast(right.type), right])).indices.to_numpy()
+    for at in range(0, len(x), PAIR_ROWS):
+        scores = x[at : at + PAIR_ROWS] @ y.T
+        keep = (scores >= floor) & (codes[at : at + len(scores), None] != codes[None, len(left) :])
+        if k is not None and scores.shape[1] > k:
+            held = np.where(keep, scores, -np.inf)
+            keep &= scores >= np.partition(held, -k, axis=1)[:, -k][:, None]
+        i, j = np.nonzero(keep)
+        if len(i):
+            yield pa.RecordBatch.from_pydict({"left_id": left.take(pa.array(at + i)), "right_id": right.take(pa.array(j)), "similarity": scores[i, j]})
 
 
 def federated_top_k(rows: DataFrame, query: list[float], k: int, projects: list[str] | None = None, floor: float = 0.0, project: str = "project") -> DataFrame:
@@ -61,8 +116,8 @@ def centroids(rows: DataFrame, group: str, vector: str = "embedding") -> DataFra
 
 def centroid_pairs(centers: DataFrame, group: str, floor: float = 0.85) -> DataFrame:
     """a, b (a < b), similarity of groups whose centroids are alike."""
-    a, b = centers.select(F.col(group).alias("a"), F.col("centroid").alias("x")), centers.select(F.col(group).alias("b"), F.col("centroid").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", cosine(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= floor)
+    near = knn_join(centers, centers, None, floor, group, group, "centroid")
+    return near.filter("left_id < right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "similarity")
 
 
 def lsh_top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float = 0.0, id_col: str = "vec_id", vector: str = "embedding", tables: int = 8, bits: int = 6, probes: int = 2, seed: int = 1, blocks: int = 4) -> DataFrame:
@@ -70,8 +125,6 @@ def lsh_top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float = 0.0, i
 
     With 2 of 6 bits the mean recall of 10 is 0.99 on the given embeddings; with 1 it is 0.88 to 0.90, with none 0.32 to 0.41. Rows of another length than the first query's take no part.
     """
-    import numpy as np
-
     first = queries.select(F.size(vector)).first()
     size = max(first[0] if first else 1, 1)
     planes = np.random.Generator(np.random.PCG64(seed)).normal(size=(tables, bits, size))
@@ -96,6 +149,11 @@ def upsert(base: DataFrame, changes: DataFrame, id_col: str, order: str) -> Data
     return base.join(new.select(id_col), id_col, "left_anti").unionByName(new.select(*base.columns))
 
 
+def deleted(rows: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """rows without those whose id is in gone."""
+    return rows.join(gone.select(id_col), id_col, "left_anti")
+
+
 def duplicates_on_ingest(store: DataFrame, incoming: DataFrame, floor: float = 0.85, k: int = 10, shown: int = 3, reuse: float = 0.90) -> DataFrame:
     """For each incoming row (id, project, embedding) its `shown` nearest stored rows at floor or above; reuse_hint where the project differs and the similarity is `reuse` or more."""
     near = knn_join(incoming, store, k, floor)
@@ -109,6 +167,18 @@ def backend(n: int, size: str = "default") -> str:
     return "exact" if n <= BACKEND_LIMITS[size] else "hashed"
 
 
+def backend_of(n: Column, most: int) -> Column:
+    """The same for a column of counts."""
+    return F.when(n <= most, "exact").otherwise("hashed")
+
+
+def search_route(mode: Column, local: Column, hub: Column) -> Column:
+    """Where a search goes: local, hub, both or none, by what it asks for (local, hub, both or any) and whether each is there. any: the local index if it is there, else the hub; both: what is there of them."""
+    one = lambda there, name: F.when(there, name).otherwise("none")
+    either = F.when(local & hub, "both").when(local, "local").when(hub, "hub").otherwise("none")
+    return F.when(mode == "local", one(local, "local")).when(mode == "hub", one(hub, "hub")).when(mode == "any", F.when(local, "local").when(hub, "hub").otherwise("none")).otherwise(either)
+
+
 def score_range(rows: DataFrame, score: str) -> DataFrame:
     """rows with `normalised`: the score's place between the smallest and the largest; 1 where those are equal."""
     ends = rows.agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
@@ -129,7 +199,8 @@ def rank_fusion(ranked: DataFrame, k: int = 60, weights: dict[int, float] | None
         share = F.lit(1.0)
     part = F.when(F.lit(k) + F.col("rank0") == 0, F.lit(float("inf"))).otherwise(share / F.when(F.lit(k) + F.col("rank0") == 0, 1).otherwise(F.lit(k) + F.col("rank0")))
     fused = ranked.withColumn("part", part).groupBy("id").agg(F.sum("part").alias("score"), F.count("*").alias("appearances"), F.min("rank0").alias("lowest"), F.max("rank0").alias("highest"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("list", "rank0")))).alias("ranks"))
-    return fused.withColumn("final_rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "id")) - 1)
+    best_first = [F.desc(F.round("score", 12)), F.col("id")]
+    return numbered(fused, best_first, "final_rank").withColumn("final_rank", F.col("final_rank").cast("int"))
 
 
 def weighted_fusion(entity: DataFrame, content: DataFrame, semantic: DataFrame, limit: int, weights: tuple[float, float, float] = (0.3, 0.3, 0.4)) -> DataFrame:
@@ -142,10 +213,9 @@ def weighted_fusion(entity: DataFrame, content: DataFrame, semantic: DataFrame,
 
 def hybrid_rank(vector_hits: DataFrame, feature_hits: DataFrame, mode: str = "hybrid", weights: tuple[float, float] = (0.7, 0.3), k: int = 60) -> DataFrame:
     """Weighted rank fusion of two lists (id, score): vector only, features only, or both, with each list's score beside the fused one."""
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1
     lists = {"vector": vector_hits, "features": feature_hits}
     used = [n for n in lists if mode in ("hybrid", n)]
-    ranked = [lists[n].select(F.lit(i).alias("list"), "id", rank.alias("rank0")) for i, n in enumerate(used)]
+    ranked = [numbered(lists[n].select("id", "score"), [F.desc("score"), F.col("id")], "rank0").select(F.lit(i).alias("list"), "id", "rank0") for i, n in enumerate(used)]
     every = ranked[0] if len(ranked) == 1 else ranked[0].unionByName(ranked[1])
     w = {i: weights[list(lists).index(n)] for i, n in enumerate(used)}
     out = rank_fusion(every, k, w)
@@ -172,10 +242,10 @@ def embed_once(rows: DataFrame, text: str, embedder, name: str = "embedding") ->
     return keyed.join(once, "__key", "left").drop("__key")
 
 
-def enriched(requests: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
-    """request_id, id, similarity, rank: for each request (id, embedding) the rows that a kind of request shows beside its own result."""
-    k, floor = ENRICHMENT[kind]
-    return knn_join(requests, rows, k, floor).select(F.col("left_id").alias("request_id"), F.col("right_id").alias("id"), "similarity", "rank")
+def enriched(requests: DataFrame, rows: DataFrame, kind: str, floor: float | None = None) -> DataFrame:
+    """request_id, id, similarity, rank: for each request (id, embedding) the rows that a kind of request shows beside its own result; at another floor where one is given."""
+    k, least = ENRICHMENT[kind]
+    return knn_join(requests, rows, k, least if floor is None else floor).select(F.col("left_id").alias("request_id"), F.col("right_id").alias("id"), "similarity", "rank")
 
 
 def search_scope(rows: DataFrame, scope: str) -> DataFrame:

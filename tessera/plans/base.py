@@ -123,14 +123,12 @@ LAYERS = f"""base AS (SELECT o_orderkey AS id, o_orderstatus, o_totalprice FROM
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
-    """Call edges among the users of events; a caller's number is below its callee's, so there are no cycles."""
-    e = table(spark, d, "events").filter("event_id % 7 = 0")
-    a, b = F.least(F.col("user_id") % 24, F.col("event_id") % 24), F.greatest(F.col("user_id") % 24, F.col("event_id") % 24)
-    name = lambda c: F.concat(F.lit("m"), F.lpad(c.cast("string"), 2, "0"))
-    return e.select(name(a).alias("caller"), name(b).alias("callee")).filter("caller <> callee").distinct()
+    """Call edges from all events: user u calls 2u, 2u + 1 or 2u + 2, by the event's number. A caller's number is below its callee's, so there are no cycles."""
+    e = table(spark, d, "events")
+    name = lambda c: F.concat(F.lit("m"), c.cast("string"))
+    return e.select(F.col("user_id").alias("a"), (2 * F.col("user_id") + F.col("event_id") % 3).alias("b")).filter("a <> b").select(name(F.col("a")).alias("caller"), name(F.col("b")).alias("callee")).distinct()
 
 
 CALLS = """calls AS (
-    SELECT DISTINCT 'm' || lpad(least(user_id % 24, event_id % 24)::VARCHAR, 2, '0') AS caller, 'm' || lpad(greatest(user_id % 24, event_id % 24)::VARCHAR, 2, '0') AS callee
-    FROM events WHERE event_id % 7 = 0 AND user_id % 24 <> event_id % 24
+    SELECT DISTINCT 'm' || user_id AS caller, 'm' || (2 * user_id + event_id % 3) AS callee FROM events WHERE user_id <> 2 * user_id + event_id % 3
 )"""

@@ -104,7 +104,11 @@ def config_text(spark, d) -> DataFrame:
     return metrics.config_text(metrics.diagnostic_clusters(diagnostics(spark, d)))
 
 
-@query()
+@query(f"""WITH {CLUSTERS}, flat AS (SELECT ['CA1873', 'CA1822', 'CA1829', 'CA2000', 'IDE0005'][label % 5 + 1] AS rule, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT rule, i, avg(x) AS m FROM flat GROUP BY ALL), c AS (SELECT rule, list(m ORDER BY i) AS v FROM m GROUP BY rule),
+p AS (SELECT a.rule AS a, b.rule AS b FROM c a JOIN c b ON a.rule <> b.rule AND list_cosine_similarity(a.v, b.v) >= 0),
+n AS (SELECT a, count(*) AS near FROM p JOIN rated x ON x.diag_id = a JOIN rated y ON y.diag_id = b AND y.category = x.category GROUP BY a)
+SELECT diag_id, round(least(1.0, confidence + 0.05 * coalesce(near, 0)), 6) AS confidence FROM rated LEFT JOIN n ON n.a = diag_id""")
 def cluster_neighbours(spark, d) -> DataFrame:
     rules = F.element_at(F.array(*map(F.lit, ("CA1873", "CA1822", "CA1829", "CA2000", "IDE0005"))), (F.pmod("label", F.lit(5)) + 1).cast("int"))
     messages = table(spark, d, "embeddings").select(rules.alias("diag_id"), "embedding")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.functions.similarity import capped_levenshtein, fqn_score, fuzzy_contains, name_similarity, segment_match
 from tessera.functions.vectors import cosine, dot, euclidean, magnitude, sparse_cosine
-from tessera.operators import lookup, vector
+from tessera.operators import lookup, similarity, vector
 from tessera.plans.base import SYMBOLS, query, symbols, table
 
 
@@ -31,11 +31,11 @@ def vector_topk_filtered(spark, d) -> DataFrame:
     return vector.top_k(table(spark, d, "embeddings"), _vector(spark, d, 1), 10, 0.2, where=F.col("label") % 2 == 0).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS left_id, e.vec_id AS right_id, {COSINE} AS x FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 10 = 0),
+@query(f"""WITH s AS (SELECT q.vec_id AS left_id, e.vec_id AS right_id, {COSINE} AS x FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY x DESC, right_id)::INT AS rank FROM s WHERE x >= 0.3) SELECT left_id, right_id, round(x, 6) AS similarity, rank FROM r WHERE rank <= 5""")
 def knn_join(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return vector.knn_join(e.filter("vec_id % 10 = 0"), e, 5, 0.3, "vec_id", "vec_id").select("left_id", "right_id", F.round("similarity", 6).alias("similarity"), "rank")
+    return vector.knn_join(e.filter("vec_id % 20 = 0"), e, 5, 0.3, "vec_id", "vec_id").select("left_id", "right_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(f"""WITH s AS (SELECT q.vec_id AS left_id, e.vec_id AS right_id, {COSINE} AS x FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id),
@@ -134,11 +134,11 @@ def weighted_fusion(spark, d) -> DataFrame:
     return vector.weighted_fusion(e, c, s, 40).select("id", F.round("score", 6).alias("score"), "sources")
 
 
-@query(f"""WITH s AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, a.label AS la, b.label AS lb, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS x FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0),
+@query(f"""WITH s AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, a.label AS la, b.label AS lb, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS x FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY x DESC, right_id) AS n FROM s WHERE x >= 0.3) SELECT left_id, right_id, round(x, 6) AS similarity, la <> lb AND x >= 0.4 AS reuse_hint FROM r WHERE n <= 3""")
 def duplicates_on_ingest(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("project"), "embedding")
-    return vector.duplicates_on_ingest(e, e.filter("id % 25 = 0"), 0.3, reuse=0.4).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"), "reuse_hint")
+    return vector.duplicates_on_ingest(e, e.filter("id % 20 = 0"), 0.3, reuse=0.4).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"), "reuse_hint")
 
 
 @query("SELECT vec_id, label + CASE WHEN vec_id % 10 = 0 THEN 100 ELSE 0 END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label + 100 FROM embeddings WHERE vec_id % 10 = 0")
@@ -235,13 +235,17 @@ def regex_rewrite(spark, d) -> DataFrame:
     return p.filter(X.name_matches(F.col("p_name"), rx)).select(F.col("p_partkey").alias("id"), X.rewritten(F.col("p_name"), rx, "$2_$1").alias("renamed"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT s_suppkey % 100 AS id, substr(s_name, 1, 6) || ' ring' AS name FROM supplier WHERE s_suppkey < 20)
-SELECT s.id, n.name, CASE WHEN abs(length(s.name) - length(n.name)) > greatest(length(s.name), length(n.name)) // 2 THEN greatest(length(s.name), length(n.name)) ELSE levenshtein(s.name, n.name) END::INT AS distance,
-round(CASE WHEN lower(s.name) = lower(n.name) THEN 1.0 ELSE 1 - levenshtein(lower(s.name), lower(n.name)) / greatest(length(s.name), length(n.name), 1) END, 6) AS similarity FROM s, n""")
+@query("""WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), x AS (SELECT l_partkey AS part, l_suppkey AS id, p_name AS name, substr(s_name, 1, 6) || ' ring' AS asked FROM p JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey)
+SELECT part, id, CASE WHEN abs(length(asked) - length(name)) > greatest(length(asked), length(name)) // 2 THEN greatest(length(asked), length(name)) ELSE levenshtein(asked, name) END::INT AS distance,
+round(CASE WHEN lower(asked) = lower(name) THEN 1.0 ELSE 1 - levenshtein(lower(asked), lower(name)) / greatest(length(asked), length(name), 1) END, 6) AS similarity FROM x""")
 def edit_distances(spark, d) -> DataFrame:
-    n = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
-    s = table(spark, d, "supplier").filter("s_suppkey < 20").select((F.col("s_suppkey") % 100).alias("id"), F.concat(F.substring("s_name", 1, 6), F.lit(" ring")).alias("asked"))
-    return n.join(F.broadcast(s)).select("id", "name", capped_levenshtein(F.col("asked"), F.col("name")).cast("int").alias("distance"), F.round(name_similarity(F.col("asked"), F.col("name")), 6).alias("similarity"))
+    """Of the names of each part and supplier that a line has together."""
+    pairs = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.substring("s_name", 1, 6), F.lit(" ring")).alias("asked"))
+    x = pairs.join(names, "l_partkey").join(s, "l_suppkey")
+    asked, name = F.col("asked"), F.col("name")
+    return x.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("id"), capped_levenshtein(asked, name).cast("int").alias("distance"), F.round(name_similarity(asked, name), 6).alias("similarity"))
 
 
 _ASKED = "Cat.economy.BrandN17.Red_Widget"
@@ -266,22 +270,42 @@ def segment_hint(spark, d) -> DataFrame:
     return symbols(spark, d).select("id", F.round(segment_match(F.lit("at Cat.ECONOMY.red_widget(int)"), F.col("canonical_fqn")), 6).alias("score"))
 
 
-@query("""WITH t AS (SELECT DISTINCT o_custkey AS id, l_partkey % 50 AS k, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey < 60 GROUP BY ALL), m AS (SELECT id, sqrt(sum(n * n)) AS m FROM t GROUP BY id), ids AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 60)
-SELECT a.id AS a, b.id AS b, round(CASE WHEN ma.m IS NULL AND mb.m IS NULL THEN 1.0 WHEN ma.m IS NULL OR mb.m IS NULL THEN 0.0 ELSE coalesce((SELECT sum(x.n * y.n) FROM t x JOIN t y ON x.k = y.k WHERE x.id = a.id AND y.id = b.id), 0) / (ma.m * mb.m) END, 6) AS similarity
-FROM ids a JOIN ids b ON a.id < b.id LEFT JOIN m ma ON ma.id = a.id LEFT JOIN m mb ON mb.id = b.id""")
+BOUGHT = "t AS (SELECT o_custkey AS id, l_partkey AS k, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL), m AS (SELECT id, sqrt(sum(n * n)) AS m FROM t GROUP BY id)"
+
+
+def _bought(spark, d) -> DataFrame:
+    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return lines.groupBy(F.col("o_custkey").alias("id"), F.col("l_partkey").alias("key")).agg(F.count("*").cast("int").alias("n"))
+
+
+@query(f"""WITH {BOUGHT}, p AS (SELECT x.id AS a, y.id AS b, sum(x.n * y.n) AS dot FROM t x JOIN t y ON x.k = y.k AND x.id < y.id GROUP BY ALL)
+SELECT a, b, round(dot / (ma.m * mb.m), 6) AS similarity FROM p JOIN m ma ON ma.id = a JOIN m mb ON mb.id = b WHERE dot / (ma.m * mb.m) >= 0.22""")
 def sparse_cosine_pairs(spark, d) -> DataFrame:
-    lines = table(spark, d, "lineitem").join(table(spark, d, "orders").filter("o_custkey < 60"), F.col("o_orderkey") == F.col("l_orderkey"))
-    counts = lines.groupBy(F.col("o_custkey").alias("id"), (F.col("l_partkey") % 50).cast("string").alias("k")).agg(F.count("*").cast("int").alias("n"))
-    maps = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
-    every = table(spark, d, "customer").filter("c_custkey < 60").select(F.col("c_custkey").alias("id")).join(maps, "id", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<string,int>")))
-    a, b = every.select(F.col("id").alias("a"), F.col("m").alias("x")), every.select(F.col("id").alias("b"), F.col("m").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(sparse_cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    """Customers who buy alike, by the parts of all their orders."""
+    return similarity.sparse_pairs(_bought(spark, d), 0.22).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH {BOUGHT}, ids AS (SELECT c_custkey AS id FROM customer)
+SELECT a.id AS a, b.id AS b, round(CASE WHEN ma.m IS NULL AND mb.m IS NULL THEN 1.0 WHEN ma.m IS NULL OR mb.m IS NULL THEN 0.0 ELSE coalesce(p.dot, 0) / (ma.m * mb.m) END, 6) AS similarity
+FROM ids a JOIN ids b ON b.id = a.id + 1 LEFT JOIN m ma ON ma.id = a.id LEFT JOIN m mb ON mb.id = b.id
+LEFT JOIN (SELECT x.id, sum(x.n * y.n) AS dot FROM t x JOIN t y ON x.k = y.k AND y.id = x.id + 1 GROUP BY 1) p ON p.id = a.id""")
+def sparse_cosine_next(spark, d) -> DataFrame:
+    """Of each customer and the next one, those without orders too."""
+    maps = _bought(spark, d).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("key").cast("string"), "n"))).alias("m"))
+    every = table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(maps, "id", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<string,int>")))
+    a, b = every.select(F.col("id").alias("a"), F.col("m").alias("x")), every.select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.col("m").alias("y"))
+    return a.join(b, "a").select("a", "b", F.round(sparse_cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+_GRAMS = "list_distinct(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' ')))"
 
 
-@query("SELECT DISTINCT benchmark.item_id, documents.doc_id FROM benchmark JOIN documents ON contains(documents.text, substr(benchmark.text, 1, 60))")
+@query(f"""WITH b AS (SELECT item_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark), d AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT item_id, unnest({_GRAMS}) AS g FROM b), y AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM d), n AS (SELECT item_id, count(*) AS windows FROM x GROUP BY 1)
+SELECT item_id, doc_id, count(*) AS shared, any_value(windows) AS windows FROM x JOIN y USING (g) JOIN n USING (item_id) GROUP BY ALL""".replace("\\\\", "\\"))
 def passage_search(spark, d) -> DataFrame:
-    heads = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("head"))
-    return table(spark, d, "documents").join(heads, F.contains("text", F.col("head"))).select("item_id", "doc_id").distinct()
+    """Documents that share windows of eight words with a benchmark text, and how many of its windows."""
+    return lookup.shared_passages(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", 8)
 
 
 @query(f"WITH {SYMBOLS} SELECT row_number() OVER (ORDER BY simple_name, id)::INT AS rank, id, (SELECT count(*) FROM symbols) AS total, (SELECT count(*) FROM symbols) > 60 AS has_more FROM symbols ORDER BY simple_name, id LIMIT 20 OFFSET 40")
@@ -312,18 +336,18 @@ def pattern_search(spark, d) -> DataFrame:
     return lookup.pattern_search(e, c, s, "ring", limit=50).select("id", F.round("score", 6).alias("score"), "sources")
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS request_id, e.vec_id AS id, {COSINE} AS x FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 3), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY x DESC, id)::INT AS rank FROM s WHERE x >= 0.6)
+@query(f"""WITH s AS (SELECT q.vec_id AS request_id, e.vec_id AS id, {COSINE} AS x FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY x DESC, id)::INT AS rank FROM s WHERE x >= 0.3)
 SELECT request_id, id, round(x, 6) AS similarity, rank FROM r WHERE rank <= 10""")
 def enriched_results(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return vector.enriched(e.filter("id % 50 = 3"), e, "search_symbols").withColumn("similarity", F.round("similarity", 6))
+    return vector.enriched(e.filter("id % 20 = 0"), e, "search_symbols", 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""WITH h AS (SELECT doc_id, source, lang, lower(text[1:40]) AS text, row_number() OVER (PARTITION BY lower(text[1:40]) ORDER BY source, lang, doc_id) AS n FROM documents WHERE regexp_matches(text[1:40], '(?im)^th'))
-SELECT source AS file, lang AS kind, string_agg(text, '|' ORDER BY text) AS texts FROM (SELECT * FROM h WHERE n = 1 ORDER BY source, lang, text LIMIT 20) GROUP BY ALL""")
+@query("""WITH h AS (SELECT doc_id, source, lang, lower(text) AS text, row_number() OVER (PARTITION BY lower(text) ORDER BY source, lang, doc_id) AS n FROM documents WHERE regexp_matches(text, '(?im)^th'))
+SELECT source AS file, lang AS kind, string_agg(md5(text), '|' ORDER BY text) AS texts FROM (SELECT * FROM h WHERE n = 1 ORDER BY source, lang, text LIMIT 20) GROUP BY ALL""")
 def definition_search(spark, d) -> DataFrame:
-    u = table(spark, d, "documents").select(F.col("source").alias("file"), F.lit("p").alias("parent"), F.col("lang").alias("kind"), F.lower(F.substring("text", 1, 40)).alias("text"))
-    return lookup.definition_search(u, "^th").select("file", "kind", F.array_join("texts", "|").alias("texts"))
+    u = table(spark, d, "documents").select(F.col("source").alias("file"), F.lit("p").alias("parent"), F.col("lang").alias("kind"), F.lower("text").alias("text"))
+    return lookup.definition_search(u, "^th").select("file", "kind", F.array_join(F.transform("texts", F.md5), "|").alias("texts"))
 
 
 @query(f"WITH {SYMBOLS} SELECT canonical_fqn AS fqn FROM symbols WHERE regexp_matches(canonical_fqn, '(?i)brandn1.*ring') OR regexp_matches(simple_name, '(?i)brandn1.*ring') GROUP BY 1 ORDER BY 1 LIMIT 30")

@@ -10,6 +10,7 @@ from tessera.functions.similarity import class_similarity, method_similarity
 from tessera.functions.vectors import jaccard
 from tessera.operators import graph, layers, merge, similarity
 from tessera.plans.base import CALLS, LAYERS, UNITS, calls, order_delta, order_rows, query, table, units
+from tessera.sources.staging import checkpointed
 
 STRUCTURE = "regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]+(\\n|$)', '\\1', 'g'), '^\\s+|\\s+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')".replace("\\\\", "\\")
 
@@ -32,16 +33,28 @@ def normalised_text(spark, d) -> DataFrame:
 _WORDS = r"list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))"
 
 
-@query(f"""WITH s AS (SELECT doc_id, {_WORDS} AS w FROM documents), f AS (SELECT doc_id, len(w) AS n, unnest(w) AS x FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS m FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
+def _word_classes(spark, d) -> DataFrame:
+    s = table(spark, d, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).alias("w"))
+    return checkpointed(similarity.set_classes(s, "doc_id", "w"))
+
+
+@query(f"""WITH s AS (SELECT min(doc_id) AS id, list_sort({_WORDS}) AS w FROM documents GROUP BY 2 HAVING len(list_sort({_WORDS})) > 0),
+f AS (SELECT id, len(w) AS n, unnest(w) AS x FROM s),
+p AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS m FROM f a JOIN f b ON a.x = b.x AND a.id < b.id GROUP BY ALL)
 SELECT a, b, round(m / (na + nb - m), 6) AS similarity FROM p WHERE m / (na + nb - m) >= 0.8""")
 def word_set_pairs(spark, d) -> DataFrame:
-    s = table(spark, d, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).alias("w"))
-    return similarity.set_pairs(s, "doc_id", "w", 0.8).withColumn("similarity", F.round("similarity", 6))
+    """Pairs of documents whose sets of words are alike but not equal; word_set_members tells which documents each stands for."""
+    return similarity.set_pairs(_word_classes(spark, d), 0.8).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH s AS (SELECT doc_id AS id, list_sort({_WORDS}) AS w FROM documents) SELECT id, min(id) OVER (PARTITION BY w) AS rep FROM s WHERE len(w) > 0""")
+def word_set_members(spark, d) -> DataFrame:
+    return _word_classes(spark, d).select("id", "rep")
 
 
 def _clone_groups(spark, d) -> DataFrame:
-    s = table(spark, d, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).alias("w"))
-    return similarity.greedy_groups(similarity.set_pairs(s, "doc_id", "w", 0.8))
+    classes = _word_classes(spark, d)
+    return similarity.with_copies(similarity.greedy_groups(similarity.set_pairs(classes, 0.8)), classes)
 
 
 @query()
@@ -56,17 +69,17 @@ def clone_summary(spark, d) -> DataFrame:
 
 def _methods(spark, d) -> DataFrame:
     """Suppliers as methods: parts they ship as calls, return flags as operations."""
-    x = table(spark, d, "lineitem").filter("l_suppkey < 40").groupBy("l_suppkey").agg(F.sort_array(F.collect_set((F.col("l_partkey") % 30).cast("string"))).alias("invoked"), F.count("*").cast("int").alias("n"), F.sum("l_quantity").alias("q"))
-    ops = table(spark, d, "lineitem").filter("l_suppkey < 40").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").cast("int").alias("c")).groupBy(F.col("l_suppkey").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "c"))).alias("operations"))
+    x = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_set((F.col("l_partkey") % 30).cast("string"))).alias("invoked"), F.count("*").cast("int").alias("n"), F.sum("l_quantity").alias("q"))
+    ops = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count("*").cast("int").alias("c")).groupBy(F.col("l_suppkey").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("l_returnflag", "c"))).alias("operations"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey")
     return x.withColumnRenamed("l_suppkey", "k").join(ops, "k").join(s, "k").select(
         "k", "invoked", "operations", F.array((F.col("k") % 5).cast("string"), (F.col("k") % 3).cast("string")).alias("accessed_types"), F.array((F.col("k") % 2).cast("string"), (F.col("k") % 4).cast("string")).alias("param_types"),
-        (F.col("k") % 3).cast("string").alias("return_type"), (F.col("n") % 60).alias("blocks"), (F.col("n") % 25).alias("branches"), (F.col("k") % 8).alias("loops"), (F.col("n") % 30).alias("cyclomatic"), (F.col("s_nationkey") % 2).alias("block_key"),
+        (F.col("k") % 3).cast("string").alias("return_type"), (F.col("n") % 60).alias("blocks"), (F.col("n") % 25).alias("branches"), (F.col("k") % 8).alias("loops"), (F.col("n") % 30).alias("cyclomatic"), F.floor(F.col("k") / 20).alias("block_key"),
     )
 
 
-@query("""WITH l AS (SELECT * FROM lineitem WHERE l_suppkey < 40), m AS (SELECT l_suppkey AS k, list_distinct(list((l_partkey % 30)::VARCHAR)) AS inv, count(*)::INT AS n FROM l GROUP BY 1), o AS (SELECT l_suppkey AS k, l_returnflag AS f, count(*) AS c FROM l GROUP BY ALL), nm AS (SELECT k, sqrt(sum(c * c)) AS m FROM o GROUP BY k),
-x AS (SELECT m.*, s_nationkey % 2 AS bk, nm.m FROM m JOIN supplier ON s_suppkey = m.k JOIN nm ON nm.k = m.k), p AS (SELECT a.k AS a, b.k AS b, a.inv AS ia, b.inv AS ib, a.n AS na, b.n AS nb, (SELECT coalesce(sum(q.c * r.c), 0) FROM o q JOIN o r ON q.f = r.f WHERE q.k = a.k AND r.k = b.k) / (a.m * b.m) AS ops FROM x a JOIN x b ON a.bk = b.bk AND a.k < b.k),
+@query("""WITH l AS (SELECT * FROM lineitem), m AS (SELECT l_suppkey AS k, list_distinct(list((l_partkey % 30)::VARCHAR)) AS inv, count(*)::INT AS n FROM l GROUP BY 1), o AS (SELECT l_suppkey AS k, l_returnflag AS f, count(*) AS c FROM l GROUP BY ALL), nm AS (SELECT k, sqrt(sum(c * c)) AS m FROM o GROUP BY k),
+x AS (SELECT m.*, m.k // 20 AS bk, nm.m FROM m JOIN supplier ON s_suppkey = m.k JOIN nm ON nm.k = m.k), p AS (SELECT a.k AS a, b.k AS b, a.inv AS ia, b.inv AS ib, a.n AS na, b.n AS nb, (SELECT coalesce(sum(q.c * r.c), 0) FROM o q JOIN o r ON q.f = r.f WHERE q.k = a.k AND r.k = b.k) / (a.m * b.m) AS ops FROM x a JOIN x b ON a.bk = b.bk AND a.k < b.k),
 s AS (SELECT a, b, 0.25 * len(list_intersect(ia, ib)) / (len(ia) + len(ib) - len(list_intersect(ia, ib))) + 0.20 * ops
  + 0.15 * len(list_intersect([(a % 5)::VARCHAR, (a % 3)::VARCHAR], [(b % 5)::VARCHAR, (b % 3)::VARCHAR])) / (len(list_distinct([a % 5, a % 3])) + len(list_distinct([b % 5, b % 3])) - len(list_intersect([a % 5, a % 3], [b % 5, b % 3])))
  + 0.10 * ((a % 2 = b % 2)::INT + (a % 4 = b % 4)::INT) / 2 + 0.05 * (a % 3 = b % 3)::INT + 0.025 + 0.05 * (1 - abs(na % 60 - nb % 60) / 60) + 0.05 * (1 - abs(na % 25 - nb % 25) / 25) + 0.05 * (1 - abs(a % 8 - b % 8) / 8) + 0.075 * (1 - abs(na % 30 - nb % 30) / 30) AS v FROM p)
@@ -78,9 +91,9 @@ def similar_methods(spark, d) -> DataFrame:
 
 @query()
 def similar_classes(spark, d) -> DataFrame:
-    """Nations as classes of their suppliers: methods are matched one to one within each pair of classes."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("c")).filter("k < 40")
-    m = _methods(spark, d).withColumn("block_key", F.lit(0))
+    """Every eight suppliers are a class and every 40 a block of classes that are compared: methods are matched one to one within each pair of classes."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.floor(F.col("s_suppkey") / 8).alias("c"))
+    m = _methods(spark, d).withColumn("block_key", F.floor(F.col("k") / 40))
     features = [c for c in m.columns if c not in ("k", "block_key")]
     pairs = similarity.similar_pairs(m, "k", features, method_similarity, 0.0, ["block_key"])
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
@@ -93,10 +106,10 @@ def similar_classes(spark, d) -> DataFrame:
     return out.select("ca", "cb", F.round(class_similarity(F.col("fa"), F.col("fb"), F.col("methods")), 6).alias("similarity"))
 
 
-@query("""WITH s AS (SELECT o_custkey AS id, list_distinct(list(l_partkey % 20)) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 100 GROUP BY 1)
-SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity FROM s a JOIN s b ON a.id % 10 = b.id % 10 AND a.id < b.id""")
+@query("""WITH s AS (SELECT o_custkey AS id, list_distinct(list(l_partkey % 20)) AS s FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity FROM s a JOIN s b ON a.id // 10 = b.id // 10 AND a.id < b.id""")
 def blocked_jaccard(spark, d) -> DataFrame:
-    x = table(spark, d, "orders").filter("o_custkey < 100").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 20).alias("s")).withColumn("block", F.col("id") % 10)
+    x = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 20).alias("s")).withColumn("block", F.floor(F.col("id") / 10))
     return similarity.similar_pairs(x, "id", ["s"], lambda a, b: jaccard(a["s"], b["s"]), 0.0, ["block"]).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -249,12 +262,12 @@ def renames(spark, d) -> DataFrame:
 @query()
 def semantic_match(spark, d) -> DataFrame:
     e = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("type"), F.substring("text", 1, 12).alias("name"), F.col("text").alias("content"))
-    return merge.semantic_match(e.filter("id % 9 = 0"), e, 0.3).select("base_id", "target_id", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+    return merge.semantic_match(e.filter("id % 20 = 0"), e, 0.3).select("base_id", "target_id", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
 
 
-@query("SELECT user_id % 9 AS file, event_type AS container, count(*) AS n FROM events WHERE event_id % 40 = 0 GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT user_id % 9 AS file, event_type AS container, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
 def replacement_conflicts(spark, d) -> DataFrame:
-    return merge.replacement_conflicts(table(spark, d, "events").filter("event_id % 40 = 0").select((F.col("user_id") % 9).alias("file"), F.col("event_type").alias("container")))
+    return merge.replacement_conflicts(table(spark, d, "events").select((F.col("user_id") % 9).alias("file"), F.col("event_type").alias("container")))
 
 
 @query("SELECT event_type AS symbol, count(*) AS locations, count(DISTINCT user_id) AS affected_files, bool_or(value > 150) AS breaking FROM events GROUP BY 1")
@@ -273,22 +286,22 @@ def callers(spark, d) -> DataFrame:
     return graph.callers(calls(spark, d), "m20")
 
 
-@query(f"WITH {CALLS} SELECT callee FROM calls WHERE caller = 'm05'")
+@query(f"WITH {CALLS} SELECT callee FROM calls WHERE caller = 'm5'")
 def callees(spark, d) -> DataFrame:
-    return graph.callees(calls(spark, d), "m05")
+    return graph.callees(calls(spark, d), "m5")
 
 
-@query(f"""WITH RECURSIVE {CALLS}, k AS (SELECT * FROM calls WHERE callee <= 'm12'), p(path, depth) AS (SELECT ['m12'], 0 UNION ALL SELECT list_prepend(k.caller, p.path), depth + 1 FROM p JOIN k ON k.callee = p.path[1] WHERE depth < 4),
-e AS (SELECT path, depth, depth < 4 AS reached FROM p WHERE depth = 4 OR NOT EXISTS (SELECT 1 FROM k WHERE k.callee = p.path[1])), c AS (SELECT *, 1 / (1 + depth * 0.1::DOUBLE) * CASE WHEN reached THEN 1.0 ELSE 0.7 END AS c FROM e)
+@query(f"""WITH RECURSIVE {CALLS}, p(path, depth) AS (SELECT ['m20'], 0 UNION ALL SELECT list_prepend(k.caller, p.path), depth + 1 FROM p JOIN calls k ON k.callee = p.path[1] WHERE depth < 5),
+e AS (SELECT path, depth, depth < 5 AS reached FROM p WHERE depth = 5 OR NOT EXISTS (SELECT 1 FROM calls k WHERE k.callee = p.path[1])), c AS (SELECT *, 1 / (1 + depth * 0.1::DOUBLE) * CASE WHEN reached THEN 1.0 ELSE 0.7 END AS c FROM e)
 SELECT array_to_string(path, '>') AS path, depth::INT AS depth, reached, round(c, 6) AS confidence FROM c ORDER BY c DESC, array_to_string(path, '>') LIMIT 12""")
 def backtrace(spark, d) -> DataFrame:
-    k = calls(spark, d).filter("callee <= 'm12'")
-    return graph.backtrace(k, "m12", most_depth=4, most_paths=12).select(F.array_join("path", ">").alias("path"), "depth", "reached", F.round("confidence", 6).alias("confidence"))
+    found = graph.backtrace(calls(spark, d), "m20", most_depth=5, most_paths=12)
+    return found.select(F.array_join("path", ">").alias("path"), "depth", "reached", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"WITH RECURSIVE {CALLS}, r(node) AS (SELECT 'm22' UNION SELECT k.caller FROM r JOIN calls k ON k.callee = r.node) SELECT node FROM r")
+@query(f"WITH RECURSIVE {CALLS}, r(node) AS (SELECT 'm20' UNION SELECT k.caller FROM r JOIN calls k ON k.callee = r.node) SELECT node FROM r")
 def dependents_closure(spark, d) -> DataFrame:
-    start = spark.createDataFrame([("m22",)], "node string")
+    start = spark.createDataFrame([("m20",)], "node string")
     return graph.dependents(calls(spark, d).select(F.col("caller").alias("file"), F.col("callee").alias("depends_on")), start).select("node")
 
 
@@ -330,15 +343,28 @@ def references_context(spark, d) -> DataFrame:
     return graph.references_with_context(lines.filter("contains(text, 'the')").select("file", "line"), lines).select("file", "line", "context", "total")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CALLS}, p(path) AS (SELECT ['m5'] UNION ALL SELECT list_append(p.path, k.callee) FROM p JOIN calls k ON k.caller = p.path[-1])
+SELECT array_to_string(path, '>') AS path, 'exit' AS ended FROM p WHERE NOT EXISTS (SELECT 1 FROM calls k WHERE k.caller = p.path[-1]) ORDER BY 1 LIMIT 100""")
 def forward_paths(spark, d) -> DataFrame:
-    k = calls(spark, d).filter("callee <= 'm12'").select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
-    return graph.forward_paths(k, "m01").select(F.array_join("path", ">").alias("path"), "ended")
+    k = calls(spark, d).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    return graph.forward_paths(k, "m5").select(F.array_join("path", ">").alias("path"), "ended")
 
 
-@query()
+_EXPORTED = f"""WITH RECURSIVE {CALLS}, p(path, depth) AS (SELECT ['m20'], 0 UNION ALL SELECT list_prepend(k.caller, p.path), depth + 1 FROM p JOIN calls k ON k.callee = p.path[1] WHERE depth < 5),
+e AS (SELECT path, depth, 1 / (1 + depth * 0.1::DOUBLE) * CASE WHEN depth < 5 THEN 1.0 ELSE 0.7 END AS c FROM p WHERE depth = 5 OR NOT EXISTS (SELECT 1 FROM calls k WHERE k.callee = p.path[1])),
+b AS (SELECT * FROM e ORDER BY c DESC, array_to_string(path, '>') LIMIT 5), g AS (SELECT unnest(path[:-2]) AS a, unnest(path[2:]) AS b, c FROM b), s AS (SELECT a, b, max(c) AS c FROM g GROUP BY ALL),"""
+
+
+@query(f"""{_EXPORTED} l AS (SELECT '  "' || a || '" -> "' || b || '" [color=' || CASE WHEN c > 0.8 THEN 'green' WHEN c > 0.5 THEN 'orange' ELSE 'red' END || '];' AS line FROM s)
+SELECT 'digraph calls {{' || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY line), '') || chr(10) || '}}' AS text FROM l""")
 def graph_export(spark, d) -> DataFrame:
-    return graph.exported(graph.backtrace(calls(spark, d).filter("callee <= 'm12'"), "m12", most_depth=4), "dot")
+    return graph.exported(graph.backtrace(calls(spark, d), "m20", most_depth=5), "dot")
+
+
+@query(f"""{_EXPORTED} l AS (SELECT '  ' || md5(a) || '["' || a || '"] --> ' || md5(b) || '["' || b || '"]' AS line FROM s)
+SELECT 'graph TD' || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY line), '') || chr(10) AS text FROM l""")
+def graph_export_mermaid(spark, d) -> DataFrame:
+    return graph.exported(graph.backtrace(calls(spark, d), "m20", most_depth=5), "mermaid")
 
 
 @query("WITH RECURSIVE h AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS parent_id FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'r' || r_regionkey, NULL FROM region), t(depth, id, p) AS (SELECT 0, id, parent_id FROM h WHERE id = 's7' UNION ALL SELECT depth + 1, h.id, h.parent_id FROM t JOIN h ON h.id = t.p) SELECT depth::INT AS depth, id FROM t")
@@ -351,10 +377,10 @@ def enclosing_scopes(spark, d) -> DataFrame:
 
 
 
-@query("""WITH s AS (SELECT o_orderkey AS k, 'src/f' || o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '.cs' WHEN 1 THEN '.PNG' ELSE '.txt' END AS path, o_orderstatus AS status FROM orders WHERE o_orderkey % 4 = 0), t AS (SELECT k, CASE WHEN k % 5 = 0 THEN 'D' ELSE 'M' END AS status FROM s WHERE k % 8 = 0)
+@query("""WITH s AS (SELECT o_orderkey AS k, 'src/f' || o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '.cs' WHEN 1 THEN '.PNG' ELSE '.txt' END AS path, o_orderstatus AS status FROM orders), t AS (SELECT k, CASE WHEN k % 5 = 0 THEN 'D' ELSE 'M' END AS status FROM s WHERE k % 8 = 0)
 SELECT path, CASE k % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'binary' ELSE 'text' END AS way, s.status <> 'P' AS in_base, s.status <> 'F' AS in_source, CASE WHEN t.status IS NULL THEN s.status <> 'P' ELSE t.status <> 'D' END AS in_target FROM s LEFT JOIN t USING (k)""")
 def merge_file_plan(spark, d) -> DataFrame:
     k = F.col("o_orderkey")
-    s = table(spark, d, "orders").filter("o_orderkey % 4 = 0").select(k, F.concat(F.lit("src/f"), k.cast("string"), F.expr("CASE o_orderkey % 3 WHEN 0 THEN '.cs' WHEN 1 THEN '.PNG' ELSE '.txt' END")).alias("path"), F.expr("CASE o_orderstatus WHEN 'P' THEN 'A' WHEN 'F' THEN 'D' ELSE 'M' END").alias("status"), F.lit(None).cast("string").alias("renamed_from"))
+    s = table(spark, d, "orders").select(k, F.concat(F.lit("src/f"), k.cast("string"), F.expr("CASE o_orderkey % 3 WHEN 0 THEN '.cs' WHEN 1 THEN '.PNG' ELSE '.txt' END")).alias("path"), F.expr("CASE o_orderstatus WHEN 'P' THEN 'A' WHEN 'F' THEN 'D' ELSE 'M' END").alias("status"), F.lit(None).cast("string").alias("renamed_from"))
     t = s.filter("o_orderkey % 8 = 0").select("path", F.when(k % 5 == 0, "D").otherwise("M").alias("status"))
     return merge.file_plan(s, t, "src/*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.layers import applied, last_change
+from tessera.operators.order import numbered
 
 # Items of a batch and milliseconds that it waits.
 BATCH_ITEMS, BATCH_MS, DEBOUNCE_MS = 50, 300, 500
@@ -25,11 +26,15 @@ def micro_batches(changes: DataFrame, apply: Callable[[DataFrame, int], None], c
 
 
 def batches(changes: DataFrame, id_col: str = "id", order: str = "ts", size: int = BATCH_ITEMS, partition: str | None = None) -> DataFrame:
-    """The same in a batch: changes in order, cut into runs of `size`, the last change of an id in each."""
-    w = Window.partitionBy(*([partition] if partition else [])).orderBy(order, id_col)
-    numbered = changes.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    """The same in a batch: changes in order (within a partition, if one is named), cut into runs of `size`, the last change of an id in each."""
+    if partition:
+        w = Window.partitionBy(partition).orderBy(order, id_col)
+        placed = changes.withColumn("__at", F.row_number().over(w) - 1)
+    else:
+        placed = numbered(changes, [F.col(order), F.col(id_col)], "__at")
+    cut = placed.withColumn("batch", F.floor(F.col("__at") / size))
     last = F.row_number().over(Window.partitionBy(*([partition] if partition else []), "batch", id_col).orderBy(F.desc(order)))
-    return numbered.withColumn("__n", last).filter("__n = 1").drop("__n")
+    return cut.withColumn("__n", last).filter("__n = 1").drop("__n", "__at")
 
 
 def debounced(events: DataFrame, key: str, ts: str, quiet: str = "30 minutes", watermark: str | None = None) -> DataFrame:
