@@ -46,3 +46,23 @@ def test_lsh_recall_against_brute_force(spark):
         best = ids[np.argsort(-(x @ x[ids == i][0]), kind="stable")[:10]]
         recall.append(len(got[i] & set(best)) / 10)
     assert np.mean(recall) >= 0.9
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    """The other queries stay if the subpackage and the pipeline are deleted; an error in it would not be hidden."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    show = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    run = lambda: subprocess.run([sys.executable, "-c", show], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert run().stdout.split() == [str(len(QUERIES)), str(len(ORACLES))]
+    (tmp_path / "tessera/llm").mkdir()
+    (tmp_path / "tessera/llm/__init__.py").touch()
+    (tmp_path / "tessera/llm/oracles.py").write_text("import no_such_module")
+    (tmp_path / "tessera/llm/queries.py").touch()
+    assert "no_such_module" in run().stderr
