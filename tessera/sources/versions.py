@@ -90,6 +90,14 @@ def restored(spark: SparkSession, root: str, branch: str, by: str = "branch") ->
     return spark.read.parquet(f"{root}/evicted").filter(F.col(by) == branch)
 
 
+def maintained(spark: SparkSession, root: str, deltas: DataFrame, branches: DataFrame, threshold: int = layers.COMPACT_FROM, keep: int = 2, by: str = "branch", id_col: str = "id") -> DataFrame:
+    """What a scheduled run does, and the changes that are left: those of branches that are gone are dropped, a delta of more than `threshold` changes is compacted into a new version, old versions go."""
+    live = deltas.join(branches.select(by), by, "left_semi").select(deltas.columns)
+    done = compact(spark, root, live.drop(by), threshold, id_col)
+    cleanup(spark, root, keep)
+    return live.limit(0) if done else live
+
+
 def committed(branch_delta: DataFrame, working_delta: DataFrame, id_col: str = "id") -> DataFrame:
     """What a commit leaves as the branch's changes: the working ones on top; the working changes are then empty."""
     return layers.merged(branch_delta, working_delta, id_col)

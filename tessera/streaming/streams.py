@@ -67,13 +67,19 @@ def value_changes(rows: DataFrame, key: str, value: str, order: str) -> DataFram
     return rows.withColumn("before", before).withColumn("__n", nth).filter((F.col("__n") == 1) | ~F.col("before").eqNullSafe(F.col(value))).drop("__n")
 
 
-def ingest(changes: DataFrame, store_path: str, out_path: str, checkpoint: str, columns: list[str], id_col: str = "id") -> StreamingQuery:
-    """Applies a stream of changes (id, op, ts, payload) to the table at store_path; batch n is written to out_path/batch=n as a version of its own."""
+def ingest(changes: DataFrame, out_path: str, checkpoint: str, columns: list[str], id_col: str = "id") -> StreamingQuery:
+    """Writes a stream of changes (id, op, ts, payload) to out_path, the last change of an id of each micro-batch n in batch=n; a batch that is repeated overwrites its own. See ingested()."""
 
     def each(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        last = last_change(rows, id_col).select(id_col, "op", *columns)
-        base = spark.read.parquet(store_path if batch == 0 else f"{out_path}/batch={batch - 1}").select(id_col, *columns)
-        applied(base, last, id_col).write.mode("overwrite").parquet(f"{out_path}/batch={batch}")
+        last_change(rows, id_col).select(id_col, "op", *columns).write.mode("overwrite").parquet(f"{out_path}/batch={batch}")
 
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingested(base: DataFrame, out_path: str, id_col: str = "id") -> DataFrame:
+    """base with all batches at out_path in it: of each id the last change, which counts as added where an earlier batch added the row. Batches stay as small as their changes until a compaction."""
+    every = base.sparkSession.read.option("basePath", out_path).parquet(out_path)
+    cols = [c for c in every.columns if c not in (id_col, "op", "batch")]
+    last = every.groupBy(id_col).agg(F.max_by(F.struct("op", *cols), "batch").alias("__last"), F.bool_or(F.col("op") == "A").alias("__new"))
+    op = F.when(F.col("__last.op") == "D", "D").when(F.col("__new"), "A").otherwise("M")
+    return applied(base, last.select(id_col, op.alias("op"), *[F.col(f"__last.`{c}`") for c in cols]), id_col)

@@ -252,15 +252,21 @@ def test_find_falls_back_to_contains(spark):
 
 
 def test_stream_is_its_batch(spark, tmp_path):
-    rows = [(i % 4, i, "A" if i < 4 else "M", f"v{i}") for i in range(20)]
-    changes = frame(spark, rows, "id long, ts long, op string, v string")
-    changes.write.parquet(f"{tmp_path}/in")
-    frame(spark, [], "id long, v string").write.parquet(f"{tmp_path}/base")
-    stream = spark.readStream.schema(changes.schema).parquet(f"{tmp_path}/in")
-    # All rows come in one batch, so each id's last change is what is left; none was there, so it counts as added
-    added = stream.withColumn("op", F.lit("A"))
-    streams.ingest(added, f"{tmp_path}/base", f"{tmp_path}/out", f"{tmp_path}/cp", ["v"]).awaitTermination(60)
-    assert sorted(spark.read.parquet(f"{tmp_path}/out/batch=0").select("id", "v").collect()) == [(0, "v16"), (1, "v17"), (2, "v18"), (3, "v19")]
+    batches = [
+        [(i % 4, i, "A" if i < 4 else "M", f"v{i}") for i in range(20)],
+        [(0, 20, "D", "x"), (1, 21, "M", "w"), (9, 22, "M", "new here?"), (8, 23, "A", "n")],
+        [(7, 24, "M", "z"), (8, 25, "M", "n2")],
+    ]
+    base = frame(spark, [(7, "old"), (6, "kept"), (5, "gone")], "id long, v string")
+    schema = "id long, ts long, op string, v string"
+    for i, rows in enumerate(batches):
+        frame(spark, rows + ([(5, 19, "D", "x")] if not i else []), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        streams.ingest(stream, f"{tmp_path}/out", f"{tmp_path}/cp", ["v"]).awaitTermination(60)
+    # In the first batch an id's last change is a change of a row that it also adds
+    first = spark.read.parquet(f"{tmp_path}/out/batch=0")
+    assert sorted((r.id, r.op, r.v) for r in first.collect()) == [(0, "M", "v16"), (1, "M", "v17"), (2, "M", "v18"), (3, "M", "v19"), (5, "D", "x")]
+    assert sorted(map(tuple, streams.ingested(base, f"{tmp_path}/out").collect())) == [(6, "kept"), (7, "z"), (8, "n2")]
 
 
 def test_windowed_stream(spark, tmp_path):
@@ -330,3 +336,55 @@ def test_routes(spark):
     modes = [(m, x, y) for m in ("local", "hub", "any", "both") for x in (True, False) for y in (True, False)]
     got = {(r.m, r.x, r.y): r.to for r in frame(spark, modes, "m string, x boolean, y boolean").withColumn("to", vector.search_route(F.col("m"), F.col("x"), F.col("y"))).collect()}
     assert got["local", False, True] == "none" and got["hub", True, True] == "hub" and got["any", True, True] == "local" and got["any", False, True] == "hub" and got["both", True, True] == "both" and got["both", False, True] == "hub"
+
+
+def test_git_source(spark, tmp_path):
+    import subprocess
+
+    from tessera.sources import git
+
+    def run(*args):
+        subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *args], cwd=tmp_path, check=True, capture_output=True)
+
+    def put(name, text):
+        (tmp_path / name).write_text(text)
+
+    run("init", "-q", "-b", "main")
+    put("a.cs", "one"), put("b.txt", "two"), put("old name.md", "a longer text that is moved as it is\n" * 5)
+    run("add", "."), run("commit", "-qm", "1"), run("checkout", "-qb", "side")
+    put("a.cs", "ONE"), put("c.json", "{}"), run("rm", "-q", "b.txt"), run("mv", "old name.md", "new.md"), run("add", "."), run("commit", "-qm", "2")
+    run("checkout", "-q", "main"), put("d.cs", "later"), run("add", "."), run("commit", "-qm", "3")
+    out = {(r.path, r.status, r.renamed_from) for r in git.changed_files(spark, str(tmp_path), "main", "side").collect()}
+    assert out == {("a.cs", "M", None), ("b.txt", "D", None), ("c.json", "A", None), ("new.md", "R", "old name.md")}
+    assert {(r.path, r.content) for r in git.files(spark, str(tmp_path), "side").filter("path LIKE '%.cs'").collect()} == {("a.cs", "ONE")}
+    assert {r.path for r in git.files(spark, str(tmp_path), "main").collect()} == {"a.cs", "b.txt", "d.cs", "old name.md"}
+
+
+def test_vector_service(spark, tmp_path):
+    import json
+
+    from tessera.sources import service
+
+    store = service.VectorService(spark, str(tmp_path / "store"))
+    ask = lambda **x: json.loads(store.answer(json.dumps(x)))
+    assert ask(command="get_status") == {"ok": True, "count": 0, "dimensions": 384}
+    assert ask(command="index_code", id="1", content="def f(): pass", metadata={"kind": "method"})["ok"]
+    assert ask(command="index_batch", items=[{"id": "2", "content": "class A"}, {"id": "1", "content": "def g(): pass"}, {"id": "3", "content": " CLASS a "}])["count"] == 3
+    assert ask(command="get_status")["count"] == 3
+    hits = ask(command="search_similar", content="class a", limit=2)["hits"]
+    assert [h["id"] for h in hits] == ["2", "3"] and all(h["similarity"] > 0.999 for h in hits)
+    assert not ask(command="nonsense")["ok"] and not json.loads(store.answer("no json"))["ok"]
+    assert ask(command="clear") == {"ok": True, "count": 0} and ask(command="get_status")["count"] == 0
+
+
+def test_maintenance(spark, tmp_path):
+    from tessera.sources import versions
+
+    root = str(tmp_path / "t")
+    versions.create(frame(spark, [(1, "a"), (2, "b")], "id long, v string"), root)
+    deltas = frame(spark, [(1, "x", "M", "main1"), (3, "c", "A", "main1"), (9, "z", "A", "gone")], "id long, v string, op string, branch string")
+    branches = frame(spark, [("main1",)], "branch string")
+    left = versions.maintained(spark, root, deltas, branches, threshold=1, keep=1)
+    assert left.count() == 0 and sorted(map(tuple, versions.current(spark, root).collect())) == [(1, "x"), (2, "b"), (3, "c")]
+    left = versions.maintained(spark, root, deltas, branches, threshold=5, keep=1)
+    assert sorted(r.id for r in left.collect()) == [1, 3] and versions.listed(spark, root).count() == 1
