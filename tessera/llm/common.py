@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,48 +13,72 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import checkpointed, shared_folder
+
 #: White space that separates words: space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Text bytes that a Python worker turns into words at a time.
 SLICE_BYTES = 3_000_000
 #: Rows that Spark hands to Python at a time; texts may be long.
-BATCH_ROWS = 1000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return own.get().rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept where the loss of an executor doesn't reach it. Spark drops the files with the last plan that reads them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+BATCH_ROWS, BATCH_BYTES = 1000, 16_000_000
+#: Parts in which tables of sums are sent and added up.
+TABLE_PARTS = 16
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in a folder of this application that goes when its driver ends."""
+    sc = spark.sparkContext
+    top = f"{shared_folder(spark)}/tessera/{sc.applicationId}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(top)
+    files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
+    """df, written as Parquet below the shared folder (or in `within`, a folder there) and read again: for wide rows of which later steps read a few columns."""
+    path = f"{within}/{name}-{uuid.uuid4().hex}" if within else stage_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df, written as Parquet below the shared folder and read again: for wide rows of which later steps read a few columns."""
-    path = stage_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what was staged at path."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows of an Arrow batch to BATCH_ROWS."""
+    """Bounds the rows and bytes of the session's Arrow batches by BATCH_ROWS and BATCH_BYTES; a row of more bytes is a batch of its own."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def table_sum(rows: DataFrame, size: int, tally: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray:
+    """The sum of the tables of `size` whole numbers (a multiple of TABLE_PARTS) that tally makes of each task's batches (none: no rows). Tables are sent in parts, which are added up as they arrive."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = tally(batches)
+        if table is not None:
+            yield pa.RecordBatch.from_pydict({"part": list(range(TABLE_PARTS)), "sums": [x.astype("<i8").tobytes() for x in np.split(table, TABLE_PARTS)]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(data, "<i8")
+        if sums:
+            yield pa.RecordBatch.from_pydict({"part": list(sums), "sums": [x.tobytes() for x in sums.values()]})
+
+    small_batches(rows.sparkSession)
+    kind = "part long, sums binary"
+    out = np.zeros((TABLE_PARTS, size // TABLE_PARTS), np.int64)
+    for part, data in rows.mapInArrow(gather, kind).repartition(TABLE_PARTS, "part").mapInArrow(add, kind).collect():
+        out[part] = np.frombuffer(data, "<i8")
+    return out.ravel()
 
 
 def give_back() -> None:
@@ -117,6 +140,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def source_key(source: Column) -> Column:
+    """A string for each source that is null for none: the null one has a key that no other source can have."""
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+
+
 def column_of(df: DataFrame, name: str, kind: str) -> Column:
     """df's column, or nulls where there is none."""
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
