@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_GAP, checkpointed, column_of
+from tessera.llm.common import WORD_GAP, checkpointed, column_of, let, source_key, staged
 
 #: A line at so many distinct sites is boilerplate.
 MIN_SITES = 10
@@ -54,13 +54,12 @@ def drop_boilerplate(docs: DataFrame, sites: int = MIN_SITES, words: int = MIN_W
     with the smallest doc_id that holds it, so a text copied to many sites is not lost. Rows that share a doc_id are cut by their own texts. Null text: stays null, no lines. Empty table: empty result.
     """
     text = column_of(docs, "text", "string")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), F.coalesce(column_of(docs, "source", "string"), F.lit("\0")).alias("site"))
-    lines = _occurrences(keyed, words)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), source_key(column_of(docs, "source", "string")).alias("site"))
+    lines = staged(_occurrences(keyed, words), "lines")
     found = checkpointed(boilerplate(lines, sites))
     hits = lines.join(found, ["h", "g"]).filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     cut = hits.groupBy(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_text")).agg(F.collect_set("at").alias("gone"))
     joined = keyed.drop("site").join(cut, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_text")), "left")
-    kept = F.array_join(F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("gone"), s["i"]))["x"], "\n")
+    places = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone"))
+    kept = let(_lines(F.col("text")), lambda x: F.array_join(F.transform(places(x), lambda i: F.get(x, i)), "\n"))
     return joined.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
-
-

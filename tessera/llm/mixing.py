@@ -14,7 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_GAP, checkpointed, column_of
+from tessera.llm.common import WORD_GAP, checkpointed, column_of, source_key
+from tessera.operators.order import running
 
 #: Tokens (words) of a block, and the blocks that a small source is cut into at least.
 BLOCK_TOKENS, LEAST_BLOCKS = 256, 64
@@ -32,18 +33,18 @@ def word_count(text: Column) -> Column:
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size, target: the weights share out share * all sizes, no source gets over most * its size, the excess is reshared.
 
-    Sources sorted by limit / weight fill up in that order, so running sums give the level at which the others stop. One narrow row a source.
+    Sources sorted by limit / weight fill up in that order, so running sums give the level at which the others stop. Sources may be as many as hosts, so no sum runs in one task.
     """
-    named, every = Window.orderBy(F.col("source").asc_nulls_last()), Window.partitionBy()
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(named) - 1, F.lit(len(weights))) + 1).cast("int")).cast("double")
-    filling = Window.orderBy((F.col("limit") / F.col("w")).asc(), F.col("source").asc_nulls_last())
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    x = sources.select("source", "source_size", w.alias("w"), (F.col("source_size") * most).alias("limit"))
-    x = x.withColumn("level", (F.sum("source_size").over(every) * share - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    x = x.withColumn("nth", F.row_number().over(filling)).withColumn("open", F.when(F.col("limit") > F.col("level") * F.col("w"), F.col("nth")))
-    first = F.min("open").over(every)
-    level = F.max(F.when(F.col("nth") == first, F.col("level"))).over(every)
-    return x.withColumn("target", F.when(first.isNull() | (F.col("nth") < first), F.col("limit")).otherwise(F.least(level * F.col("w"), F.col("limit")))).select("source", "source_size", "target")
+    by_name = F.col("source").asc_nulls_last()
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("nth"), F.lit(len(weights))) + 1).cast("int")).cast("double")
+    x = running(sources.select("source", "source_size"), [by_name], nth=F.lit(1)).withColumn("w", w).withColumn("limit", F.col("source_size") * most).drop("nth")
+    x = running(x, [(F.col("limit") / F.col("w")).asc(), by_name], nth=F.lit(1), full=F.col("limit"), passed=F.col("w"))
+    totals = x.agg(F.sum("source_size").alias("all_sizes"), F.sum("w").alias("all_w"))
+    x = x.join(F.broadcast(totals)).withColumn("level", (F.col("all_sizes") * share - F.col("full")) / (F.col("all_w") - F.col("passed")))
+    x = checkpointed(x.withColumn("open", F.when(F.col("limit") > F.col("level") * F.col("w"), F.col("nth"))))
+    stop = x.agg(F.min("open").alias("first"), F.min_by("level", "open").alias("stop"))
+    target = F.when(F.col("first").isNull() | (F.col("nth") < F.col("first")), F.col("limit")).otherwise(F.least(F.col("stop") * F.col("w"), F.col("limit")))
+    return x.join(F.broadcast(stop)).select("source", "source_size", target.alias("target"))
 
 
 def quotas(sources: DataFrame, block: int = BLOCK_TOKENS, least: int = LEAST_BLOCKS) -> DataFrame:
@@ -64,7 +65,7 @@ def golden_step(n: int) -> int:
 
 def _numbered(rows: DataFrame, cell: Column, order: list[Column], value: Column, name: str) -> DataFrame:
     """Adds to rows the sum of value over earlier rows of the same source. Cells are consecutive ranges of the order: sums of cells are added up first, so that no source is one task's."""
-    rows = rows.withColumn("cell", cell).withColumn("key", F.coalesce("source", F.lit("\0"))).withColumn("value", value)
+    rows = rows.withColumn("cell", cell).withColumn("key", source_key(F.col("source"))).withColumn("value", value)
     sums = rows.groupBy("key", "cell").agg(F.sum("value").alias("total"))
     by = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("key", "cell", F.coalesce(F.sum("total").over(by), F.lit(0)).alias("base"))
@@ -76,8 +77,8 @@ def schedule(plan: DataFrame, slots: int) -> DataFrame:
     """slot (0 to slots - 1, the order of training), source, nth (the slot's rank in its source), block."""
     if not slots:
         return plan.select(F.lit(0).cast("long").alias("slot"), "source", F.lit(0).cast("long").alias("nth"), F.lit(0).cast("long").alias("block")).limit(0)
-    back, chunk, at = pow(golden_step(slots), -1, slots) if slots > 1 else 0, max(64, math.isqrt(slots)), Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    cells = plan.withColumn("from", F.coalesce(F.sum("quota").over(at), F.lit(0))).filter("quota > 0")
+    back, chunk = pow(golden_step(slots), -1, slots) if slots > 1 else 0, max(64, math.isqrt(slots))
+    cells = running(plan.select("source", "blocks", "quota"), [F.col("source").asc_nulls_last()], **{"from": F.col("quota")}).filter("quota > 0")
     parts = cells.select("source", "blocks", "quota", "from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1, F.lit(chunk).cast("long"))).alias("part"))
     parts = parts.repartition(F.col("source"), F.col("part"))
     each = parts.select("source", "blocks", F.explode(F.sequence(F.col("from") + F.col("part"), F.col("from") + F.least(F.col("part") + chunk, F.col("quota")) - 1)).alias("point"))
@@ -90,17 +91,20 @@ def schedule(plan: DataFrame, slots: int) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, schedule, pieces). documents: row (a number of the row), doc_id, text_key (hash of its text), size, source_size, target, taken (words, repeats counted). schedule: see there. pieces: source, block, row, from, to (words of the row in the block).
 
-    The shuffle is by md5 of the doc_id (ties: doc_id, size), so reruns agree. Null text: size 0, taken 0; null source: one more source, the last. Rows that share a doc_id are taken each by itself. Empty table: empty results.
+    The shuffle is by md5 of the doc_id and the text's md5, so reruns agree: only rows alike in both could change places, and they are alike in all that is taken of them. Null text: size 0, taken 0;
+    null source: one more source, the last. Rows that share a doc_id are taken each by itself. Very long texts are cut into as many blocks as they fill. Empty table: empty results.
     """
-    sized = checkpointed(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", column_of(docs, "source", "string").alias("source"), word_count(column_of(docs, "text", "string")).alias("size"), F.xxhash64(column_of(docs, "text", "string")).alias("text_key")))
+    text = column_of(docs, "text", "string")
+    mixed = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+    sized = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", column_of(docs, "source", "string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_key"), mixed.alias("mixed"))
+    sized = checkpointed(sized)
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = checkpointed(quotas(targets(sums, weights, share, most), block))
     slots = plan.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     digits = max(1, math.ceil(math.log(max(2, sized.count()), 16) / 2))
-    shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     # md5 has no hot values, so its first digits cut a source into even cells
-    laid = _numbered(sized.drop("text_key").filter("size > 0").withColumn("mixed", shuffled), F.substring("mixed", 1, digits), [F.col("mixed"), F.col("doc_id"), F.col("size"), F.col("row")], F.col("size"), "at")
-    key = F.coalesce("source", F.lit("\0"))
+    laid = _numbered(sized.drop("text_key").filter("size > 0"), F.substring("mixed", 1, digits), [F.col("mixed"), F.col("row")], F.col("size"), "at")
+    key = source_key(F.col("source"))
     by_source = plan.select(key.alias("key"), "source_size", "target", "step")
     laid = laid.withColumn("key", key).join(by_source, "key")
     start, end, step = F.col("at"), F.col("at") + F.col("size"), F.col("step")

@@ -44,7 +44,7 @@ FROM f JOIN verdict v ON f.source IS NOT DISTINCT FROM v.source
 #: Blocks are taken in the order of their source's shuffle, so a source's taken words are whole passes and a stretch from its start.
 OP4 = rf"""
 WITH d AS (
-    SELECT row_number() OVER () AS rid, doc_id, source, len({WORDS})::BIGINT AS size FROM documents
+    SELECT row_number() OVER () AS rid, doc_id, source, len({WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS mixed FROM documents
 ), s AS (
     SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -65,7 +65,7 @@ WITH d AS (
 ), r AS (
     SELECT *, CASE WHEN source_size > 0 THEN least(2 * blocks, passes * blocks + floor((target - passes * source_size) / step + 0.5)::BIGINT) ELSE 0 END AS quota FROM q
 ), laid AS (
-    SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d
+    SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY mixed, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM d
 )
 SELECT doc_id, size, r.source_size, round(target, 3) AS target,
     CASE WHEN size = 0 THEN 0 ELSE (quota // blocks) * size + greatest(0, least(pos + size, (quota % blocks) * step) - pos) END::BIGINT AS taken
@@ -76,7 +76,7 @@ OP7 = r"""
 WITH d AS (
     SELECT row_number() OVER () AS rid, doc_id, text, source, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents
 ), l AS (
-    SELECT rid, doc_id, coalesce(source, chr(0)) AS site, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d
+    SELECT rid, doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS site, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d
 ), k AS (
     SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3 AS long_enough FROM l
 ), b AS (
