@@ -17,15 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as hash_word
 
-from tessera.llm.common import coded_words, column_of, give_back, slices, small_batches
+from tessera.llm.common import coded_words, column_of, give_back, slices, small_batches, table_sum
 from tessera.llm.toxicity import sample
 
 #: Words are hashed into a table of fixed size (2 MB of vectors); words of a bucket share a vector.
 BUCKET_BITS, DIMENSIONS, NONZERO = 14, 32, 2
 #: Neighbours on either side that count as context.
 WINDOW = 2
-#: The network is fitted to this many labelled texts at most and to no more than so many bytes of them; a share of them is for the temperature.
-SAMPLE_ROWS, SAMPLE_BYTES, HELD = 4000, 32_000_000, 0.2
+#: The network is fitted to this many labelled texts at most; a share of them is for the temperature.
+SAMPLE_ROWS, HELD = 4000, 0.2
 HIDDEN, STEPS, RATE, DECAY = 24, 400, 0.01, 1e-4
 #: Numbers that a text is pooled to.
 WIDTH = 2 * DIMENSIONS + 4
@@ -73,33 +73,19 @@ def _add_contexts(table: np.ndarray, ids: np.ndarray, ends: np.ndarray, at: np.n
 
 
 def word_vectors(rows: DataFrame) -> np.ndarray:
-    """Unit context vectors by bucket, gathered from every text of rows; a bucket without contexts has its own index vector. Tasks send tables of fixed size, added up part by part as they arrive."""
-    parts = 16
-    small_batches(rows.sparkSession)
+    """Unit context vectors by bucket, gathered from every text of rows; a bucket without contexts has its own index vector."""
+    size = (1 << BUCKET_BITS) * DIMENSIONS
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (at, sign), n = np.zeros((1 << BUCKET_BITS) * DIMENSIONS), _index_vectors(), 0
+    def gather(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        table, (at, sign), n = np.zeros(size), _index_vectors(), 0
         for batch in batches:
             for part in slices(batch):
                 _add_contexts(table, *buckets(part.column("text")), at, sign)
                 n += part.num_rows
-        if n:
-            # Whole numbers far below 2**31: a task would need 10**9 words for more
-            yield pa.RecordBatch.from_pydict({"part": list(range(parts)), "sums": [np.clip(x, -(2**31), 2**31 - 1).astype("<i4").tobytes() for x in np.split(table, parts)]})
+        return table.astype(np.int64) if n else None
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, data in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0.0) + np.frombuffer(data, "<i4").astype(np.float64)
-        if sums:
-            yield pa.RecordBatch.from_pydict({"part": list(sums), "sums": [x.astype("<f8").tobytes() for x in sums.values()]})
-
-    gathered = rows.select(column_of(rows, "text", "string").alias("text")).mapInArrow(gather, "part long, sums binary")
-    table = np.zeros((parts, (1 << BUCKET_BITS) * DIMENSIONS // parts))
-    for part, data in gathered.repartition(parts, "part").mapInArrow(add, "part long, sums binary").collect():
-        table[part] = np.frombuffer(data, "<f8")
-    return unit_vectors(table.reshape(-1, DIMENSIONS))
+    sums = table_sum(rows.select(column_of(rows, "text", "string").alias("text")), size, gather)
+    return unit_vectors(sums.astype(np.float64).reshape(-1, DIMENSIONS))
 
 
 def unit_vectors(contexts: np.ndarray) -> np.ndarray:
@@ -151,15 +137,14 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(pooled(texts, self.vectors)) / self.temperature, -40, 40)))
 
 
-def fit(vectors: np.ndarray, texts: pa.Array, y: np.ndarray) -> QualityModel:
-    """The network by Adam on most of the texts, the temperature by the likelihood of the rest. Without both labels: the share of label 1, smoothed."""
+def fit(vectors: np.ndarray, x: np.ndarray, y: np.ndarray) -> QualityModel:
+    """The network by Adam on most of the pooled texts x, the temperature by the likelihood of the rest. Without both labels: the share of label 1, smoothed."""
     rate = (y.sum() + 0.5) / (len(y) + 1)
     width = WIDTH
     rng = np.random.Generator(np.random.PCG64(11))
     layers = [rng.normal(0, width**-0.5, (width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.log(rate / (1 - rate))]
     if len(np.unique(y)) < 2:
         return QualityModel(vectors, np.zeros(width), np.ones(width), tuple(layers), 1.0)
-    x = np.concatenate([pooled(part.column("text"), vectors) for part in slices(pa.record_batch({"text": texts}), most=1_000_000)])
     held = np.arange(len(y)) < HELD * len(y)
     center, scale = x[~held].mean(axis=0), x[~held].std(axis=0) + 1e-3
     layers[2] = rng.normal(0, HIDDEN**-0.5, HIDDEN)
@@ -186,9 +171,21 @@ def fit(vectors: np.ndarray, texts: pa.Array, y: np.ndarray) -> QualityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> QualityModel:
-    """Word vectors from all documents, the network from labelled rows for which usable holds."""
+    """Word vectors from all documents, the network from labelled rows for which usable holds (see toxicity.sample). Texts are pooled where they are, whole; WIDTH numbers of each reach the driver."""
     vectors = word_vectors(docs)
-    return fit(vectors, *sample(docs, labels, "quality", usable, SAMPLE_ROWS, SAMPLE_BYTES))
+    sampled = sample(docs, labels, "quality", usable, SAMPLE_ROWS)
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, most=1_000_000):
+                x = pooled(part.column("text"), sent.value)
+                yield pa.RecordBatch.from_pydict({"nth": part.column("nth"), "y": part.column("y"), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))})
+
+    table = sampled.mapInArrow(pool, "nth long, y int, x array<double>").orderBy("nth").toArrow()
+    sent.destroy()
+    x = table["x"].combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
+    return fit(vectors, x, table["y"].to_numpy().astype(np.float64))
 
 
 def scored(docs: DataFrame, model, *carried: Column, name: str = "score") -> DataFrame:

@@ -8,52 +8,44 @@ alone, so each distinct word of a stretch of texts is scored once.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import coded_words, column_of, slices
+from tessera.llm.common import coded_words, column_of, slices, staged, table_sum
 
 GRAMS = (2, 3, 4, 5)
 FEATURE_BITS = 18
-#: The classifier is fitted to this many labelled texts at most, those whose doc_id has the smallest hash, and to no more than so many bytes of them.
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32_000_000
+#: The classifier is fitted to this many labelled texts at most, those whose doc_id has the smallest hash; they lie in so many files.
+SAMPLE_ROWS, SAMPLE_PARTS = 4000, 16
 #: Text bytes of the sample whose n-grams are in memory at a time.
 FIT_BYTES = 500_000
 #: Pseudo-count of the ratios; features that fewer sample texts have, or whose ratio is nearer to 0, are left out.
 SMOOTH, LEAST_TEXTS, LEAST_RATIO = 1.0, 4, 0.7
+#: Features that the classifier weighs at most: those of the largest ratio times the root of the texts that have them.
+MOST_FEATURES = 1 << 16
 STEPS, RATE, DECAY = 150, 0.03, 1e-3
 THRESHOLD = 0.7
 
 
-def fitting(sizes: list[int], most: int) -> list[bool]:
-    """Whether each size, in order, fits what those taken before it leave of most; one that does not is passed over."""
-    out = []
-    for n in sizes:
-        out.append(n <= most)
-        most -= n if n <= most else 0
-    return out
+def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """nth, y, text of at most `rows` labelled documents for which usable holds, in the order nth of the hash of their doc_id (ties: doc_id, hash of the text, label); null labels left out.
 
-
-def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[pa.Array, np.ndarray]:
-    """(texts, labels) of at most so many labelled rows for which usable holds, null labels left out. The chosen ids are no more than `rows`, so they are broadcast.
-
-    Texts that do not fit the bytes left are passed over, so a long one takes no other's place. Sizes are read first, so that only texts that fit reach the driver.
+    Only the number of rows is bounded: texts are kept whole, however long, and lie in the shared folder. Rows alike in doc_id, text and label count once. What reaches the driver is the ids.
     """
-    picked = labels.filter(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).distinct().orderBy(F.xxhash64("doc_id"), "y").limit(rows)
-    found = docs.select("doc_id", column_of(docs, "text", "string").alias("text")).join(F.broadcast(picked), "doc_id").withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("bytes"), F.col("y")]
-    # At most `rows` rows, or a few more where rows repeat
-    sizes = found.select("doc_id", "bytes", "y").orderBy(*order).limit(rows).collect()
-    taken = Counter((r.doc_id, r.bytes, r.y) for r, fits in zip(sizes, fitting([r.bytes for r in sizes], size), strict=True) if fits)
-    chosen = docs.sparkSession.createDataFrame([(*k, n) for k, n in taken.items()], found.select("doc_id", "bytes", "y", F.lit(0).cast("long").alias("most")).schema)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "bytes", "y").orderBy("text"))
-    table = found.join(F.broadcast(chosen), ["doc_id", "bytes", "y"]).withColumn("nth", nth).filter("nth <= most").orderBy(*order, "text").select("text", "y").toArrow()
-    return table["text"].combine_chunks(), table["y"].to_numpy().astype(np.float64)
+    spark = docs.sparkSession
+    usable_rows = labels.filter(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    picked = usable_rows.select("doc_id", F.col(label).cast("int").alias("y")).distinct().orderBy(F.xxhash64("doc_id"), "y").limit(rows)
+    picked = spark.createDataFrame(picked.collect(), picked.schema)
+    text = column_of(docs, "text", "string")
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    keys = found.select("doc_id", "h", "y").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "h", "y").limit(rows)
+    chosen = spark.createDataFrame([(*k, n) for n, k in enumerate(keys.collect())], f"doc_id {dict(docs.dtypes)['doc_id']}, h long, y int, nth long")
+    one = found.join(F.broadcast(chosen), ["doc_id", "h", "y"]).select("nth", "y", "text").dropDuplicates(["nth"])
+    return staged(one.repartition(SAMPLE_PARTS, "nth"), "sample")
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,24 +111,26 @@ def _cells(texts: pa.Array, keep: np.ndarray | None = None) -> Iterator[tuple[np
         first += part.num_rows
 
 
-def fit(texts: pa.Array, y: np.ndarray) -> ToxicityModel:
-    """Log-count ratios of the texts' features, then logistic regression on the scaled counts by gradient steps with weight decay. Without both labels: the share of label 1, smoothed."""
-    rate = (y.sum() + 0.5) / (len(y) + 1)
-    prior = ToxicityModel(np.zeros(1 << FEATURE_BITS), np.log(rate / (1 - rate)))
-    if len(np.unique(y)) < 2:
-        return prior
-    size = 1 << FEATURE_BITS
-    texts_with, toxic = np.zeros(size), np.full(size, SMOOTH)
-    for rows, cols, _ in _cells(texts):
-        texts_with += np.bincount(cols, minlength=size)
-        toxic += np.bincount(cols, weights=y[rows], minlength=size)
-    clean = texts_with - toxic + 2 * SMOOTH
+def ratios(texts_with: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Log-count ratio of each feature, of how many texts and how many toxic ones have it; 0 for those that are left out."""
+    toxic, clean = toxic + SMOOTH, texts_with - toxic + SMOOTH
     r = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
     r[(texts_with < LEAST_TEXTS) | (np.abs(r) < LEAST_RATIO)] = 0
-    rows, cols, counts = (np.concatenate(x) for x in zip(*_cells(texts, r != 0), strict=True))
+    if np.count_nonzero(r) > MOST_FEATURES:
+        r[np.argsort(-np.abs(r) * np.sqrt(texts_with), kind="stable")[MOST_FEATURES:]] = 0
+    return r
+
+
+def descend(rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, y: np.ndarray, r: np.ndarray) -> ToxicityModel:
+    """Logistic regression on counts (of features cols in texts rows) scaled by r, by gradient steps with weight decay. Without both labels: the share of label 1, smoothed."""
+    rate = (y.sum() + 0.5) / (len(y) + 1)
+    bias = np.log(rate / (1 - rate))
+    full = np.zeros(1 << FEATURE_BITS)
+    if len(np.unique(y)) < 2:
+        return ToxicityModel(full, bias)
     used, cols = np.unique(cols, return_inverse=True)
     x = (counts * r[used][cols]).astype(np.float32)
-    w, b = np.zeros(len(used)), prior.bias
+    w, b = np.zeros(len(used)), bias
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, STEPS + 1):
         z = b + np.bincount(rows, weights=x * w[cols], minlength=len(y))
@@ -146,6 +140,49 @@ def fit(texts: pa.Array, y: np.ndarray) -> ToxicityModel:
         lr = RATE / np.sqrt(1 + step / 50)
         w -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         b -= lr * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-6)
-    full = np.zeros(size)
     full[used] = w * r[used]
     return ToxicityModel(full, b)
+
+
+def fit(texts: pa.Array, y: np.ndarray) -> ToxicityModel:
+    """The model of texts that are here. No text, or all of one label: the share of label 1, smoothed."""
+    size = 1 << FEATURE_BITS
+    texts_with, toxic = np.zeros(size), np.zeros(size)
+    for rows, cols, _ in _cells(texts):
+        texts_with += np.bincount(cols, minlength=size)
+        toxic += np.bincount(cols, weights=y[rows], minlength=size)
+    r = ratios(texts_with, toxic)
+    cells = list(_cells(texts, r != 0))
+    return descend(*(np.concatenate(x) for x in zip(*cells, strict=True)), y, r) if cells else descend(*(np.zeros(0, np.int32),) * 3, y, r)
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
+    """fit() on the sample, whose texts stay where they are: tables of fixed size are summed up for the ratios, then the counts of the features that are left reach the driver."""
+    sampled, size = sample(docs, labels, "toxic", usable), 1 << FEATURE_BITS
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        tables = np.zeros((2, size))
+        for batch in batches:
+            y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
+            for rows, cols, _ in _cells(batch.column("text")):
+                tables[0] += np.bincount(cols, minlength=size)
+                tables[1] += np.bincount(cols, weights=y[rows], minlength=size)
+        return tables.ravel().astype(np.int64)
+
+    texts_with, toxic = table_sum(sampled, 2 * size, tally).reshape(2, size).astype(np.float64)
+    r = ratios(texts_with, toxic)
+    keep = docs.sparkSession.sparkContext.broadcast(r != 0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, most=FIT_BYTES):
+                for rows, cols, counts in _cells(part.column("text"), keep.value):
+                    ends = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
+                    lists = {n: pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for n, x in (("cols", cols), ("counts", counts))}
+                    yield pa.RecordBatch.from_pydict({"nth": part.column("nth"), "y": part.column("y")} | lists)
+
+    table = sampled.mapInArrow(count, "nth long, y int, cols array<int>, counts array<int>").orderBy("nth").toArrow()
+    keep.destroy()
+    cols, y = table["cols"].combine_chunks(), table["y"].to_numpy().astype(np.float64)
+    rows = np.repeat(np.arange(len(y)), np.diff(cols.offsets.to_numpy()))
+    return descend(rows, cols.flatten().to_numpy(), table["counts"].combine_chunks().flatten().to_numpy(), y, r)
