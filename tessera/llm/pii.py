@@ -1,14 +1,17 @@
 """Personal data: fixed rules, and candidates that boosted trees accept.
 
 Generators propose spans in looser formats than the rules know (addresses with
-the at sign spelled out, masked dots, other separators, no country code); they
-overlap each other and much that is harmless. Trees score a candidate by its
-format and by what stands around it. They are fitted to formats that are
-written out at random, wanted and harmless ones, within texts of the corpus.
+the at sign spelled out, masked dots, other separators, no country code) and
+spans of a kind without rules (secrets: keys, tokens, passwords); they overlap
+each other and much that is harmless. Trees score a candidate by its format and
+by what stands around it. They are fitted to formats that are written out at
+random, wanted and harmless ones, within texts of the corpus.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -20,7 +23,9 @@ from pyspark.sql import functions as F
 from tessera.llm import boosting
 from tessera.llm.common import column_of, slices, small_batches
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds that the fixed rules know, then one that only the trees do.
+RULE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*RULE_KINDS, "secret")
 EMAIL_TAIL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_HEAD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A start amid digits can only follow a failure at their first one, which has the same rest
@@ -35,13 +40,17 @@ EMAIL_AT = re.compile(r"@|[\[({]\s?at\s?[\])}]|\sat\s(?=\S+\s?(?:[\[({]|\sdot\s|
 LOOSE_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?[0-9]{1,3}){3}(?![0-9])", re.I)
 LOOSE_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20./_-]{0,2}[0-9]){12,18}(?![0-9])")
 LOOSE_PHONE = re.compile(r"(?<![0-9+])(?:\+|00)?\(?[0-9](?:[\x20()./-]{0,3}[0-9]){6,14}(?![0-9])")
+LOOSE_SECRET = re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{16,}")
+#: Code points before and behind an at sign within which LOOSE_EMAIL begins and ends: the most that its parts can have.
+BEFORE_AT, BEHIND_AT = 290, 370
 HINTS = {
     "email": re.compile(r"mail|contact|write|reach|kontakt|correo|courriel", re.I),
     "ip": re.compile(r"\bip\b|host|server|address|addr", re.I),
     "card": re.compile(r"card|visa|karte|tarjeta|carte|credit|pay", re.I),
     "phone": re.compile(r"phone|tel|call|mobile|fax|ring|anruf|llam|appel", re.I),
+    "secret": re.compile(r"token|secret|passw|pwd|credential|bearer|auth|key", re.I),
 }
-HARMLESS = re.compile(r"version|\bv$|order|invoice|isbn|part|serial|total|date|\bid\b|page|price|[$€£]\s?$|token|key", re.I)
+HARMLESS = re.compile(r"version|\bv$|order|invoice|isbn|part|serial|total|date|\bid\b|page|price|[$€£]\s?$|commit|sha|md5|checksum|hash|file|path|url", re.I)
 #: Words before a spelled-out at that tell of a place, not of a mailbox.
 PLACES = ("look", "looking", "more", "us", "only", "available", "online", "visit", "found", "hosted", "see", "it", "is", "was", "are", "here", "them", "out", "live", "site", "website", "page", "blog", "store", "read", "learn", "work", "works", "working", "based")
 AT_PLACE = re.compile(rf"(?:{'|'.join(PLACES)})\sat\s", re.I)
@@ -49,8 +58,8 @@ AT_PLACE = re.compile(rf"(?:{'|'.join(PLACES)})\sat\s", re.I)
 AROUND = 24
 #: Share of accepted candidates that must be right on texts that were not fitted to.
 PRECISION = 0.98
-#: Texts that formats are written into, and formats for each kind, wanted and harmless.
-SAMPLE_ROWS, FORMATS, HELD = 400, 500, 0.3
+#: Texts that formats are written into, stretches of each (anywhere in the whole text) and their code points; formats for each kind, wanted and harmless; share of them for the thresholds.
+SAMPLE_ROWS, STRETCHES, STRETCH, FORMATS, HELD = 400, 4, 80, 500, 0.3
 
 
 def luhn(digits: str) -> bool:
@@ -94,12 +103,13 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that may be personal data; they overlap."""
     out = []
     for m in EMAIL_AT.finditer(text):
-        a, b = max(0, m.start() - 90), min(len(text), m.end() + 130)
+        a, b = max(0, m.start() - BEFORE_AT), min(len(text), m.end() + BEHIND_AT)
         out.extend(("email", a + x.start(), a + x.end()) for x in LOOSE_EMAIL.finditer(text[a:b]) if a + x.start() < m.end() and a + x.end() > m.start())
     if "[" in text or "(" in text or "{" in text:
         out.extend(("ip", *m.span()) for m in LOOSE_IP.finditer(text))
     out.extend(("card", *m.span()) for m in LOOSE_CARD.finditer(text))
     out.extend(("phone", *m.span()) for m in LOOSE_PHONE.finditer(text))
+    out.extend(("secret", *m.span()) for m in LOOSE_SECRET.finditer(text) if any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0])))
     return sorted(set(out), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -116,7 +126,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         " at " in s.lower(), " dot " in s.lower(), len(last[0]), last[0].islower(), luhn(digits) if digits else -1, all(int(g[:9]) <= 255 for g in groups) if groups else -1,
         bool(re.fullmatch(r"(?:19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]{1,2}.*|[0-9]{1,2}[-./ ][0-9]{1,2}[-./ ](?:19|20)[0-9]{2}.*", s)),
         [len(g) for g in groups] in ([4, 4, 4, 4], [4, 6, 5]), [len(g) for g in groups][-2:] in ([3, 4], [2, 2], [4, 4]), len(set(digits)),
-        bool(HINTS[kind].search(before)), bool(HARMLESS.search(before)), char(before[-1:]), char(after[:1]), after[:1] in ".," and char(after[1:2]) == 1, bool(AT_PLACE.match(s)),
+        bool(HINTS[kind].search(before)), bool(HARMLESS.search(before)), before[-1:] in "\"'=:" and before != "", len(set(s)) / (end - start), sum(map(str.isupper, s)), "_" in s, bool(re.fullmatch(r"[0-9a-fA-F-]+", s)), char(before[-1:]), char(after[:1]), after[:1] in ".," and char(after[1:2]) == 1, bool(AT_PLACE.match(s)),
     ]
 
 
@@ -129,34 +139,23 @@ class PiiModel:
     def spans(self, text: str) -> list[tuple[str, int, int, bool, float]]:
         """(kind, start, end, whether a rule found it, probability): the rules' spans, and accepted candidates that overlap none of them nor a likelier one."""
         found = [(*s, True, 1.0) for s in rule_spans(text)]
-        loose = candidates(text)
-        taken = [(a, b) for _, a, b, *_ in found]
-        loose = [c for c in loose if all(c[2] <= a or b <= c[1] for a, b in _near(taken, c))]
+        starts = [a for _, a, *_ in found]
+        reach = list(itertools.accumulate((b for _, _, b, *_ in found), max))
+        free = lambda c: not (at := bisect.bisect_left(starts, c[2])) or reach[at - 1] <= c[1]
+        loose = [c for c in candidates(text) if free(c)]
         if loose:
             p = self.trees.probabilities(np.array([features(text, *c) for c in loose], float))
             kept: list[tuple[int, int]] = []
             for i in sorted(range(len(loose)), key=lambda i: (-p[i], loose[i][1], loose[i][1] - loose[i][2])):
                 kind, a, b = loose[i]
-                if p[i] >= self.thresholds[kind] and all(b <= x or y <= a for x, y in _near(kept, loose[i])):
+                # Those kept do not overlap, so only the last that begins before b can reach a
+                at = bisect.bisect_left(kept, (b, 0))
+                if p[i] >= self.thresholds[kind] and not (at and kept[at - 1][1] > a):
                     found.append((kind, a, b, False, float(p[i])))
-                    _insert(kept, (a, b))
+                    kept.insert(at, (a, b))
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _insert(spans: list[tuple[int, int]], s: tuple[int, int]) -> None:
-    import bisect
-
-    bisect.insort(spans, s)
-
-
-def _near(spans: list[tuple[int, int]], c: tuple) -> list[tuple[int, int]]:
-    """Of spans sorted by start, those that may overlap c; rules' spans of different kinds may lie within each other, so some before are looked at too."""
-    import bisect
-
-    at = bisect.bisect_left(spans, (c[2], 0))
-    return spans[max(0, at - 64) : at]
-
-
 def _written(rng: np.random.Generator, kind: str, wanted: bool) -> str:
     """A format of this kind, or a harmless one that its generator proposes."""
     n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
@@ -179,6 +178,12 @@ def _written(rng: np.random.Generator, kind: str, wanted: bool) -> str:
             body += next(str(d) for d in range(10) if luhn(body + str(d)))
         sep = pick(".", "/", "_", " - ", "  ", "-", " ")
         return pick(sep.join(body[i : i + 4] for i in range(0, len(body), 4)), body if not wanted else sep.join(body[i : i + 4] for i in range(0, len(body), 4)))
+    if kind == "secret":
+        run = lambda letters, k: "".join(letters[i] for i in rng.integers(0, len(letters), k))
+        hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+        if wanted:
+            return pick(run(hexes, 40), run(hexes, 32), run(mixed, 40), run(mixed, 24), f"sk-{run(mixed, 32)}", f"AKIA{run(mixed[:26] + mixed[52:], 16)}", f"ghp_{run(mixed, 36)}")
+        return pick(run(hexes, 40), run(hexes, 8) + "-" + "-".join(run(hexes, 4) for _ in range(3)) + "-" + run(hexes, 12), f"{word()}-{word()}-{word()}-{n(2)}", f"{word()}/{word()}/{word()}_{n(3)}", f"{word()}{word()}{word()}{n(1)}", f"{word()}_{n(4)}_{n(2)}_{n(2)}_{word()}")
     if wanted:
         return pick(f"({n(3)}) {n(3)}-{n(4)}", f"00{rng.integers(10, 99)} {n(3)} {n(7)}", f"{n(3)}-{n(3)}-{n(4)}", f"0{n(3)}/{n(7)}", f"{n(3)}.{n(3)}.{n(4)}")
     return pick(f"20{n(2)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", n(8), n(10), f"{n(2)}.{n(1)}.{n(4)}.{n(2)}", f"{n(3)} {n(2)} {n(1)} {n(3)}", f"{n(16)}", f"{n(4)}-{n(6)}", f"{rng.integers(10, 29)}.{rng.integers(10, 13)}.20{n(2)}", n(12))
@@ -187,7 +192,7 @@ def _written(rng: np.random.Generator, kind: str, wanted: bool) -> str:
 def train(texts: list[str], seed: int = 5) -> PiiModel:
     """Trees on formats written into stretches of texts, thresholds for PRECISION on those that were held out. Texts may be few or empty."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    hints = {"email": ("mail:", "contact", ""), "ip": ("server", "ip", "host", ""), "card": ("card", "visa:", ""), "phone": ("call", "tel.", "phone:", "")}
+    hints = {"email": ("mail:", "contact", ""), "ip": ("server", "ip", "host", ""), "card": ("card", "visa:", ""), "phone": ("call", "tel.", "phone:", ""), "secret": ('token = "', "api_key: ", "password=", "secret:", "Authorization: Bearer", 'key="')}
     plain = [t for t in texts if t] or ["and the of in to"]
     x, y, kinds = [], [], []
     for kind in KINDS:
@@ -195,10 +200,12 @@ def train(texts: list[str], seed: int = 5) -> PiiModel:
             wanted = i % 2 == 0
             text = plain[rng.integers(len(plain))]
             at = int(rng.integers(0, len(text) + 1))
-            hint = hints[kind][rng.integers(len(hints[kind]))] if wanted or rng.random() < 0.1 else ("order", "version", "id", "part no.", "", "", "", "date")[rng.integers(8)]
+            hint = hints[kind][rng.integers(len(hints[kind]))] if wanted or rng.random() < 0.1 else ("order", "version", "id", "part no.", "", "", "", "date", "commit", "sha1:", "file", "url")[rng.integers(12)]
             s = _written(rng, kind, wanted)
-            head = f"{text[max(0, at - 40) : at]} {hint} " if hint else f"{text[max(0, at - 40) : at]} "
-            whole = f"{head}{s}{('.', '', ',', ' ')[rng.integers(4)]} {text[at : at + 40]}"
+            glue = "" if hint[-1:] in ('"', "=") else " "
+            head = f"{text[max(0, at - 40) : at]} {hint}{glue}" if hint else f"{text[max(0, at - 40) : at]} "
+            mark = '"' if hint.endswith('"') else (".", "", ",", " ")[rng.integers(4)]
+            whole = f"{head}{s}{mark} {text[at : at + 40]}"
             span = (len(head), len(head) + len(s))
             for c in candidates(whole):
                 over = c[1] < span[1] and span[0] < c[2]
@@ -220,20 +227,25 @@ def train(texts: list[str], seed: int = 5) -> PiiModel:
 
 
 def train_on(docs: DataFrame, rows: int = SAMPLE_ROWS) -> PiiModel:
-    """train() on so many texts of docs at most, those whose doc_id has the smallest hash; of each, two stretches of 2,000 code points are enough to write formats into."""
+    """train() on stretches from anywhere in so many texts of docs at most, those whose doc_id has the smallest hash; formats are written into them. A doc_id that repeats gives no more stretches."""
     # Ids first: a task would send its own `rows` texts to the driver otherwise
-    picked = docs.filter(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
-    text = column_of(docs, "text", "string")
-    ends = docs.select("doc_id", F.substring(text, 1, 2000).alias("head"), F.substring(text, -2000, 2000).alias("tail")).join(F.broadcast(picked), "doc_id")
-    found = ends.orderBy(F.xxhash64("doc_id"), "head", "tail").limit(rows).collect()
-    return train([t for r in found for t in (r.head, r.tail)])
+    picked = docs.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    text = F.coalesce(column_of(docs, "text", "string"), F.lit(""))
+    place = F.pmod(F.xxhash64("doc_id", "nth"), F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1).cast("int") + 1
+    chosen = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").withColumn("nth", F.explode(F.sequence(F.lit(1), F.lit(STRETCHES))))
+    found = chosen.select("doc_id", "nth", F.substring("text", place, F.lit(STRETCH)).alias("stretch")).groupBy("doc_id", "nth").agg(F.min("stretch").alias("stretch"))
+    return train([r.stretch for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", "nth").collect()])
 
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,by_rule:boolean,probability:double>>"
 
 
 def find_pii(docs: DataFrame, model: PiiModel) -> DataFrame:
-    """doc_id and spans (kind, start, end in code points, end exclusive; by_rule; probability), by start, then kind: one row for each row of docs. Null text: no spans. Whole texts are read."""
+    """doc_id and spans (kind, start, end in code points, end exclusive; by_rule; probability), by start, then kind (as in KINDS): one row for each row of docs, rows that repeat too.
+
+    Null and empty texts have no spans; texts are read whole, however long. Of candidates that overlap the likeliest stays (ties: the first, then the longest). Columns besides doc_id and text are not
+    read, whatever their names. Empty table: empty result.
+    """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     fields = ("kind", "start", "end", "by_rule", "probability")

@@ -37,10 +37,10 @@ def crc_mod(n: int) -> Column:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per row of documents: held_out, score, predicted. A null doc_id is not held out."""
     from tessera.llm.quality_model import scored
-    from tessera.llm.toxicity import THRESHOLD, fit, sample
+    from tessera.llm.toxicity import THRESHOLD, train
 
     docs = _table(spark, sf_dir, "documents")
-    model = fit(*sample(docs, _table(spark, sf_dir, "labels"), "toxic", crc_mod(3) != 1))
+    model = train(docs, _table(spark, sf_dir, "labels"), crc_mod(3) != 1)
     out = scored(docs, model, F.col("doc_id"))
     return out.select("doc_id", F.coalesce(crc_mod(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -70,15 +70,15 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per row of documents: spans by the rules counted by kind, their digest, and all spans."""
-    from tessera.llm.pii import KINDS, find_pii, train_on
+    """A row per row of documents: spans by the rules counted by kind, their digest, all spans and their number."""
+    from tessera.llm.pii import RULE_KINDS, find_pii, train_on
 
     docs = _table(spark, sf_dir, "documents")
     by_rule = F.filter("spans", lambda s: s["by_rule"])
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["by_rule"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
-    counts = [count(k) for k in KINDS]
-    return find_pii(docs, train_on(docs)).select("doc_id", *counts, F.sha2(listed(by_rule), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    counts = [count(k) for k in RULE_KINDS]
+    return find_pii(docs, train_on(docs)).select("doc_id", *counts, F.sha2(listed(by_rule), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
