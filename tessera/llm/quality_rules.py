@@ -23,19 +23,23 @@ SYMBOLS = "[#*$%&|<>]"
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words in 3-word windows that occur twice or more: windows are sorted, equal neighbours marked, their spans united."""
-    windows = F.when(
-        F.size(words) >= 3,
-        F.array_sort(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.get(words, i).alias("a"), F.get(words, i + 1).alias("b"), F.get(words, i + 2).alias("c"), i.alias("at")))),
-    )
+    """Words in 3-word windows that occur twice or more: windows are sorted by hash, equal neighbours marked, their spans united. Words are compared only where hashes meet."""
+    hashed = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    windows = F.when(F.size(words) >= 3, F.array_sort(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(hashed(i).alias("h"), i.alias("at")))))
 
     def repeated(s: Column) -> Column:
         def same(x: Column, y: Column) -> Column:
-            return (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
-
-        marked = F.transform(s, lambda x, i: F.when(F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)), x["at"]))
-        spans = F.array_sort(F.filter(marked, lambda x: x.isNotNull()))
-        united = F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda acc, x: F.struct((acc["n"] + x + 3 - F.greatest(x, acc["end"])).alias("n"), (x + 3).alias("end")))
+            alike = x["h"] == y["h"]
+            for k in range(3):
+                alike = alike & (F.get(words, x["at"] + k) == F.get(words, y["at"] + k))
+            return F.coalesce(alike, F.lit(False))
+
+        marked = F.filter(F.transform(s, lambda x, i: F.when(same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)), x["at"])), lambda x: x.isNotNull())
+        united = F.aggregate(
+            F.sort_array(marked),
+            F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+            lambda acc, x: F.struct((acc["n"] + x + 3 - F.greatest(x, acc["end"])).alias("n"), (x + 3).alias("end")),
+        )
         return united["n"]
 
     return F.coalesce(let(windows, repeated), F.lit(0))
@@ -91,7 +95,8 @@ def host_verdicts(metrics: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 def quality_rules(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """The metrics of each row of docs with host_rate and kept: neither it nor its host failed.
 
-    The measured rows (no texts) are kept in the shared folder, as hosts and documents both read them. An empty table gives an empty result.
+    The measured rows (no texts) are kept in the shared folder, as hosts and documents both read them. Texts are measured whole, however long; a null or empty one has no words, so it fails. Rows that
+    repeat are rows each, also in their host's counts. A rate just at the limit keeps the host. An empty table gives an empty result.
     """
     metrics = checkpointed(document_metrics(docs))
     hosts = host_verdicts(metrics, limit).withColumnRenamed("host", "of_host")

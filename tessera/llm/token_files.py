@@ -202,9 +202,10 @@ SHARDS = "shard long, n_docs long, n_ids long, payload binary"
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> str:
-    """Writes the ids of all documents, each with end_id, in ascending doc_id order (null first; ties by text); returns the path.
+    """Writes the ids of all documents, each with end_id, in ascending doc_id order (null first; ties by the text's hash); returns the path.
 
-    Shards are rows of a Parquet table, so they go wherever Spark writes: shard (ascending with the doc_ids), n_docs, n_ids, payload. Null text: the end id alone.
+    Shards are rows of a Parquet table, so they go wherever Spark writes: shard (ascending with the doc_ids), n_docs, n_ids, payload. Null text: the end id alone. Rows that share a doc_id, or have
+    none, are documents each, and so are rows that repeat: ranges of the order are cut within them too. A very long text is one document of one shard.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +231,11 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
 
     small_batches(docs.sparkSession)
     path = path or stage_path(docs.sparkSession, "shards")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), column_of(docs, "text", "string").alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, SHARDS).write.option("compression", "zstd").parquet(path)
+    text = column_of(docs, "text", "string")
+    # The row's number only cuts runs of rows alike in the rest, whose order does not matter
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.monotonically_increasing_id().alias("row"))
+    order = ["doc_id", "h", "row"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(encode, SHARDS).write.option("compression", "zstd").parquet(path)
     return path
 
 
