@@ -50,8 +50,10 @@ def backtrace(edges: DataFrame, method: str, start: str | None = None, most_dept
         done = finished if done is None else done.unionByName(finished)
         paths = next_.filter(~F.col("stop") & F.col("caller").isNotNull()).select(F.concat(F.array("caller"), "path").alias("path"), (F.col("depth") + 1).alias("depth")).distinct()
         if depth < most_depth:
-            found += finished.filter("reached").limit(most_paths).count()
-            if found >= most_paths or paths.limit(1).count() == 0:
+            # One job tells how many have arrived and whether any goes on
+            seen = ended.agg(F.count_if(F.col("at_start") | (F.col("n") == 0)).alias("reached"), F.bool_or(~F.col("at_start") & (F.col("n") > 0)).alias("more")).first()
+            found += seen.reached
+            if found >= most_paths or not seen.more:
                 break
     return done.withColumn("confidence", path_confidence(F.col("depth"), F.col("reached"))).orderBy(F.desc("confidence"), F.array_join("path", ">")).limit(most_paths)
 
@@ -162,7 +164,8 @@ def forward_paths(edges: DataFrame, entry: str, most_paths: int = 100, most_dept
 
 
 def feasible(paths: DataFrame, id_col: str = "id", conditions: str = "conditions") -> DataFrame:
-    """id, feasible, unknown of paths with conditions (array): whether comparisons of names with numbers (x > 5, x <= 7, x == 1, x != 2) can all hold at once; unknown counts those of other forms, which bind nothing.
+    """id, feasible, unknown of paths with conditions (array): whether comparisons of names with numbers (x > 5, x <= 7, x == 1, x != 2) can all hold at once;
+unknown counts those of other forms, which bind nothing.
 
     Each name's comparisons leave an interval without some points; a path can be taken if no name's is empty. All comparisons of a path and a name meet in one aggregate.
     """

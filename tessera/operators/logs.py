@@ -41,7 +41,10 @@ def parsed_plain(lines: DataFrame) -> DataFrame:
     g = lambda i: F.regexp_extract("line", PLAIN, i)
     rows = lines.filter(F.col("line").rlike(PLAIN))
     trace = F.when(g(3).rlike(r"(?i)exception|error|stack\s*trace"), g(3))
-    return _row(rows, line_number=F.col("line_number"), ts=F.try_to_timestamp(F.regexp_replace(g(1), r"\s+", " "), F.lit("yyyy-MM-dd HH:mm:ss")), level=log_level(g(2)), message=g(3), stack_trace=trace, raw_line=F.col("line"))
+    return _row(
+        rows, line_number=F.col("line_number"), ts=F.try_to_timestamp(F.regexp_replace(g(1), r"\s+", " "), F.lit("yyyy-MM-dd HH:mm:ss")), level=log_level(g(2)),
+        message=g(3), stack_trace=trace, raw_line=F.col("line")
+    )
 
 
 def parsed_logcat(lines: DataFrame, year: int) -> DataFrame:
@@ -67,18 +70,35 @@ def parsed_ecs(lines: DataFrame) -> DataFrame:
     get = lambda name: F.get_json_object("line", f"$['{name}']")
     fields = F.from_json("line", "map<string,string>")
     own = F.map_filter(fields, lambda k, v: ~(k.startswith("@") | k.startswith("log.") | k.startswith("error.") | k.startswith("http.") | k.startswith("url.") | k.isin("message", "service")))
-    base = _row(rows.withColumn("__own", own), line_number=F.col("line_number"), ts=F.try_to_timestamp(F.substring(F.translate(get("@timestamp"), "T", " "), 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")), level=log_level(get("log.level")), message=get("message"), source=get("service"), stack_trace=get("error.stack_trace"), url=get("url.full"), path=get("url.path"), status_code=F.try_to_number(get("http.response.status_code"), F.lit("999")), raw_line=F.col("line"))
-    return base.withColumn("additional_fields", F.map_filter(F.from_json("raw_line", "map<string,string>"), lambda k, v: ~(k.startswith("@") | k.startswith("log.") | k.startswith("error.") | k.startswith("http.") | k.startswith("url.") | k.isin("message", "service"))))
+    base = _row(
+        rows.withColumn("__own", own), line_number=F.col("line_number"),
+        ts=F.try_to_timestamp(F.substring(F.translate(get("@timestamp"), "T", " "), 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")), level=log_level(get("log.level")),
+        message=get("message"), source=get("service"), stack_trace=get("error.stack_trace"), url=get("url.full"), path=get("url.path"),
+        status_code=F.try_to_number(get("http.response.status_code"), F.lit("999")), raw_line=F.col("line")
+    )
+    return base.withColumn(
+        "additional_fields",
+        F.map_filter(
+            F.from_json("raw_line", "map<string,string>"), lambda k,
+            v: ~(k.startswith("@") | k.startswith("log.") | k.startswith("error.") | k.startswith("http.") | k.startswith("url.") | k.isin("message", "service"))
+        )
+    )
 
 
 def parsed_xml(lines: DataFrame) -> DataFrame:
     """Entries of one-line <log> or <entry> elements with attributes or children level, timestamp, message."""
     rows = lines.filter(F.col("line").rlike(r"^\s*<(log|entry)\b.*>\s*$"))
     get = lambda n: F.nullif(F.coalesce(F.nullif(F.regexp_extract("line", rf'\b{n}="([^"]*)"', 1), F.lit("")), F.regexp_extract("line", rf"<{n}>(.*?)</{n}>", 1)), F.lit(""))
-    return _row(rows, line_number=F.col("line_number"), ts=F.try_to_timestamp(F.substring(F.translate(get("timestamp"), "T", " "), 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")), level=log_level(get("level")), message=get("message"), raw_line=F.col("line"))
+    return _row(
+        rows, line_number=F.col("line_number"), ts=F.try_to_timestamp(F.substring(F.translate(get("timestamp"), "T", " "), 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")),
+        level=log_level(get("level")), message=get("message"), raw_line=F.col("line")
+    )
 
 
-def filtered(entries: DataFrame, keywords: list[str] | None = None, levels: list[str] | None = None, statuses: list[int] | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+def filtered(
+    entries: DataFrame, keywords: list[str] | None = None, levels: list[str] | None = None, statuses: list[int] | None = None, since: str | None = None,
+    until: str | None = None
+) -> DataFrame:
     """Entries with any keyword in message or stack trace (any case); level, status and time hold where the entry has none."""
     out = entries
     if keywords:

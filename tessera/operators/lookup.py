@@ -87,7 +87,10 @@ def content_search(docs: DataFrame, pattern: str, id_col: str = "doc_id", text:
     line = F.trim(F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(rx))[0])
     n = F.regexp_count(F.col(text), F.lit(rx))
     score = F.least(F.lit(1.0), n / F.greatest(F.floor(F.length(text) / 100), F.lit(1)))
-    return hits.select(id_col, n.cast("long").alias("hits"), F.when(F.length(line) > 100, F.concat(F.substring(line, 1, 100), F.lit("..."))).otherwise(line).alias("first_line"), score.alias("relevance"))
+    return hits.select(
+        id_col, n.cast("long").alias("hits"), F.when(F.length(line) > 100, F.concat(F.substring(line, 1, 100), F.lit("..."))).otherwise(line).alias("first_line"),
+        score.alias("relevance")
+    )
 
 
 def definition_search(units: DataFrame, pattern: str, limit: int = 20) -> DataFrame:

@@ -37,7 +37,10 @@ def fast_match(base: DataFrame, target: DataFrame) -> DataFrame:
         side = target.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"__k_{key}")).agg(F.min("id").alias(f"__t_{key}"))
         out = out.join(side, F.col(key) == F.col(f"__k_{key}"), "left")
     hit = lambda values: F.coalesce(*[F.when(F.col(f"__t_{k}").isNotNull(), v) for k, v in values])
-    return out.select(F.col("id").alias("base_id"), F.coalesce(*[F.col(f"__t_{k}") for k, _ in CASCADE]).alias("target_id"), hit([(k, F.lit(k)) for k, _ in CASCADE]).alias("match_type"), hit([(k, F.lit(c)) for k, c in CASCADE]).alias("confidence"))
+    return out.select(
+        F.col("id").alias("base_id"), F.coalesce(*[F.col(f"__t_{k}") for k, _ in CASCADE]).alias("target_id"),
+        hit([(k, F.lit(k)) for k, _ in CASCADE]).alias("match_type"), hit([(k, F.lit(c)) for k, c in CASCADE]).alias("confidence")
+    )
 
 
 def unmatched(base: DataFrame, matches: DataFrame) -> DataFrame:
@@ -60,13 +63,17 @@ def semantic_match(base: DataFrame, target: DataFrame, floor: float = 0.60, k: i
     raw = F.col("similarity") + F.when(F.col("left_type") == F.col("right_type"), 0.05).otherwise(0.0) + 0.1 * name_similarity(F.col("left_name"), F.col("right_name")) - F.when(ratio < 0.5, 0.1).otherwise(0.0)
     scored = x.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))
     best = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))
-    return scored.withColumn("n", best).filter((F.col("n") == 1) & (F.col("score") >= floor)).select(F.col("left_id").alias("base_id"), F.col("right_id").alias("target_id"), "score", match_confidence(F.col("score")).alias("confidence"))
+    return scored.withColumn("n", best).filter((F.col("n") == 1) & (F.col("score") >= floor)).select(
+        F.col("left_id").alias("base_id"), F.col("right_id").alias("target_id"), "score", match_confidence(F.col("score")).alias("confidence")
+    )
 
 
 def movements(pairs: DataFrame) -> DataFrame:
     """pairs (base_*, target_*: file, parent, fqn, type) with movement: FileChange, NamespaceChange, ClassChange, ParentChange, Rename or None."""
     moved = F.when(F.col("base_type") == "Type", "NamespaceChange").when(F.col("base_type").isin("Method", "Property", "Field"), "ClassChange").otherwise("ParentChange")
-    ladder = F.when(~F.col("base_file").eqNullSafe(F.col("target_file")), "FileChange").when(~F.col("base_parent").eqNullSafe(F.col("target_parent")), moved).when(~F.col("base_fqn").eqNullSafe(F.col("target_fqn")), "Rename")
+    ladder = F.when(
+        ~F.col("base_file").eqNullSafe(F.col("target_file")), "FileChange"
+    ).when(~F.col("base_parent").eqNullSafe(F.col("target_parent")), moved).when(~F.col("base_fqn").eqNullSafe(F.col("target_fqn")), "Rename")
     return pairs.withColumn("movement", ladder.otherwise("None"))
 
 
@@ -102,7 +109,9 @@ def three_way(base: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     x = side(base, "o").join(ab, F.col("o_id") == F.col("ab_id"), "full_outer")
     o, ha, hb = F.col("o_hash"), F.col("a_hash"), F.col("b_hash")
     in_o, in_a, in_b = (F.col(f"{p}_id").isNotNull() for p in "oab")
-    row = lambda action, source, conf, mixed=None: F.struct(F.lit(action).alias("action"), F.lit(source).alias("source"), F.lit(conf).alias("confidence"), (F.lit(False) if mixed is None else mixed).alias("delete_modify"))
+    row = lambda action, source, conf, mixed=None: F.struct(
+        F.lit(action).alias("action"), F.lit(source).alias("source"), F.lit(conf).alias("confidence"), (F.lit(False) if mixed is None else mixed).alias("delete_modify")
+    )
     act = (
         F.when(in_o & ~in_a & ~in_b, row("Delete", "both", 1.0))
         .when(in_o & ~in_a, row("Delete", "A", 0.8, hb != o))

@@ -76,14 +76,19 @@ def preset(name: str) -> set[str]:
 
 def diagnostic_stats(rows: DataFrame) -> DataFrame:
     """diag_id, n, files, projects, severity (the first by order of rows) of diagnostics (nth, diag_id, severity, file_path, project_name)."""
-    return rows.groupBy("diag_id").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"), F.count_distinct("project_name").alias("projects"), F.min_by("severity", "nth").alias("severity"))
+    return rows.groupBy("diag_id").agg(
+        F.count("*").alias("n"), F.count_distinct("file_path").alias("files"), F.count_distinct("project_name").alias("projects"),
+        F.min_by("severity", "nth").alias("severity")
+    )
 
 
 def diagnostic_clusters(rows: DataFrame, shown: int = 5) -> DataFrame:
     """diag_id, n, category, recommended, confidence, pattern, relevance, examples (the first messages)."""
     w = Window.partitionBy("diag_id").orderBy("nth")
     # Examples are ranked in each task before the shuffle, so a frequent rule moves few rows
-    first = rows.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= shown).groupBy("diag_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "message"))), lambda x: x["message"]).alias("examples"))
+    first = rows.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= shown).groupBy("diag_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("at", "message"))), lambda x: x["message"]
+    ).alias("examples"))
     words = {"logging": "Logging infrastructure", "performance": "Performance optimization", "security": "Security concern", "style": "Code style"}
     named = [F.bool_or(F.contains(F.lower("message"), F.lit(w))).alias(f"has_{w}") for w in words]
     grouped = rows.groupBy("diag_id").agg(F.count("*").alias("n"), F.collect_set("file_path").alias("files"), F.min_by("severity", "nth").alias("severity"), *named)
@@ -112,7 +117,10 @@ def cluster_neighbours(messages: DataFrame, clusters: DataFrame, floor: float =
 def recommendations(clusters: DataFrame, least: float = 0.8) -> DataFrame:
     """diag_id, kind (rule or review), line: what a configuration file says of each cluster, by category, then id."""
     line = F.concat(F.lit("dotnet_diagnostic."), F.col("diag_id"), F.lit(".severity = "), F.lower("recommended"))
-    return clusters.select("category", "diag_id", F.when(F.col("confidence") >= least, "rule").otherwise("review").alias("kind"), F.when(F.col("confidence") >= least, line).otherwise(F.concat(F.lit("# review: "), F.col("diag_id"))).alias("line")).orderBy("category", "diag_id")
+    return clusters.select(
+        "category", "diag_id", F.when(F.col("confidence") >= least, "rule").otherwise("review").alias("kind"),
+        F.when(F.col("confidence") >= least, line).otherwise(F.concat(F.lit("# review: "), F.col("diag_id"))).alias("line")
+    ).orderBy("category", "diag_id")
 
 
 def config_text(clusters: DataFrame, least: float = 0.8) -> DataFrame:
@@ -129,19 +137,28 @@ def symbol_stats(symbols: DataFrame) -> DataFrame:
 
 
 def cache_stats(entries: DataFrame) -> DataFrame:
-    return entries.agg(F.count("*").alias("n"), F.sum(F.length("result")).alias("bytes"), F.count_distinct("operation").alias("operations"), F.count_distinct("solution").alias("solutions"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
+    return entries.agg(
+        F.count("*").alias("n"), F.sum(F.length("result")).alias("bytes"), F.count_distinct("operation").alias("operations"),
+        F.count_distinct("solution").alias("solutions"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest")
+    )
 
 
 def complexity_rollup(methods: DataFrame, project: str, type_: str) -> DataFrame:
     """A row for each type and one for each project (type null): methods, sum, max and mean of cyclomatic, sum of cognitive, methods above 10, lines."""
     cc = F.col("cyclomatic")
-    return methods.rollup(project, type_).agg(F.grouping_id().alias("level"), F.count("*").alias("methods"), F.sum(cc).alias("sum_cc"), F.max(cc).alias("max_cc"), F.avg(cc).alias("avg_cc"), F.sum("cognitive").alias("sum_cognitive"), F.count_if(cc > 10).alias("complex_methods"), F.sum("lines").alias("lines")).filter("level < 3")
+    return methods.rollup(project, type_).agg(
+        F.grouping_id().alias("level"), F.count("*").alias("methods"), F.sum(cc).alias("sum_cc"), F.max(cc).alias("max_cc"), F.avg(cc).alias("avg_cc"),
+        F.sum("cognitive").alias("sum_cognitive"), F.count_if(cc > 10).alias("complex_methods"), F.sum("lines").alias("lines")
+    ).filter("level < 3")
 
 
 def type_metrics(members: DataFrame, type_: str) -> DataFrame:
     """type, a number for each kind of member, mean complexity of methods, distinct dependencies."""
     kinds = ("method", "property", "field", "event")
-    return members.groupBy(type_).agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds], F.avg(F.when(F.col("kind") == "method", F.col("cyclomatic"))).alias("avg_cc"), F.count_distinct("depends_on").alias("dependencies"))
+    return members.groupBy(type_).agg(
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds], F.avg(F.when(F.col("kind") == "method", F.col("cyclomatic"))).alias("avg_cc"),
+        F.count_distinct("depends_on").alias("dependencies")
+    )
 
 
 def language_mix(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -29,7 +29,8 @@ def set_classes(sets: DataFrame, id_col: str, elements: str) -> DataFrame:
 
 
 def set_pairs(classes: DataFrame, floor: float) -> DataFrame:
-    """a, b (a < b), similarity of representatives (see set_classes): all pairs of different sets of Jaccard similarity at floor or above, exactly. Rows alike in their sets are one representative, so copies don't multiply pairs.
+    """a, b (a < b), similarity of representatives (see set_classes): all pairs of different sets of Jaccard similarity at floor or above, exactly. Rows alike
+in their sets are one representative, so copies don't multiply pairs.
 
     Elements are ordered from rare to common; two sets that similar share one of the first |s| - ceil(floor * |s|) + 1 elements of each, so only those meet, and only sets of nearly equal sizes.
     """

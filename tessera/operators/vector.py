@@ -120,8 +120,12 @@ def centroid_pairs(centers: DataFrame, group: str, floor: float = 0.85) -> DataF
     return near.filter("left_id < right_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "similarity")
 
 
-def lsh_top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float = 0.0, id_col: str = "vec_id", vector: str = "embedding", tables: int = 8, bits: int = 6, probes: int = 2, seed: int = 1, blocks: int = 4) -> DataFrame:
-    """query_id, id_col, similarity, rank: approximate top_k for each row of queries. Rows whose signature of random hyperplanes differs from the query's in at most `probes` bits, in one table at least, are compared exactly.
+def lsh_top_k(
+    queries: DataFrame, rows: DataFrame, k: int, floor: float = 0.0, id_col: str = "vec_id", vector: str = "embedding", tables: int = 8, bits: int = 6, probes: int = 2,
+    seed: int = 1, blocks: int = 4
+) -> DataFrame:
+    """query_id, id_col, similarity, rank: approximate top_k for each row of queries. Rows whose signature of random hyperplanes differs from the
+query's in at most `probes` bits, in one table at least, are compared exactly.
 
     With 2 of 6 bits the mean recall of 10 is 0.99 on the given embeddings; with 1 it is 0.88 to 0.90, with none 0.32 to 0.41. Rows of another length than the first query's take no part.
     """
@@ -130,7 +134,9 @@ def lsh_top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float = 0.0, i
     planes = np.random.Generator(np.random.PCG64(seed)).normal(size=(tables, bits, size))
     side = lambda p: dot(F.col(vector), F.array(*map(F.lit, p.tolist()))) > 0
     signs = F.array(*[sum((F.when(side(p), 1 << i).otherwise(0) for i, p in enumerate(plane)), F.lit(0)) for plane in planes])
-    signed = lambda d, name, v: d.filter(F.size(vector) == size).select(F.col(id_col).alias(name), F.col(vector).alias(v), magnitude(F.col(vector)).alias(f"{v}_size"), signs.alias(f"{v}_signs"))
+    signed = lambda d, name, v: d.filter(F.size(vector) == size).select(
+        F.col(id_col).alias(name), F.col(vector).alias(v), magnitude(F.col(vector)).alias(f"{v}_size"), signs.alias(f"{v}_signs")
+    )
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = signed(queries, "query_id", "v").withColumn("block", every).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     b = signed(rows, id_col, "w").withColumn("part", every).withColumn("block", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
@@ -183,7 +189,9 @@ def score_range(rows: DataFrame, score: str) -> DataFrame:
     """rows with `normalised`: the score's place between the smallest and the largest; 1 where those are equal."""
     ends = rows.agg(F.min(score).alias("__low"), F.max(score).alias("__high"))
     width = F.col("__high") - F.col("__low")
-    return rows.join(F.broadcast(ends)).withColumn("normalised", F.when(width < 1e-10, 1.0).otherwise((F.col(score) - F.col("__low")) / F.when(width < 1e-10, 1.0).otherwise(width))).drop("__low", "__high")
+    return rows.join(F.broadcast(ends)).withColumn(
+        "normalised", F.when(width < 1e-10, 1.0).otherwise((F.col(score) - F.col("__low")) / F.when(width < 1e-10, 1.0).otherwise(width))
+    ).drop("__low", "__high")
 
 
 def rank_fusion(ranked: DataFrame, k: int = 60, weights: dict[int, float] | None = None) -> DataFrame:
@@ -198,14 +206,20 @@ def rank_fusion(ranked: DataFrame, k: int = 60, weights: dict[int, float] | None
     else:
         share = F.lit(1.0)
     part = F.when(F.lit(k) + F.col("rank0") == 0, F.lit(float("inf"))).otherwise(share / F.when(F.lit(k) + F.col("rank0") == 0, 1).otherwise(F.lit(k) + F.col("rank0")))
-    fused = ranked.withColumn("part", part).groupBy("id").agg(F.sum("part").alias("score"), F.count("*").alias("appearances"), F.min("rank0").alias("lowest"), F.max("rank0").alias("highest"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("list", "rank0")))).alias("ranks"))
+    fused = ranked.withColumn("part", part).groupBy("id").agg(
+        F.sum("part").alias("score"), F.count("*").alias("appearances"), F.min("rank0").alias("lowest"), F.max("rank0").alias("highest"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("list", "rank0")))).alias("ranks")
+    )
     best_first = [F.desc(F.round("score", 12)), F.col("id")]
     return numbered(fused, best_first, "final_rank").withColumn("final_rank", F.col("final_rank").cast("int"))
 
 
 def weighted_fusion(entity: DataFrame, content: DataFrame, semantic: DataFrame, limit: int, weights: tuple[float, float, float] = (0.3, 0.3, 0.4)) -> DataFrame:
     """id, score, sources, n_sources of three lists (id, score): weighted scores of an id are added up; more sources win ties."""
-    lists = [d.groupBy("id").agg((F.max("score") * w).alias("score")).withColumn("source", F.lit(s)) for d, w, s in zip((entity, content, semantic), weights, ("entity", "content", "semantic"), strict=True)]
+    lists = [
+        d.groupBy("id").agg((F.max("score") * w).alias("score")).withColumn("source", F.lit(s)) for d, w,
+        s in zip((entity, content, semantic), weights, ("entity", "content", "semantic"), strict=True)
+    ]
     every = lists[0].unionByName(lists[1]).unionByName(lists[2])
     fused = every.groupBy("id").agg(F.sum("score").alias("score"), F.array_join(F.array_sort(F.collect_list("source")), "+").alias("sources"), F.count("*").alias("n_sources"))
     return fused.orderBy(F.desc(F.round("score", 9)), F.desc("n_sources"), "id").limit(limit)

@@ -37,13 +37,16 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     flags = F.expr("shiftleft(1L, CAST(p_partkey % 4 AS INT)) | shiftleft(16L, CAST(p_size % 5 AS INT)) | CASE WHEN p_size % 3 = 0 THEN 32768L ELSE 65536L END")
     args = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")"))).otherwise("")
     return p.select(
-        F.col("p_partkey").alias("id"), F.concat(space, F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_")), args).alias("canonical_fqn"), F.col("p_name").alias("simple_name"), space.alias("namespace"),
+        F.col("p_partkey").alias("id"), F.concat(
+            space, F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_")), args
+        ).alias("canonical_fqn"), F.col("p_name").alias("simple_name"), space.alias("namespace"),
         flags.alias("flags"), F.concat(F.lit("doc"), (F.col("p_partkey") % 50).cast("string")).alias("document_id"), F.col("p_partkey").alias("line_number"), (F.col("p_size") % 7 == 0).alias("is_constructor"),
     )
 
 
 SYMBOLS = """symbols AS (
-    SELECT p_partkey AS id, 'Cat.' || p_type || '.' || replace(p_brand, '#', 'N') || '.' || replace(p_name, ' ', '_') || CASE WHEN p_size % 5 = 0 THEN '(' || p_size || ')' ELSE '' END AS canonical_fqn,
+    SELECT p_partkey AS id, 'Cat.' || p_type || '.' || replace(p_brand, '#', 'N') || '.' || replace(p_name, ' ', '_') || CASE WHEN p_size % 5 = 0 THEN '(' ||
+p_size || ')' ELSE '' END AS canonical_fqn,
         p_name AS simple_name, 'Cat.' || p_type || '.' || replace(p_brand, '#', 'N') AS namespace,
         ((1::BIGINT << (p_partkey % 4)::INT) | (16::BIGINT << (p_size % 5)::INT) | CASE WHEN p_size % 3 = 0 THEN 32768 ELSE 65536 END)::BIGINT AS flags,
         'doc' || (p_partkey % 50) AS document_id, p_partkey AS line_number, p_size % 7 = 0 AS is_constructor
@@ -57,7 +60,11 @@ def diagnostics(spark: SparkSession, d: str) -> DataFrame:
     file = F.expr("concat('src/', CASE WHEN user_id % 7 = 0 THEN 'Log' WHEN user_id % 11 = 0 THEN 'Benchmark' ELSE 'Mod' END, user_id, '.cs')")
     severity = F.expr("CASE WHEN value < 5 THEN 'Hidden' WHEN value < 20 THEN 'Info' WHEN value < 60 THEN 'Warning' ELSE 'Error' END")
     message = F.expr("concat(CASE WHEN event_id % 100 = 0 AND event_type = 'click' THEN 'performance of ' ELSE 'use of ' END, event_type)")
-    return e.select(F.col("event_id").alias("nth"), rule.alias("diag_id"), file.alias("file_path"), F.concat(F.lit("P"), (F.col("user_id") % 3).cast("string")).alias("project_name"), severity.alias("severity"), message.alias("message"), (F.col("event_id") % 17 == 0).alias("is_suppressed"), F.col("user_id"))
+    return e.select(
+        F.col("event_id").alias("nth"), rule.alias("diag_id"), file.alias("file_path"),
+        F.concat(F.lit("P"), (F.col("user_id") % 3).cast("string")).alias("project_name"), severity.alias("severity"), message.alias("message"),
+        (F.col("event_id") % 17 == 0).alias("is_suppressed"), F.col("user_id")
+    )
 
 
 DIAGNOSTICS = """diagnostics AS (
@@ -73,12 +80,23 @@ def units(spark: SparkSession, d: str, version: str) -> DataFrame:
     """A version of the documents as units: base, a or b; branches respace, drop and add some."""
     t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
     if version == "a":
-        t = t.filter("id % 10 <> 3").withColumn("text", F.when(F.col("id") % 10 == 1, F.replace("text", F.lit(" "), F.lit("  "))).when(F.col("id") % 10 == 4, F.concat("text", F.lit("  "))).otherwise(F.col("text")))
+        t = t.filter("id % 10 <> 3").withColumn(
+            "text",
+            F.when(F.col("id") % 10 == 1, F.replace("text", F.lit(" "), F.lit("  "))).when(F.col("id") % 10 == 4, F.concat("text", F.lit("  "))).otherwise(F.col("text"))
+        )
         t = t.unionByName(t.filter("id % 10 = 2").withColumn("id", F.col("id") + 1000000).withColumn("text", F.concat(F.lit("new "), F.col("text"))))
     if version == "b":
-        t = t.filter("id % 10 <> 5 AND id % 20 <> 3").withColumn("text", F.when(F.col("id") % 20 == 1, F.replace("text", F.lit(" "), F.lit("  "))).when(F.col("id") % 20 == 11, F.replace("text", F.lit(" "), F.lit("\n"))).when(F.col("id") % 10 == 6, F.concat(F.lit("x "), F.col("text"))).otherwise(F.col("text")))
+        t = t.filter("id % 10 <> 5 AND id % 20 <> 3").withColumn(
+            "text",
+            F.when(F.col("id") % 20 == 1, F.replace("text", F.lit(" "), F.lit("  "))).when(
+                F.col("id") % 20 == 11, F.replace("text", F.lit(" "), F.lit("\n"))
+            ).when(F.col("id") % 10 == 6, F.concat(F.lit("x "), F.col("text"))).otherwise(F.col("text"))
+        )
     shape = F.regexp_replace("text", "[^a-z]+", " ")
-    return t.select("id", F.col("text").alias("content"), F.md5("text").alias("content_hash"), F.md5(F.trim(shape)).alias("structural_hash"), F.concat_ws("/", "lang", "source", (F.length("text") % 1000).cast("string")).alias("signature"), F.col("source").alias("parent"), F.col("lang").alias("type"))
+    return t.select(
+        "id", F.col("text").alias("content"), F.md5("text").alias("content_hash"), F.md5(F.trim(shape)).alias("structural_hash"),
+        F.concat_ws("/", "lang", "source", (F.length("text") % 1000).cast("string")).alias("signature"), F.col("source").alias("parent"), F.col("lang").alias("type")
+    )
 
 
 def _units_sql(name: str, rows: str) -> str:
@@ -92,7 +110,10 @@ _A = """SELECT id, CASE WHEN id % 10 = 1 THEN replace(text, ' ', '  ') WHEN id %
 UNITS = ",\n".join([
     _units_sql("base", "SELECT doc_id AS id, text, lang, source FROM documents"),
     _units_sql("a", f"{_A} UNION ALL SELECT id + 1000000, 'new ' || text, lang, source FROM ({_A}) WHERE id % 10 = 2"),
-    _units_sql("b", "SELECT doc_id AS id, CASE WHEN doc_id % 20 = 1 THEN replace(text, ' ', '  ') WHEN doc_id % 20 = 11 THEN replace(text, ' ', chr(10)) WHEN doc_id % 10 = 6 THEN 'x ' || text ELSE text END AS text, lang, source FROM documents WHERE doc_id % 10 <> 5 AND doc_id % 20 <> 3"),
+    _units_sql(
+        "b",
+        "SELECT doc_id AS id, CASE WHEN doc_id % 20 = 1 THEN replace(text, ' ', '  ') WHEN doc_id % 20 = 11 THEN replace(text, ' ', chr(10)) WHEN doc_id % 10 = 6 THEN 'x ' || text ELSE text END AS text, lang, source FROM documents WHERE doc_id % 10 <> 5 AND doc_id % 20 <> 3"
+    ),
 ])
 
 
@@ -126,7 +147,9 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
     """Call edges from all events: user u calls 2u, 2u + 1 or 2u + 2, by the event's number. A caller's number is below its callee's, so there are no cycles."""
     e = table(spark, d, "events")
     name = lambda c: F.concat(F.lit("m"), c.cast("string"))
-    return e.select(F.col("user_id").alias("a"), (2 * F.col("user_id") + F.col("event_id") % 3).alias("b")).filter("a <> b").select(name(F.col("a")).alias("caller"), name(F.col("b")).alias("callee")).distinct()
+    return e.select(
+        F.col("user_id").alias("a"), (2 * F.col("user_id") + F.col("event_id") % 3).alias("b")
+    ).filter("a <> b").select(name(F.col("a")).alias("caller"), name(F.col("b")).alias("callee")).distinct()
 
 
 CALLS = """calls AS (

@@ -20,7 +20,8 @@ def _scratch(spark) -> str:
     return f"{shared_folder(spark)}/tessera-versions/{uuid.uuid4().hex}"
 
 
-_VECTORS = """base AS (SELECT vec_id AS id, embedding FROM embeddings), branch AS (SELECT vec_id AS id, 'D' AS op FROM embeddings WHERE vec_id % 7 = 3 UNION ALL SELECT vec_id + 1000000, 'A' FROM embeddings WHERE vec_id % 9 = 4),
+_VECTORS = """base AS (SELECT vec_id AS id, embedding FROM embeddings), branch AS (SELECT vec_id AS id, 'D' AS op FROM embeddings WHERE vec_id % 7 = 3 UNION ALL
+SELECT vec_id + 1000000, 'A' FROM embeddings WHERE vec_id % 9 = 4),
 layered AS (SELECT id, embedding FROM base WHERE id % 7 <> 3 UNION ALL SELECT id + 1000000, embedding FROM base WHERE id % 9 = 4),
 working AS (SELECT id FROM layered WHERE id % 11 = 5), seen AS (SELECT id, CASE WHEN id % 11 = 5 THEN list_transform(embedding, lambda x: -x) ELSE embedding END AS embedding FROM layered)"""
 
@@ -68,13 +69,16 @@ def _bloom(spark, d) -> DataFrame:
     return bloom.merged(parts, bloom.built(table(spark, d, "supplier"), F.col("s_name"), _BLOOM_BITS, _BLOOM_HASHES))
 
 
-@query(f"""WITH {_FILTER}, q AS (SELECT DISTINCT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE (SELECT any_value(p_name || p_partkey) FROM part WHERE p_partkey = c_custkey) END AS k FROM customer),
+@query(f"""WITH {_FILTER}, q AS (SELECT DISTINCT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE (SELECT any_value(p_name || p_partkey) FROM part
+WHERE p_partkey = c_custkey) END AS k FROM customer),
 p AS (SELECT id, unnest(list_distinct({_POSITIONS})) AS bit FROM q WHERE k IS NOT NULL), h AS (SELECT id, bool_and(f.bit IS NOT NULL) AS hit FROM p LEFT JOIN f ON f.bit = p.bit GROUP BY id)
 SELECT q.id, coalesce(hit, false) AS might_contain FROM q LEFT JOIN h ON h.id = q.id""")
 def bloom_membership(spark, d) -> DataFrame:
     """Names that were added, and others, asked of a filter that is merged from two."""
     added = table(spark, d, "part").select(F.col("p_partkey").alias("c_custkey"), F.concat("p_name", F.col("p_partkey").cast("string")).alias("of_part"))
-    asked = table(spark, d, "customer").join(added, "c_custkey", "left").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.col("of_part")).alias("k"))
+    asked = table(spark, d, "customer").join(added, "c_custkey", "left").select(
+        F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.col("of_part")).alias("k")
+    )
     return bloom.asked(asked, F.col("k"), _bloom(spark, d), _BLOOM_BITS, _BLOOM_HASHES).select("id", "might_contain")
 
 
@@ -117,7 +121,10 @@ def evicted_branches(spark, d) -> DataFrame:
     return kept.select("id", "branch", F.lit(True).alias("kept")).unionByName(back.select("id", "branch", F.lit(False).alias("kept")))
 
 
-@query(f"WITH {LAYERS} SELECT coalesce(b.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'A' WHEN b.id IS NULL THEN 'D' ELSE 'M' END AS op, b.o_totalprice FROM base o FULL JOIN ({_ON_BRANCH}) b ON o.id = b.id WHERE o.id IS NULL OR b.id IS NULL OR o.o_totalprice <> b.o_totalprice")
+@query(
+    f"WITH {LAYERS} SELECT coalesce(b.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'A' WHEN b.id IS NULL THEN 'D' ELSE 'M' END AS op, b.o_totalprice "
+    f"FROM base o FULL JOIN ({_ON_BRANCH}) b ON o.id = b.id WHERE o.id IS NULL OR b.id IS NULL OR o.o_totalprice <> b.o_totalprice"
+)
 def pulled_changes(spark, d) -> DataFrame:
     old = order_rows(spark, d)
     return versions.pulled(old, layers.applied(old, order_delta(spark, d, "branch")), ["o_totalprice"]).select("id", "op", "o_totalprice")
@@ -158,7 +165,10 @@ def code_fingerprints(spark, d) -> DataFrame:
     return _code(spark, d).select("id", F.md5(X.structural_of(F.col("code"), F.lit(".cs"))).alias("fingerprint"))
 
 
-@query("SELECT p_partkey AS id, 5 AS lines, 1 AS branches, 1 AS loops, 4 AS cyclomatic, 2 AS parameters, array_to_string(list_sort(['Box', 'f' || p_partkey, 'g' || (p_size % 5), 'h']), ',') AS calls, 'Box' AS types FROM part")
+@query(
+    "SELECT p_partkey AS id, 5 AS lines, 1 AS branches, 1 AS loops, 4 AS cyclomatic, 2 AS parameters, array_to_string(list_sort(['Box', 'f' || p_partkey, "
+    "'g' || (p_size % 5), 'h']), ',') AS calls, 'Box' AS types FROM part"
+)
 def snippet_features(spark, d) -> DataFrame:
     x = _code(spark, d).select("id", X.snippet_features(F.col("code")).alias("x"))
     return x.select("id", "x.lines", "x.branches", "x.loops", "x.cyclomatic", "x.parameters", F.array_join("x.calls", ",").alias("calls"), F.array_join("x.types", ",").alias("types"))
@@ -184,24 +194,32 @@ def project_listing(spark, d) -> DataFrame:
     return metrics.project_listing(rows)
 
 
-@query("""WITH i AS (SELECT DISTINCT event_type || (event_id % 3) AS name, user_id % 20 AS file FROM events WHERE event_type <> 'error' OR user_id % 20 < 5), n AS (SELECT count(DISTINCT file) AS n FROM i), c AS (SELECT name FROM i, n GROUP BY name HAVING count(*) = any_value(n.n))
+@query("""WITH i AS (SELECT DISTINCT event_type || (event_id % 3) AS name, user_id % 20 AS file FROM events WHERE event_type <> 'error' OR user_id % 20 < 5), n
+AS (SELECT count(DISTINCT file) AS n FROM i), c AS (SELECT name FROM i, n GROUP BY name HAVING count(*) = any_value(n.n))
 SELECT file, name FROM i WHERE name NOT IN (SELECT name FROM c)""")
 def unique_imports(spark, d) -> DataFrame:
     """Names that a file imports and that not all files do."""
-    i = table(spark, d, "events").filter("event_type <> 'error' OR user_id % 20 < 5").select(F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("name"), (F.col("user_id") % 20).alias("file"))
+    i = table(spark, d, "events").filter("event_type <> 'error' OR user_id % 20 < 5").select(
+        F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("name"), (F.col("user_id") % 20).alias("file")
+    )
     return metrics.unique_imports(i)
 
 
 @query("""WITH o AS (SELECT o_custkey AS parent, list(o_orderkey ORDER BY o_orderkey) AS x, list(o_orderkey ORDER BY o_totalprice, o_orderkey) AS y FROM orders GROUP BY 1)
 SELECT parent, x = CASE WHEN parent % 3 = 0 THEN x ELSE y END AS same, parent % 3 <> 0 AND x <> y AS reordered FROM o""")
 def reordered_children(spark, d) -> DataFrame:
-    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("parent")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("x"), F.transform(F.array_sort(F.collect_list(F.struct("o_totalprice", "o_orderkey"))), lambda s: s["o_orderkey"]).alias("y"))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("parent")).agg(
+        F.array_sort(F.collect_list("o_orderkey")).alias("x"),
+        F.transform(F.array_sort(F.collect_list(F.struct("o_totalprice", "o_orderkey"))), lambda s: s["o_orderkey"]).alias("y")
+    )
     new = o.select("parent", F.when(F.col("parent") % 3 == 0, F.col("x")).otherwise(F.col("y")).alias("children"))
     return merge.reordered_only(o.select("parent", F.col("x").alias("children")), new)
 
 
-@query("""WITH v AS (SELECT a.vec_id AS id, o.embedding::DOUBLE[] AS o, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = CASE WHEN a.vec_id % 4 = 0 THEN a.vec_id ELSE a.vec_id + 1 END JOIN embeddings o ON o.vec_id = a.vec_id + 2),
-s AS (SELECT id, list_cosine_similarity(a, b) AS ab, list_cosine_similarity(a, o) AS ao, list_cosine_similarity(b, o) AS bo, 1 - abs(list_cosine_similarity(list_transform(list_zip(a, o), lambda z: z[1] - z[2]), list_transform(list_zip(b, o), lambda z: z[1] - z[2]))) AS turn FROM v)
+@query("""WITH v AS (SELECT a.vec_id AS id, o.embedding::DOUBLE[] AS o, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings
+b ON b.vec_id = CASE WHEN a.vec_id % 4 = 0 THEN a.vec_id ELSE a.vec_id + 1 END JOIN embeddings o ON o.vec_id = a.vec_id + 2),
+s AS (SELECT id, list_cosine_similarity(a, b) AS ab, list_cosine_similarity(a, o) AS ao, list_cosine_similarity(b, o) AS bo, 1 -
+abs(list_cosine_similarity(list_transform(list_zip(a, o), lambda z: z[1] - z[2]), list_transform(list_zip(b, o), lambda z: z[1] - z[2]))) AS turn FROM v)
 SELECT id, CASE WHEN ab >= 0.95 THEN CASE WHEN ao <= bo THEN 'A' ELSE 'B' END WHEN turn >= 0.3 THEN 'both' ELSE 'conflict' END AS decision FROM s""")
 def conflict_sides(spark, d) -> DataFrame:
     """What embeddings say of a conflict between versions a and b of base."""
@@ -213,19 +231,26 @@ def conflict_sides(spark, d) -> DataFrame:
     return merge.closer_side(rows).select("id", "decision")
 
 
-@query("""SELECT path, CASE WHEN contains(lower(path), 'f1') THEN 'B' ELSE source END AS source FROM (SELECT 'src/f' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '.cs' ELSE '.txt' END AS path, 'A' AS source FROM orders)
+@query("""SELECT path, CASE WHEN contains(lower(path), 'f1') THEN 'B' ELSE source END AS source FROM (SELECT 'src/f' || o_orderkey || CASE WHEN o_orderkey % 3 =
+0 THEN '.cs' ELSE '.txt' END AS path, 'A' AS source FROM orders)
 WHERE path LIKE 'src/%.cs' AND NOT contains(path, '7')""")
 def merge_instructions(spark, d) -> DataFrame:
     """A plan of files after instructions in words."""
     said = merge.instructions("Include src/*.cs files\nSkip *7*.cs")
-    plan = table(spark, d, "orders").select(F.concat(F.lit("src/f"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, ".cs").otherwise(".txt")).alias("path"), F.lit("A").alias("source"))
+    plan = table(spark, d, "orders").select(
+        F.concat(F.lit("src/f"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, ".cs").otherwise(".txt")).alias("path"),
+        F.lit("A").alias("source")
+    )
     return merge.instructed(plan, said["include"], said["exclude"], {"f1": "B"})
 
 
-@query("""WITH m AS (SELECT 's' || s_suppkey AS type, 'call' || (s_suppkey % 3) AS signature FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'call' || (n_nationkey % 3) FROM nation), h AS (SELECT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent FROM supplier)
+@query("""WITH m AS (SELECT 's' || s_suppkey AS type, 'call' || (s_suppkey % 3) AS signature FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'call' ||
+(n_nationkey % 3) FROM nation), h AS (SELECT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent FROM supplier)
 SELECT DISTINCT m.type, m.signature, h.parent AS base FROM m JOIN h ON h.child = m.type JOIN m b ON b.type = h.parent AND b.signature = m.signature""")
 def overrides(spark, d) -> DataFrame:
-    member = lambda t, k, a: table(spark, d, t).select(F.concat(F.lit(a), F.col(k).cast("string")).alias("type"), F.concat(F.lit("call"), (F.col(k) % 3).cast("string")).alias("signature"))
+    member = lambda t, k, a: table(spark, d, t).select(
+        F.concat(F.lit(a), F.col(k).cast("string")).alias("type"), F.concat(F.lit("call"), (F.col(k) % 3).cast("string")).alias("signature")
+    )
     members = member("supplier", "s_suppkey", "s").unionByName(member("nation", "n_nationkey", "n"))
     s = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("child"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("parent"))
     return graph.overrides(members, s)
@@ -239,7 +264,10 @@ def path_feasibility(spark, d) -> DataFrame:
     return graph.feasible(table(spark, d, "part").select(F.col("p_partkey").alias("id"), conditions.alias("conditions")))
 
 
-@query("SELECT event_id, n.user_id AS subscriber FROM events e JOIN (SELECT DISTINCT user_id, event_type FROM events WHERE value > 100) n ON n.event_type = e.event_type AND n.user_id <> e.user_id WHERE e.event_type = 'signup'")
+@query(
+    "SELECT event_id, n.user_id AS subscriber FROM events e JOIN (SELECT DISTINCT user_id, event_type FROM events WHERE value > 100) n ON n.event_type "
+    "= e.event_type AND n.user_id <> e.user_id WHERE e.event_type = 'signup'"
+)
 def notified(spark, d) -> DataFrame:
     """Who is told of which change: subscribers to its project but the one who made it."""
     e = table(spark, d, "events")
@@ -248,7 +276,10 @@ def notified(spark, d) -> DataFrame:
     return layers.notifications(changes, subscriptions).select("event_id", "subscriber")
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'error' AND user_id % 2 = 0 THEN 'local' WHEN event_type = 'error' THEN 'none' WHEN event_type = 'view' THEN CASE WHEN user_id % 2 = 0 THEN 'local' ELSE 'hub' END ELSE 'both' END AS route FROM events")
+@query(
+    "SELECT event_id, CASE WHEN event_type = 'error' AND user_id % 2 = 0 THEN 'local' WHEN event_type = 'error' THEN 'none' WHEN event_type = 'view' "
+    "THEN CASE WHEN user_id % 2 = 0 THEN 'local' ELSE 'hub' END ELSE 'both' END AS route FROM events"
+)
 def search_routes(spark, d) -> DataFrame:
     """Where a search goes, by what it asks for and what is there."""
     mode = F.when(F.col("event_type") == "error", "local").when(F.col("event_type") == "view", "any").otherwise("both")
@@ -264,11 +295,19 @@ def replace_preview(spark, d) -> DataFrame:
     return lookup.replace_preview(table(spark, d, "documents"), "the")
 
 
-@query(f"WITH {_LINES}, r AS (SELECT doc_id, string_agg(CASE WHEN n = 1 THEN regexp_replace(line, 'the', 'this') ELSE line END, chr(10) ORDER BY i) AS text, count(*) FILTER (n = 1) AS applied, sum(n) AS hits FROM n GROUP BY doc_id) SELECT doc_id, md5(text) AS text_md5, applied FROM r WHERE hits > 0")
+@query(
+    f"WITH {_LINES}, r AS (SELECT doc_id, string_agg(CASE WHEN n = 1 THEN regexp_replace(line, 'the', 'this') ELSE line END, chr(10) ORDER BY i) AS "
+    f"text, count(*) FILTER (n = 1) AS applied, sum(n) AS hits FROM n GROUP BY doc_id) SELECT doc_id, md5(text) AS text_md5, applied FROM r WHERE hits "
+    f"> 0"
+)
 def replaced_best_effort(spark, d) -> DataFrame:
     return lookup.replaced(table(spark, d, "documents"), "the", "this").select("doc_id", F.md5("text").alias("text_md5"), "applied")
 
 
-@query(f"WITH {_LINES}, s AS (SELECT bool_or(n > 1) AS stop FROM n), r AS (SELECT doc_id, string_agg(CASE WHEN n = 1 AND NOT stop THEN regexp_replace(line, 'the', 'this') ELSE line END, chr(10) ORDER BY i) AS text, count(*) FILTER (n = 1 AND NOT stop) AS applied, sum(n) AS hits FROM n, s GROUP BY doc_id) SELECT doc_id, md5(text) AS text_md5, applied FROM r WHERE hits > 0")
+@query(
+    f"WITH {_LINES}, s AS (SELECT bool_or(n > 1) AS stop FROM n), r AS (SELECT doc_id, string_agg(CASE WHEN n = 1 AND NOT stop THEN regexp_replace(line, "
+    f"'the', 'this') ELSE line END, chr(10) ORDER BY i) AS text, count(*) FILTER (n = 1 AND NOT stop) AS applied, sum(n) AS hits FROM n, s GROUP BY "
+    f"doc_id) SELECT doc_id, md5(text) AS text_md5, applied FROM r WHERE hits > 0"
+)
 def replaced_all_or_nothing(spark, d) -> DataFrame:
     return lookup.replaced(table(spark, d, "documents"), "the", "this", "AllOrNothing").select("doc_id", F.md5("text").alias("text_md5"), "applied")

@@ -112,7 +112,11 @@ def script_units(text: str, kind: str) -> list[Row]:
     return [(m["name"], "$", "Function", m["name"], m["name"], text[m.start() : e].strip()) for m, e in zip(found, ends, strict=True)]
 
 
-PARSERS = {"json": json_units, "xml": markup_units, "html": markup_units, "yaml": yaml_units, "yml": yaml_units, "sh": lambda t: script_units(t, "shell"), "bash": lambda t: script_units(t, "shell"), "cmd": lambda t: script_units(t, "cmd"), "bat": lambda t: script_units(t, "cmd"), "ps1": lambda t: script_units(t, "powershell")}
+PARSERS = {
+    "json": json_units, "xml": markup_units, "html": markup_units, "yaml": yaml_units, "yml": yaml_units, "sh": lambda t: script_units(t, "shell"),
+    "bash": lambda t: script_units(t, "shell"), "cmd": lambda t: script_units(t, "cmd"), "bat": lambda t: script_units(t, "cmd"),
+    "ps1": lambda t: script_units(t, "powershell")
+}
 
 
 def extracted(rows: DataFrame, id_col: str, text: str, format: str | None = None) -> DataFrame:

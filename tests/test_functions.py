@@ -53,7 +53,10 @@ def test_fqn_score(spark, asked, known, made, want):
 
 
 def test_stack_confidence(spark):
-    score = lambda *hints: value(spark, similarity.stack_confidence(strings(*hints), F.lit("Run"), F.lit("Engine"), F.lit("My.Space.Engine"), F.lit("My.Space"), F.lit("My.Space.Engine.Run(int)")))
+    score = lambda *hints: value(
+        spark,
+        similarity.stack_confidence(strings(*hints), F.lit("Run"), F.lit("Engine"), F.lit("My.Space.Engine"), F.lit("My.Space"), F.lit("My.Space.Engine.Run(int)"))
+    )
     assert score() == 0
     assert score("at My.Space.Engine.Run(int) in x") == 1
     assert score("at engine.run") == pytest.approx(0.95)
@@ -70,7 +73,9 @@ def test_method_similarity_of_itself_is_one(spark):
 
 # Rules, their hits and verdicts as given.
 RULES = [
-    ("CA1873", 11, ["LogA.cs"], "Info", "FalsePositive", 0.9, "None"), ("CA1822", 2, ["BenchmarkRunner.cs"], "Warning", "Infrastructure", 0.85, "None"), ("CA1829", 2, ["A.cs"], "Info", "PerformanceCritical", 0.8, "Warning"),
+    ("CA1873", 11, ["LogA.cs"], "Info", "FalsePositive", 0.9, "None"), (
+        "CA1822", 2, ["BenchmarkRunner.cs"], "Warning", "Infrastructure", 0.85, "None"
+    ), ("CA1829", 2, ["A.cs"], "Info", "PerformanceCritical", 0.8, "Warning"),
     ("CA2000", 1, ["A.cs"], "Warning", "Security", 0.75, "Error"), ("IDE0005", 1, ["A.cs"], "Info", "Style", 0.7, "Silent"), ("CS8600", 1, ["A.cs"], "Warning", "NeedsManualReview", 0.5, "Warning"),
     ("CA1873", 10, ["LogA.cs"], "Info", "NeedsManualReview", 0.5, "Suggestion"),
 ]
@@ -94,13 +99,19 @@ def test_kind_of_pattern(pattern, kind):
 
 @pytest.mark.parametrize(
     ("name", "pattern", "replacement", "want"),
-    [("GetUser", "Get*", "Load*", "LoadUser"), ("a1b", "a?b", "x?y", "x1y"), ("Foo", "Foo", "Bar", "Bar"), ("Food", "Foo", "Bar", "Food"), ("x_y", "^(.)_(.)$", "$2$1", "yx"), ("a$b", "a$b", "c", "a$b"), ("GetUser", "Get*", "$*", "$User")],
+    [
+        ("GetUser", "Get*", "Load*", "LoadUser"), ("a1b", "a?b", "x?y", "x1y"), ("Foo", "Foo", "Bar", "Bar"), ("Food", "Foo", "Bar", "Food"),
+        ("x_y", "^(.)_(.)$", "$2$1", "yx"), ("a$b", "a$b", "c", "a$b"), ("GetUser", "Get*", "$*", "$User")
+    ],
 )
 def test_rewritten(spark, name, pattern, replacement, want):
     assert value(spark, text.rewritten(F.lit(name), pattern, replacement)) == want
 
 
-@pytest.mark.parametrize(("path", "pattern", "want"), [("src/a/b.cs", "src/**", True), ("lib/b.cs", "src/**", False), ("src/B.CS", "src/*.cs", True), ("src/b.cs", "b.CS", True), ("x/src/b", "**/b", True), ("a.b", "a*", True)])
+@pytest.mark.parametrize(
+    ("path", "pattern", "want"),
+    [("src/a/b.cs", "src/**", True), ("lib/b.cs", "src/**", False), ("src/B.CS", "src/*.cs", True), ("src/b.cs", "b.CS", True), ("x/src/b", "**/b", True), ("a.b", "a*", True)]
+)
 def test_glob(spark, path, pattern, want):
     assert value(spark, text.glob_matches(F.lit(path), pattern)) is want
 

@@ -131,7 +131,9 @@ def test_empty_layers(spark):
 
 def test_three_way_and_text_merge(spark):
     side = lambda *rows: frame(spark, rows, "id long, content_hash string")
-    out = {r.id: (r.action, r.source, r.delete_modify) for r in merge.three_way(side((1, "o"), (2, "o"), (3, "o"), (4, "o"), (5, "o")), side((1, "x"), (2, "o"), (3, "x"), (5, "y"), (6, "n")), side((1, "o"), (2, "o"), (3, "y"), (4, "z"))).collect()}
+    out = {r.id: (r.action, r.source, r.delete_modify) for r in merge.three_way(
+        side((1, "o"), (2, "o"), (3, "o"), (4, "o"), (5, "o")), side((1, "x"), (2, "o"), (3, "x"), (5, "y"), (6, "n")), side((1, "o"), (2, "o"), (3, "y"), (4, "z"))
+    ).collect()}
     assert out == {1: ("Update", "A", False), 3: ("Conflict", "both", False), 4: ("Delete", "A", True), 5: ("Delete", "B", True), 6: ("Create", "A", False)}
     assert merge.merged_text("a\nb\nc", "A\nb\nc", "a\nb\nC") == "A\nb\nC"
     assert merge.merged_text("a\nb", "x\na\nb", "a\nb\ny") == "x\na\nb\ny"
@@ -314,7 +316,10 @@ def test_versions(spark, tmp_path):
 def test_structural_forms(spark):
     from tessera.functions.text import sequence_calls, structural_of
 
-    row = frame(spark, [('{ "a b" : [1, 2] }', '<?xml version="1.0"?>\n<a>\n <b>x y</b>\n</a>\n', 'f("// no"); // yes\n/* a\n * b */ g( 1 );', "x  \n\n\n\ny\n")], "j string, x string, c string, t string")
+    row = frame(
+        spark, [('{ "a b" : [1, 2] }', '<?xml version="1.0"?>\n<a>\n <b>x y</b>\n</a>\n', 'f("// no"); // yes\n/* a\n * b */ g( 1 );', "x  \n\n\n\ny\n")],
+        "j string, x string, c string, t string"
+    )
     got = row.select(*[structural_of(F.col(c), F.lit(e)) for c, e in (("j", "json"), ("x", ".XML"), ("c", ".cs"), ("t", "txt"))]).first()
     assert tuple(got) == ('{"a b":[1,2]}', "<a><b>x y</b></a>", 'f("// no"); g( 1 );', "x\n\ny")
     calls = frame(spark, [("a.Where(x).Foo().OrderBy<int>(y).ToList()",)], "t string").select(sequence_calls(F.col("t")).alias("c")).first().c
