@@ -1,11 +1,13 @@
 """Near-duplicates by consistent weighted sampling over TF-IDF shingles.
 
-Shingles of five words weigh (1 + ln tf) * (1 + share * idf). Improved
-consistent weighted sampling draws, for each of HASHES seeds, a shingle and a
-level of its weight, so that two texts draw alike with a probability of their
-weighted Jaccard similarity. Bands of the draws bring texts together; texts of
-a band are compared with its first one, and those that this leaves in different
-classes with each other. Each comparison computes the similarity of the whole texts.
+Shingles of five words weigh (1 + ln tf) * (1 + idf). Improved consistent
+weighted sampling draws, for each of HASHES seeds, a shingle and a level of its
+weight, so that two texts draw alike with a probability of their weighted
+Jaccard similarity. Bands of the draws bring texts together. Each band's texts
+are compared with its leader first; those that this leaves in different classes
+are then compared with each other, pair by pair in bands of few texts and block
+by block in bands of many. Each comparison computes the weighted Jaccard
+similarity of the whole texts.
 """
 
 from __future__ import annotations
@@ -20,29 +22,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as hash_word
 
-from tessera.llm.common import checkpointed, coded_words, column_of, give_back, mix64, slices, small_batches
+from tessera.llm.common import TABLE_PARTS, checkpointed, coded_words, column_of, give_back, mix64, removed, slices, small_batches, stage_path, staged, table_sum
 from tessera.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BANDS, ROWS = 64, 32, 5
-#: Weight of idf beside 1, in draws and in the comparison. Draws lean on rare shingles, so that a passage of many texts brings few together. The comparison leans less: the few shingles
-#: that an edit makes, which no other text has, would outweigh the many that a large group of copies shares.
-DRAW_IDF, IDF_SHARE = 1.0, 0.1
-#: Document frequencies are counted in so many hashed buckets, a table of fixed size (2 MB); shingles of a bucket share their count.
-DF_BITS, DF_PARTS = 18, 16
+#: Share of the documents up to which a shingle counts as rare (idf 1); one that all have has idf 0. It is a share, so idf does not change with the size of the corpus.
+RARE = 1 / 128
+#: Document frequencies are counted in so many hashed buckets, a table of fixed size (2 MB). A bucket's mean load, a 500th of the documents at 500 shingles each, is taken off its count, so what
+#: shingles of a bucket add to each other's frequency stays below RARE.
+DF_BITS = 18
 #: Draws are read from tables of so many entries by seeds of their own; a shingle's full hash decides between equal draws.
 TABLE_BITS = 16
-#: Four bits of each draw: texts at the threshold draw 69 % alike at least (in a group of nearly all texts, 80 % in a small one), and then differ in 19 draws with a deviation of 3.6; pairs that
-#: differ in more than this, four deviations above, are not alike.
-SKETCH_WORDS, MOST_DIFFERENT = 4, 33
+#: Four bits of each draw. Texts at the threshold differ in 12 of them with a deviation of 3.1, so they differ in more than this in one of some 10,000,000 cases (bands miss far more, see README);
+#: such pairs are not compared.
+SKETCH_WORDS, MOST_DIFFERENT = 4, 30
+#: What a band's leader leaves apart is listed pair by pair in bands of up to so many texts, so that a text is in so many pairs of a band at most; in larger ones, pairs are never rows but cells of
+#: blocks. Both compare the same: all pairs of different classes whose sketches are near enough.
+SMALL_BAND = 32
+#: Sketches of a block of a large band; text bytes of a block of alike texts; shingles of a block multiplied at a time.
+SKETCHES, BLOCK_BYTES, COLUMNS = 1024, 1_000_000, 4096
 #: Nodes are hashed to so many places to tell which texts are wanted, so that set has a fixed size (8 MB).
 PLACES = 1 << 20
 #: Shingles drawn from at a time; text bytes of which shingles are in memory.
 CHUNK, TEXT_BYTES = 32_768, 2_000_000
-#: Texts of a band that leaders leave apart are held against each other pair by pair in bands of so many texts, in larger ones by blocks of a pool of alike texts.
-SMALL_BAND, BLOCK, COLUMNS = 32, 256, 4096
-#: Sketches of a large band are held against each other in blocks of so many.
-SKETCHES = 1024
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,14 +86,14 @@ def _draws() -> tuple[np.ndarray, ...]:
     return r.astype(f), (1 / r).astype(f), np.log(c).astype(f), beta.astype(f), multiply, bands
 
 
-def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray, share: float) -> np.ndarray:
-    return ((1 + np.log(tf)) * (1 + share * idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)])).astype(np.float32)
+def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return ((1 + np.log(tf)) * (1 + idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)])).astype(np.float32)
 
 
 def idf_table(df: np.ndarray, n_docs: int) -> np.ndarray:
-    """idf by bucket, from 0 (in every text) to 1 (in none)."""
-    top = np.log1p(max(n_docs, 1))
-    return np.clip((top - np.log1p(df)) / top, 0, 1).astype(np.float32)
+    """idf by bucket, from 0 (in every document) to 1 (in a share of RARE or less)."""
+    share = np.maximum(df - df.mean(), 0) / max(n_docs, 1)
+    return np.clip(np.log(np.maximum(share, RARE)) / np.log(RARE), 0, 1).astype(np.float32)
 
 
 def samples(h: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -143,34 +146,20 @@ def _signatures(doc: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
 
 
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """(documents by bucket, documents), counted over every row. Tasks send tables of fixed size, added up part by part as they arrive."""
+    """(documents by bucket, documents), counted over every row."""
+    size = 1 << DF_BITS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = np.zeros(1 << DF_BITS, np.int64), 0
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        table = np.zeros(size + TABLE_PARTS, np.int64)
         for batch in batches:
             for part in slices(batch, most=TEXT_BYTES):
                 _, h, _ = shingles(part.column("text"))
-                table += np.bincount((h >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS)
-                n += part.num_rows
-        if n:
-            yield pa.RecordBatch.from_pydict({"part": list(range(DF_PARTS)), "n": [n] + [0] * (DF_PARTS - 1), "counts": [x.tobytes() for x in np.split(table.astype("<u4" if n < 1 << 31 else "<u8"), DF_PARTS)], "wide": [n >= 1 << 31] * DF_PARTS})
+                table[:size] += np.bincount((h >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=size)
+                table[size] += part.num_rows
+        return table if table[size] else None
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = sums.setdefault(row["part"], [0, np.zeros((1 << DF_BITS) // DF_PARTS, np.int64)])
-                s[0] += row["n"]
-                s[1] += np.frombuffer(row["counts"], "<u8" if row["wide"] else "<u4").astype(np.int64)
-        if sums:
-            yield pa.RecordBatch.from_pydict({"part": list(sums), "n": [s[0] for s in sums.values()], "counts": [s[1].tobytes() for s in sums.values()]})
-
-    counted = rows.select("text").mapInArrow(count, "part long, n long, counts binary, wide boolean")
-    tables = counted.repartition(DF_PARTS, "part").mapInArrow(add, "part long, n long, counts binary").collect()
-    df = np.zeros((DF_PARTS, (1 << DF_BITS) // DF_PARTS), np.int64)
-    for part, _, counts in tables:
-        df[part] = np.frombuffer(counts, "<i8")
-    return df.ravel(), sum(t[1] for t in tables)
+    table = table_sum(rows.select("text"), size + TABLE_PARTS, count)
+    return table[:size], int(table[size])
 
 
 def differences(a: str, b: str) -> Column:
@@ -184,9 +173,10 @@ def differences(a: str, b: str) -> Column:
     return total
 
 
-def text_node(text: Column) -> Column:
-    """A number for each distinct text."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """Two independent hashes (h, g) that stand for a text; null as the empty text."""
+    whole = F.coalesce(text, F.lit(""))
+    return F.xxhash64(whole).alias("h"), F.xxhash64(F.lit(SHINGLE), whole).alias("g")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -199,29 +189,32 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - both)
 
 
-def _texts(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """node, text of the wanted nodes. Most texts are not wanted: those whose place is free are left where they are."""
-    wanted = wanted.distinct().join(nodes.select("node", "first_doc"), "node")
-    place = F.pmod("node", F.lit(PLACES)).alias("place")
+def _texts(ends: DataFrame, nodes: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
+    """node, text of the nodes in ends. Most texts are not wanted: those whose place is free are left where they are."""
+    wanted = checkpointed(ends.distinct().join(nodes.select("node", "h", "g", "first_doc"), "node"))
+    place = F.pmod("h", F.lit(PLACES)).alias("place")
     near = rows.withColumn("place", place).join(F.broadcast(wanted.select(place).distinct()), "place", "left_semi")
-    found = near.join(wanted.select(F.col("node").alias("want"), "first_doc"), near.doc_id.eqNullSafe(F.col("first_doc")) & (near.node == F.col("want")))
-    return found.select("node", "text").dropDuplicates(["node"])
+    asked = wanted.select("node", F.col("h").alias("of_h"), F.col("g").alias("of_g"), "first_doc")
+    found = near.join(asked, near.doc_id.eqNullSafe(F.col("first_doc")) & (near.h == F.col("of_h")) & (near.g == F.col("of_g")))
+    # A plain table, so that Spark can split what is joined with it
+    return staged(found.select("node", "text").dropDuplicates(["node"]), "texts", folder)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshold: float, folder: str) -> DataFrame:
     """a, b, alike of pairs (a, b) of nodes. b's are the fewer, so they are read last and kept while they repeat."""
-    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), nodes, rows)
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, rows, folder)
+    side = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for part in slices(batch, "text_a", 2_000_000):
+            for part in slices(batch, "text_a", TEXT_BYTES):
                 a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
                 new = {x: i for i, x in enumerate(b) if x not in held}
                 both = pa.concat_arrays([part.column("text_a"), part.column("text_b").take(pa.array(list(new.values()), pa.int64()))])
                 doc, h, tf = shingles(both)
-                w = weights(h, tf, idf.value, IDF_SHARE)
+                w = weights(h, tf, idf.value)
                 at = np.searchsorted(doc, np.arange(len(both) + 1))
                 of = lambda i: (h[at[i] : at[i + 1]], w[at[i] : at[i + 1]])
                 fresh = {x: of(len(a) + i) for i, x in enumerate(new)}
@@ -239,8 +232,8 @@ def block_links(texts: pa.Array, other: pa.Array, labels: np.ndarray, other_labe
     """
     n = len(texts)
     doc, h, tf = shingles(pa.concat_arrays([texts.cast(pa.large_string()), other.cast(pa.large_string())]))
-    unit = weights(h, np.ones(len(h)), idf, IDF_SHARE).astype(np.float64)
-    total = np.bincount(doc, weights=weights(h, tf, idf, IDF_SHARE), minlength=n + len(other))
+    unit = weights(h, np.ones(len(h)), idf).astype(np.float64)
+    total = np.bincount(doc, weights=weights(h, tf, idf), minlength=n + len(other))
     level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
     adds = np.repeat(unit, tf) * np.where(level == 0, 1.0, np.log1p(level) - np.log(np.maximum(level, 1)))
     with np.errstate(over="ignore"):
@@ -267,11 +260,12 @@ def block_links(texts: pa.Array, other: pa.Array, labels: np.ndarray, other_labe
     return i[one], j[one]
 
 
-def _dealt(open_rows: DataFrame, group: str, size: int) -> DataFrame:
-    """Rows (group, label and others) of groups of more than one class, with the group's largest class (core) and the columns and lines of blocks it takes to hold those outside the core against all."""
-    sizes = open_rows.groupBy(group, "label").agg(F.count("*").alias("n")).groupBy(group).agg(F.max(F.struct("n", "label")).alias("core"), F.sum("n").alias("all"))
-    plan = sizes.filter(F.col("all") > F.col("core.n")).select(group, F.col("core.label").alias("core"), F.ceil(F.col("all") / size).alias("columns"), F.ceil((F.col("all") - F.col("core.n")) / size).alias("lines"))
-    return checkpointed(open_rows.join(plan, group))
+def _dealt(open_rows: DataFrame, group: str, space: int) -> DataFrame:
+    """Rows (group, label, size and others) of groups of more than one class, with the group's largest class (core) and the columns and lines of blocks, each of about `space` sizes, that it takes to hold those outside the core against all."""
+    sizes = open_rows.groupBy(group, "label").agg(F.sum("size").alias("n")).groupBy(group).agg(F.max(F.struct("n", "label")).alias("core"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / F.lit(space)).cast("long")
+    plan = sizes.filter("all > core.n").select(group, F.col("core.label").alias("core"), blocks(F.col("all")).alias("columns"), blocks(F.col("all") - F.col("core.n")).alias("lines"))
+    return checkpointed(open_rows.join(checkpointed(plan), group))
 
 
 def _sent(placed: DataFrame, group: str, *others: str) -> DataFrame:
@@ -310,7 +304,7 @@ def near_labels(a: np.ndarray, b: np.ndarray, labels: np.ndarray, other_labels:
 
 
 def _near_classes(open_rows: DataFrame) -> DataFrame:
-    """a, b: classes that texts of one large band (band, node, label, a0 to a3) connect, as their sketches allow that they are alike. No text need be near a leader for that: those outside the band's largest class are held against all of the band."""
+    """a, b: classes that texts of one large band (band, node, label, a0 to a3) connect, as their sketches allow that they are alike. Those outside the band's largest class are held against all of the band."""
     words, most = [f"a{i}" for i in range(SKETCH_WORDS)], MOST_DIFFERENT
 
     def compare(table: pa.Table) -> pa.Table:
@@ -320,22 +314,16 @@ def _near_classes(open_rows: DataFrame) -> DataFrame:
         x, y = near_labels(bits(a), bits(b), a["label"].to_numpy(), b["label"].to_numpy(), most)
         return pa.table({"a": x, "b": y}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    sent = _sent(_dealt(open_rows, "band", SKETCHES), "band", *words)
+    sent = _sent(_dealt(open_rows.withColumn("size", F.lit(1).cast("long")), "band", SKETCHES), "band", *words)
     return sent.groupBy("band", "line", "column").applyInArrow(compare, "a long, b long").filter("a <> b").distinct()
 
 
-def _pool_links(open_rows: DataFrame, checked: DataFrame, labels: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshold: float) -> DataFrame:
-    """a, b: links between classes of one pool (classes that texts of a large band connect by their sketches, or compared pairs that were not alike). Those outside the pool's largest class are held against all of the pool, block by block."""
-    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"of_{name}"))
-    named = checkpointed(open_rows.select("node", "label").distinct())
-    # Classes, not nodes, are what pools connect, so a class of thousands of links is one end of an edge
-    between = checked.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a <> b").distinct()
-    there = named.select("label").distinct()
-    between = between.join(there.withColumnRenamed("label", "a"), "a", "left_semi").join(there.withColumnRenamed("label", "b"), "b", "left_semi")
-    between = between.unionByName(_near_classes(open_rows))
-    pools = named.join(components(between).select(F.col("node").alias("label"), F.col("label").alias("pool")), "label")
-    placed = _dealt(pools, "pool", BLOCK)
-    sent = _sent(placed, "pool").join(_texts(placed.select("node"), nodes, rows), "node")
+def _pool_links(open_rows: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshold: float, folder: str) -> DataFrame:
+    """a, b: links between classes of one pool (classes that texts of large bands connect by their sketches). Those outside the pool's largest class are held against all of the pool, block by block."""
+    named = checkpointed(open_rows.select("node", "label").distinct().join(nodes.select("node", "size"), "node"))
+    pools = checkpointed(components(_near_classes(open_rows)).select(F.col("node").alias("label"), F.col("label").alias("pool")))
+    placed = _dealt(named.join(pools, "label"), "pool", BLOCK_BYTES)
+    sent = _sent(placed, "pool").join(_texts(placed.select("node"), nodes, rows, folder), "node")
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table["asks"].combine_chunks()
@@ -347,62 +335,88 @@ def _pool_links(open_rows: DataFrame, checked: DataFrame, labels: DataFrame, nod
     return sent.groupBy("pool", "line", "column").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, node (its text), class_node (smallest node of the class), class_id (smallest doc_id of it), class_docs: one row for each row of docs.
-
-    Texts of at least `threshold` weighted Jaccard similarity are linked, links make classes; equal texts are of one class, and so are texts that differ in white space. Texts without words, null
-    among them, are alike only if equal. Null doc_ids: class_id is the smallest that is not null. Empty table: empty result.
-    """
-    spark: SparkSession = docs.sparkSession
-    small_batches(spark)
-    text = column_of(docs, "text", "string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_node(text).alias("node"))
-    df, n_docs = document_frequencies(rows)
-    idf = spark.sparkContext.broadcast(idf_table(df, n_docs))
-    give_back()
+def _signed(rows: DataFrame, idf, folder: str) -> DataFrame:
+    """A row for each distinct text: node (its number), h, g, size (bytes), first_doc (smallest doc_id that is not null), n (rows), its sketch and the keys of its bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=TEXT_BYTES):
                 doc, h, tf = shingles(part.column("text"))
-                have, keys, sketch = _signatures(doc, h, weights(h, tf, idf.value, DRAW_IDF))
+                have, keys, sketch = _signatures(doc, h, weights(h, tf, idf.value))
                 bands = np.zeros(part.num_rows + 1, np.int32)
                 bands[have + 1] = BANDS
                 words = np.zeros((part.num_rows, SKETCH_WORDS), np.int64)
                 words[have] = sketch
-                columns = {"doc_id": part.column("doc_id"), "node": part.column("node")} | {f"s{i}": words[:, i] for i in range(SKETCH_WORDS)}
-                yield pa.RecordBatch.from_pydict(columns | {"bands": pa.ListArray.from_arrays(pa.array(np.cumsum(bands, dtype=np.int32)), pa.array(keys.ravel()))})
+                columns = {c: part.column(c) for c in ("doc_id", "h", "g", "size")} | {f"s{i}": words[:, i] for i in range(SKETCH_WORDS)}
+                keyed = pa.ListArray.from_arrays(pa.array(np.cumsum(bands, dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_pydict(columns | {"bands": keyed})
 
     drawn = [f"s{i}" for i in range(SKETCH_WORDS)]
-    signed = rows.mapInArrow(sign, f"doc_id long, node long, {', '.join(f'{c} long' for c in drawn)}, bands array<long>")
-    nodes = checkpointed(signed.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in drawn], F.first("bands").alias("bands")))
-    sketch = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}{i}") for i, c in enumerate(drawn)])
+    signed = rows.mapInArrow(sign, f"doc_id long, h long, g long, size long, {', '.join(f'{c} long' for c in drawn)}, bands array<long>")
+    each = signed.groupBy("h", "g").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", *drawn, "bands")])
+    return staged(each.withColumn("node", F.monotonically_increasing_id()), "nodes", folder)
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after further links (a, b); a node without a label is a class of its own."""
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"of_{name}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    new = components(between)
+    to = new.select(F.col("node").alias("from"), F.col("label").alias("to"))
+    moved = labels.join(to, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label"))
+    return checkpointed(moved.unionByName(new.join(labels.select("node"), "node", "left_anti")))
+
+
+def _open(members: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
+    """band, node, label, in_band of the bands whose members (band, node) are of more than one class."""
+    placed = staged(members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "placed", folder)
+    span = placed.groupBy("band").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.count("*").alias("in_band"))
+    return staged(placed.join(checkpointed(span.filter("one <> other").select("band", "in_band")), "band"), "open", folder)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, h, g (hashes of its text), class_node (a number of the class), class_id (smallest doc_id of it), class_docs: one row for each row of docs.
+
+    Texts of at least `threshold` weighted Jaccard similarity are linked, links make classes; equal texts (rows that repeat) are of one class, and so are texts that differ in white space. Texts
+    without words, null among them, are alike only if equal. Null doc_ids: class_id is the smallest that is not null. A very long text counts as a whole. Empty table: empty result.
+
+    Two texts that share a band are compared unless their sketches differ in too many draws or other links have made them one class. A band's leader, its smallest node, is compared with all of it;
+    of what is then still of different classes, each text outside the band's largest class is compared with all others, as any two of different classes have one of those.
+    """
+    spark: SparkSession = docs.sparkSession
+    small_batches(spark)
+    text = column_of(docs, "text", "string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *text_keys(text), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"))
+    df, n_docs = document_frequencies(rows)
+    idf = spark.sparkContext.broadcast(idf_table(df, n_docs))
+    give_back()
+    folder = stage_path(spark, "near")
+    nodes = _signed(rows, idf, folder)
+    sketch = lambda name: nodes.select(F.col("node").alias(name), *[F.col(f"s{i}").alias(f"{name}{i}") for i in range(SKETCH_WORDS)])
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(sketch("a"), "a").join(sketch("b"), "b").filter(differences("a", "b") <= MOST_DIFFERENT).select("a", "b")
+        return checkpointed(_verified(checkpointed(near), nodes, rows, idf, threshold, folder))
+
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    members = checkpointed(banded.join(shared, "band"))
-
-    # Each band's texts are held against its first and its last one
-    met = members.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").distinct()
-    near = met.join(sketch("a"), "a").join(sketch("b"), "b").filter(differences("a", "b") <= MOST_DIFFERENT).select("a", "b")
-    checked = checkpointed(_verified(near, nodes, rows, idf, threshold))
-    links, known = checked.filter("alike").select("a", "b"), checked.filter("not alike").select("a", "b")
-    known = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = components(links)
-
-    # What the leaders did not decide: members of one band that are still in different classes
-    placed = members.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = placed.groupBy("band").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.count("*").alias("in_band")).filter("one <> other").select("band", "in_band")
-    open_ = checkpointed(placed.join(split, "band").select("band", "in_band", F.col("node").alias("a"), F.col("label").alias("label_a")))
-    small = open_.filter(F.col("in_band") <= SMALL_BAND).drop("in_band").join(sketch("a"), "a")
-    names = {"a": "b", "label_a": "label_b"} | {f"a{i}": f"b{i}" for i in range(SKETCH_WORDS)}
-    left = small.join(small.withColumnsRenamed(names), "band").filter((F.col("label_a") < F.col("label_b")) & (differences("a", "b") <= MOST_DIFFERENT))
-    pairs = left.select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
-    more = _verified(pairs, nodes, rows, idf, threshold).filter("alike").select("a", "b")
-    large = open_.filter(F.col("in_band") > SMALL_BAND).drop("in_band").join(sketch("a"), "a").withColumnsRenamed({"a": "node", "label_a": "label"})
-    more = checkpointed(more.unionByName(_pool_links(large, checked.select("a", "b"), labels, nodes, rows, idf, threshold)))
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
-    classed = checkpointed(nodes.select("node", "first_doc", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    named = classed.groupBy("label").agg(F.min("first_doc").alias("class_id"), F.sum("n").alias("class_docs"))
-    by_node = classed.select("node", "label").join(named, "label").select("node", F.col("label").alias("class_node"), "class_id", "class_docs")
-    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "node", "class_node", "class_id", "class_docs")
+    shared = checkpointed(banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter("size > 1"))
+    members = staged(banded.join(shared, "band"), "members", folder)
+    checked = compared(members.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    labels = components(checked.filter("alike").select("a", "b"))
+    drawn = {f"a{i}": f"b{i}" for i in range(SKETCH_WORDS)}
+    open_ = _open(members.filter("size > 2 AND node <> leader").select("band", "node"), labels, folder)
+    placed = open_.withColumnRenamed("node", "a").join(sketch("a"), "a")
+    small = placed.filter(F.col("in_band") <= SMALL_BAND).withColumnRenamed("label", "label_a").drop("in_band")
+    other = small.withColumnsRenamed({"a": "b", "label_a": "label_b"} | drawn)
+    met = small.join(other, "band").filter((F.col("label_a") < F.col("label_b")) & (differences("a", "b") <= MOST_DIFFERENT))
+    pairs = checkpointed(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+    more = _verified(pairs, nodes, rows, idf, threshold, folder).filter("alike").select("a", "b")
+    large = staged(placed.filter(F.col("in_band") > SMALL_BAND).withColumnRenamed("a", "node").drop("in_band"), "large", folder)
+    more = checkpointed(more.unionByName(_pool_links(large, nodes, rows, idf, threshold, folder)))
+    labels = _merged(labels, more)
+    classed = staged(nodes.select("node", "h", "g", "first_doc", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "classed", folder)
+    named = checkpointed(classed.groupBy("label").agg(F.min("first_doc").alias("class_id"), F.sum("n").alias("class_docs")))
+    by_text = staged(classed.join(named, "label").select("h", "g", F.col("label").alias("class_node"), "class_id", "class_docs"), "near-classes")
+    idf.destroy()
+    removed(spark, folder)
+    return rows.select("doc_id", "h", "g").join(by_text, ["h", "g"]).select("doc_id", "h", "g", "class_node", "class_id", "class_docs")
