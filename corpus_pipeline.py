@@ -37,12 +37,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (operator 3) the document with the smallest doc_id (null: the last); of equal rows, one."""
+    """Of each class of near-duplicates (operator 3) the document with the smallest doc_id (null: the last); of rows alike in doc_id and text, the one whose columns have the smallest hash."""
     classes = near_dedup.near_duplicates(docs)
-    first = classes.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("row"))
-    keep = first.select(F.col("row.doc_id").alias(f"{OWN}doc"), F.col("row.node").alias(f"{OWN}text"))
-    joined = docs.select("*", near_dedup.text_node(F.col("text")).alias(f"{OWN}node")).join(keep, F.col("doc_id").eqNullSafe(F.col(f"{OWN}doc")) & (F.col(f"{OWN}node") == F.col(f"{OWN}text")))
-    return joined.dropDuplicates([f"{OWN}doc", f"{OWN}text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    first = classes.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "g")).alias("row"))
+    keep = first.select(*[F.col(f"row.{c}").alias(f"{OWN}{c}") for c in ("doc_id", "h", "g")])
+    h, g = near_dedup.text_keys(F.col("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{OWN}doc_id")) & (F.col(f"{OWN}of_h") == F.col(f"{OWN}h")) & (F.col(f"{OWN}of_g") == F.col(f"{OWN}g"))
+    joined = docs.select("*", h.alias(f"{OWN}of_h"), g.alias(f"{OWN}of_g")).join(keep, same)
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    one = joined.groupBy(f"{OWN}doc_id", f"{OWN}h", f"{OWN}g").agg(F.min_by(F.struct(*whole), F.xxhash64(*whole)).alias(f"{OWN}row"))
+    return one.select(*[F.col(f"{OWN}row.`{c}`") for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
