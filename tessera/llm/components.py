@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         if rest.limit(1).count() == 0:
             return checkpointed(labels)
         # Edges point from the smaller to the larger node: a larger one leaves, a smaller one may
-        hooks = rest.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to"))
+        # A plain table: joined with itself by a node that very many hook into, it can be split
+        hooks = checkpointed(rest.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to")))
         for _ in range(2):
             further = hooks.select(F.col("from").alias("via"), F.col("to").alias("end"))
             hooks = hooks.join(further, F.col("to") == F.col("via"), "left").select("from", F.coalesce("end", "to").alias("to"))

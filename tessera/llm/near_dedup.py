@@ -41,7 +41,7 @@ SKETCH_WORDS, MOST_DIFFERENT = 4, 30
 #: blocks. Both compare the same: all pairs of different classes whose sketches are near enough.
 SMALL_BAND = 32
 #: Sketches of a block of a large band; text bytes of a block of alike texts; shingles of a block multiplied at a time.
-SKETCHES, BLOCK_BYTES, COLUMNS = 1024, 1_000_000, 4096
+SKETCHES, BLOCK_BYTES, COLUMNS = 256, 250_000, 4096
 #: Nodes are hashed to so many places to tell which texts are wanted, so that set has a fixed size (8 MB).
 PLACES = 1 << 20
 #: Shingles drawn from at a time; text bytes of which shingles are in memory.
