@@ -51,7 +51,8 @@ def drop_boilerplate(docs: DataFrame, sites: int = MIN_SITES, words: int = MIN_W
     """row (the row of docs as a struct), text (what stays), n_lines, n_removed: one row for each row of docs.
 
     Lines are what stands between line feeds, compared as they are. A line is boilerplate at `sites` distinct sources or more (null counts as one source) and stays in the document
-    with the smallest doc_id that holds it, so a text copied to many sites is not lost. Rows that share a doc_id are cut by their own texts. Null text: stays null, no lines. Empty table: empty result.
+    with the smallest doc_id that holds it, so a text copied to many sites is not lost. Rows that share a doc_id are cut by their own texts. Null text: stays null, no lines. An empty text has one empty line.
+    Rows that repeat are cut alike; a very long text is cut in linear time. The row's own columns stay in the struct, so no name clashes. Empty table: empty result.
     """
     text = column_of(docs, "text", "string")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), source_key(column_of(docs, "source", "string")).alias("site"))

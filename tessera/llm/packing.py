@@ -57,7 +57,8 @@ PIECES = "uid long, doc_id long, start long, length long, doc_tokens long, class
 def write_pieces(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all documents, with their ids (little-endian, 4 bytes each), written as Parquet to path and read back.
 
-    uid numbers the pieces. Null text: the end id alone. Rows that share a doc_id are pieces of their own. Further columns are left out.
+    uid numbers the pieces. Null or empty text: the end id alone. Rows that share a doc_id, or repeat, are pieces of their own. A very long text is cut into as many pieces as it fills. Further columns
+    are left out, whatever their names. Empty table: no pieces.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

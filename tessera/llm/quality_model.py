@@ -189,7 +189,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> QualityModel:
 
 
 def scored(docs: DataFrame, model, *carried: Column, name: str = "score") -> DataFrame:
-    """The carried columns of docs with the score, by any model with scores(texts). Null or empty text: the score of a text without words."""
+    """The carried columns of docs with the score, by any model with scores(texts): one row for each row of docs.
+
+    Null or empty text: the score of a text without words. A very long text is scored whole; rows that repeat have the same score each. Only the carried columns and text are read, whatever the names
+    of others. Empty table: empty result.
+    """
     small_batches(docs.sparkSession)
     give_back()
     sent = docs.sparkSession.sparkContext.broadcast(model)

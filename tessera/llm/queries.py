@@ -82,7 +82,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per row of documents: n_lines, n_removed and the md5 of what stays."""
+    """A row per row of documents: n_lines, n_removed and the md5 of what stays. Lines of fewer than three words (line_dedup.MIN_WORDS) are never boilerplate."""
     from tessera.llm.line_dedup import drop_boilerplate
 
     out = drop_boilerplate(_table(spark, sf_dir, "documents"))
