@@ -649,6 +649,64 @@ def test_model_of_texts_that_stay_is_that_of_texts_here(spark):
     assert 0 < none.scores(pa.array(["x"]))[0] < 1
 
 
+SOME = ["", "One two\ttwo,  ONE-and three... three", "x" * 300 + " x", "ß É日本 don't 12,5% a.b@c.de", "\x02a\x03 b", " \n ", "the the the cat sat on the the mat"]
+
+
+def test_toxicity_scores_by_plain_python():
+    rng = np.random.default_rng(1)
+    model = toxicity.ToxicityModel(rng.normal(0, 0.3, 1 << toxicity.FEATURE_BITS), -0.4)
+    mask = (1 << 64) - 1
+
+    def feature(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & mask
+        return (((h ^ (h >> 29)) * 0xD6E8FEB86659FD93) & mask) >> (64 - toxicity.FEATURE_BITS)
+
+    want = []
+    for text in SOME:
+        z = model.bias
+        for word in set(words(text)):
+            marked = f"\x02{word.lower()}\x03"
+            z += sum(float(model.weights[feature(marked[i : i + n])]) for n in toxicity.GRAMS for i in range(len(marked) - n + 1))
+        want.append(1 / (1 + math.exp(-min(40, max(-40, z)))))
+    assert model.scores(pa.array(SOME)) == pytest.approx(want, abs=1e-5)
+
+
+def test_quality_scores_by_plain_python():
+    from xxhash import xxh3_64_intdigest
+
+    rng = np.random.default_rng(2)
+    d = quality_model.DIMENSIONS
+    at, sign = quality_model._index_vectors()
+    table = np.zeros((1 << quality_model.BUCKET_BITS) * d)
+    quality_model._add_contexts(table, *quality_model.buckets(pa.array(SOME)), at, sign)
+    contexts = defaultdict(lambda: np.zeros(d))
+    stretches = [[x for w in words(t) for x in re.findall(r"[^\W_]+|[\W_]+", w)] for t in SOME]
+    codes = [[xxh3_64_intdigest(x) >> (64 - quality_model.BUCKET_BITS) for x in own] for own in stretches]
+    for own in codes:
+        for i, x in enumerate(own):
+            for j in range(max(0, i - quality_model.WINDOW), min(len(own), i + quality_model.WINDOW + 1)):
+                if i != j:
+                    np.add.at(contexts[x], at[own[j]], sign[own[j]])
+    assert np.array_equal(table.reshape(-1, d), np.stack([contexts[i] if i in contexts else np.zeros(d) for i in range(1 << quality_model.BUCKET_BITS)]))
+    vectors = quality_model.unit_vectors(table.reshape(-1, d))
+    x = []
+    for own in codes:
+        if not own:
+            x.append(np.zeros(quality_model.WIDTH))
+            continue
+        v = vectors[own].astype(float)
+        again = [sum(own[i] == own[i + k] for i in range(len(own) - k)) / len(own) for k in (1, 2)]
+        x.append(np.concatenate([v.mean(axis=0), v.std(axis=0), [len(set(own)) / math.sqrt(len(own)), math.log1p(len(own)), *again]]))
+    x = np.array(x)
+    assert quality_model.pooled(pa.array(SOME), vectors) == pytest.approx(x, abs=2e-3)
+    layers = (rng.normal(0, 0.2, (quality_model.WIDTH, 3)), rng.normal(0, 1, 3), rng.normal(0, 1, 3), 0.3)
+    model = quality_model.QualityModel(vectors, np.full(quality_model.WIDTH, 0.1), np.full(quality_model.WIDTH, 0.7), layers, 1.7)
+    z = (np.tanh((x - 0.1) / 0.7 @ layers[0] + layers[1]) @ layers[2] + layers[3]) / 1.7
+    assert model.scores(pa.array(SOME)) == pytest.approx(1 / (1 + np.exp(-z)), abs=2e-3)
+
+
 def test_quality_on_held_out_texts():
     texts, y = toy(300, 3)
     bad = pa.array([t if g == 0 else re.sub(" ", "### ", t) for t, g in zip(texts.to_pylist(), y)])
