@@ -130,10 +130,16 @@ def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     local = F.row_number().over(Window.partitionBy("class", "cell").orderBy("uid")) - 1
     ranked = pieces.withColumn("cell", cell).withColumn("local", local).join(base, (k == F.col("of_class")) & (F.col("cell") == F.col("of_cell")))
     number = F.col("base") + F.col("local")
-    ranked = checkpointed(ranked.withColumn("bin", F.floor(number / k)).withColumn("whole", F.floor(number / k) < F.floor(F.col("in_class") / k)).drop("cell", "local", "of_class", "of_cell", "base", "in_class"))
+    placed = ranked.withColumn("bin", F.floor(number / k)).withColumn("place", F.pmod(number, k)).withColumn("whole", F.floor(number / k) < F.floor(F.col("in_class") / k))
+    ranked = checkpointed(placed.drop("cell", "local", "of_class", "of_cell", "base", "in_class"))
+    numbered = ranked.filter("whole").withColumn("sequence_id", k.cast("long") * F.lit(1 << 40) + F.col("bin"))
+    # Pieces of the higher classes (of 64 and more, for 4096) are all of one length, so their places tell their offsets; sequences of the others hold few pieces
+    one_length = F.floor(F.lit(capacity) / k) - F.floor(F.lit(capacity) / (k + 1)) == 1
     before = Window.partitionBy("class", "bin").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
-    full = ranked.filter("whole").withColumn("sequence_id", k.cast("long") * F.lit(1 << 40) + F.col("bin")).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    even = numbered.filter(one_length).withColumn("offset", (F.col("place") * F.col("length")).cast("long"))
+    mixed = numbered.filter(~one_length).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
+    full = even.unionByName(mixed).drop("place")
     rest = best_fit([tuple(r) for r in ranked.filter("not whole").select("length", "uid").collect()], capacity)
     placed = spark.createDataFrame(rest, "of_uid long, sequence_id long, offset long")
-    left = ranked.filter("not whole").join(F.broadcast(placed), F.col("uid") == F.col("of_uid")).drop("of_uid")
+    left = ranked.filter("not whole").drop("place").join(F.broadcast(placed), F.col("uid") == F.col("of_uid")).drop("of_uid")
     return full.unionByName(left).drop("uid", "class", "bin", "whole")
