@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Has the driver look for tables that nothing refers to any more, so that Spark deletes their shuffles; those of a table since checkpointed would stay otherwise."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship_code(spark) -> None:
     """Sends this package to the executors, once a session, so that Python functions find it there whatever their path."""
     import io

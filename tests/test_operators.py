@@ -30,6 +30,22 @@ def test_set_pairs_against_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_set_pairs_over_many_buckets(spark, monkeypatch, kind):
+    """Long sets, variants of a few, in buckets of seven: pairs lie within a bucket and across; sets that merely share elements are not carried along."""
+    monkeypatch.setattr(similarity, "BUCKET_SETS", 7)
+    rng = random.Random(5)
+    base = [rng.sample(range(4000), rng.randrange(5, 300)) for _ in range(12)]
+    sets = [[x for x in rng.choice(base) if rng.random() > 0.08] + rng.sample(range(4000), rng.randrange(0, 9)) for _ in range(150)]
+    named = {(str(i) if kind == "string" else i): frozenset(s) for i, s in enumerate(sets) if s}
+    classes = similarity.set_classes(frame(spark, [(i, list(s)) for i, s in named.items()], f"id {kind}, s array<int>"), "id", "s")
+    assert all((r.s is not None) == (r.id == r.rep) for r in classes.collect())
+    out = similarity.set_pairs(classes, 0.8)
+    want = {(a, b): len(x & y) / len(x | y) for (a, x), (b, y) in itertools.product(named.items(), named.items()) if a < b and x != y and len(x & y) / len(x | y) >= 0.8}
+    assert len(want) > 100 and {(r.a, r.b): r.similarity for r in out.collect()} == pytest.approx(want)
+    assert dict(out.dtypes)["a"] == kind
+
+
 def test_copies_go_with_their_representative(spark):
     groups = frame(spark, [(1, 1, 1.0), (3, 1, 0.9)], "member long, leader long, similarity double")
     classes = frame(spark, [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 6)], "id long, rep long")
