@@ -68,6 +68,28 @@ def test_sparse_pairs_against_brute_force(spark, floor):
     assert want and got == pytest.approx(want)
 
 
+def test_lsh_top_k_over_many_blocks(spark, monkeypatch):
+    """All rows near, then those within the bits; blocks of seven rows, rows of another length and no vector."""
+    import numpy as np
+
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (60, 5)).astype(float)
+    x[7] = 0
+    rows = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)] + [(90, [1.0, 2.0]), (91, None)], "vec_id long, embedding array<double>")
+    unit = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) > 0, np.linalg.norm(x, axis=1, keepdims=True), 1)
+    planes = np.random.Generator(np.random.PCG64(1)).normal(size=(2, 6, 5))
+    signs = np.einsum("tbd,nd->ntb", planes, x) > 0
+    for probes in (6, 1):
+        got = {}
+        for r in vector.lsh_top_k(rows.filter("vec_id % 20 = 0"), rows, 4, tables=2, probes=probes).collect():
+            got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, round(r.similarity, 9))
+        for q in (0, 20, 40):
+            near = ((signs[q] != signs).sum(axis=2) <= probes).any(axis=1)
+            want = sorted((-round(float(unit[q] @ unit[i]), 9), i) for i in range(60) if near[i] and round(float(unit[q] @ unit[i]), 9) >= 0)[:4]
+            assert [s for _, (_, s) in sorted(got[q].items())] == [-s for s, _ in want]
+
+
 @pytest.mark.parametrize("same", [None, "label"])
 def test_knn_join_against_brute_force(spark, monkeypatch, same):
     import numpy as np
