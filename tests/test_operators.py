@@ -169,6 +169,14 @@ def test_a_clients_own_rows_stand_beside_those_of_their_id(spark):
     assert sorted(layers.resolved(base, branch, own, "feature").collect()) == [(1, "a"), (1, "new"), (2, "B"), (3, "branch"), (3, "n"), (9, "n")]
 
 
+def test_notifications_of_one_project_are_many_tasks(spark):
+    changes = frame(spark, [(i, "p", i % 7) for i in range(600)] + [(900, "q", 1), (901, None, 1), (902, "p", None)], "id long, project string, author long")
+    told = frame(spark, [("p", i) for i in (1, 2, 2, 30)] + [("q", 1), (None, 2)], "project string, subscriber long")
+    out = layers.notifications(changes, told)
+    assert sorted((r.id, r.project, r.author, r.subscriber) for r in out.collect()) == [(i, "p", i % 7, s) for i in range(600) for s in (1, 2, 30) if s != i % 7]
+    assert out.select(F.spark_partition_id()).distinct().count() > 20
+
+
 def test_empty_layers(spark):
     none = frame(spark, [], "id long, v string")
     assert layers.applied(none, frame(spark, [], "id long, v string, op string")).count() == 0
