@@ -14,6 +14,8 @@ from tessera.functions.similarity import name_similarity
 from tessera.functions.vectors import cosine
 from tessera.operators.vector import knn_join
 
+#: Tasks over which classes of contents are dealt (see renames).
+PARTS = 64
 # Keys in the order they are tried, with the confidence of a match by them.
 CASCADE = (("content_hash", 1.0), ("structural_hash", 0.95), ("signature", 0.85), ("id", 0.7))
 # Type names that many namespaces have.
@@ -81,21 +83,36 @@ def renames(base: DataFrame, target: DataFrame, floor: float = 0.70) -> DataFram
     """base_id, target_id, score, confidence: units (id, type, signature_shape, name, file, start_line, content) renamed but otherwise alike. Type and shape are the join key.
 
     Structural similarity is that of the contents with the unit's own name taken out; place and name add to it, a much different length takes from it.
+
+    Contents that are alike without the name are a class, and classes are compared first. Place and name add 0.1 at most, so a class that is further below the unit's best one cannot hold its best unit and is left out;
+    only units of the others meet. Classes of one type and shape are dealt over PARTS tasks.
     """
-    side = lambda d, p: d.select("type", "signature_shape", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "name", "file", "start_line", "content")])
-    x = side(base, "a").join(side(target, "b"), ["type", "signature_shape"]).filter(F.col("a_name") != F.col("b_name"))
-    plain = lambda p: F.replace(F.col(f"{p}_content"), F.col(f"{p}_name"), F.lit("_"))
-    longest = F.greatest(F.length(plain("a")), F.length(plain("b")), F.lit(1))
-    structure = 1 - F.levenshtein(plain("a"), plain("b")) / longest
+    key = ["type", "signature_shape"]
+    plain = F.replace("content", F.col("name"), F.lit("_"))
+    side = lambda d, p: d.select(*key, plain.alias(f"{p}_plain"), *[F.col(c).alias(f"{p}_{c}") for c in ("id", "name", "file", "start_line")], F.length("content").alias(f"{p}_length"))
+    a, b = side(base, "a"), side(target, "b")
+    classes = lambda d, p: d.groupBy(*key, f"{p}_plain", f"{p}_length").agg(F.min(f"{p}_name").alias(f"{p}_low"), F.max(f"{p}_name").alias(f"{p}_high"))
+    part = F.pmod(F.xxhash64("a_plain", "a_length"), F.lit(PARTS)).cast("int")
+    dealt = classes(a, "a").withColumn("__part", part).repartition(PARTS, *key, "__part")
+    every = classes(b, "b").withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).repartition(PARTS, *key, "__part")
+    longest = F.greatest(F.length("a_plain"), F.length("b_plain"), F.lit(1))
+    ratio = F.least("a_length", "b_length") / F.greatest("a_length", "b_length", F.lit(1))
+    met = dealt.join(every, [*key, "__part"]).withColumn("structure", 1 - F.levenshtein("a_plain", "b_plain") / longest).filter(F.col("structure") >= floor)
+    met = met.withColumn("less", F.when(ratio < 0.7, 0.1).otherwise(0.0)).withColumn("least", F.col("structure") - F.col("less"))
+    # A class counts as a unit's best only if it surely holds one of another name
+    sure = (F.col("b_low") != F.col("b_high")) | (F.col("b_low") < F.col("a_low")) | (F.col("b_high") > F.col("a_high"))
+    best = F.max(F.when(sure, F.least("least", F.lit(1.0)))).over(Window.partitionBy(*key, "__part", "a_plain", "a_length"))
+    near = met.withColumn("best", best).filter(F.col("best").isNull() | (F.col("best") <= 0) | (F.col("least") + 0.1 >= F.col("best") - 1e-9)).select(*key, "a_plain", "a_length", "b_plain", "b_length", "structure", "less")
+    x = near.join(a, [*key, "a_plain", "a_length"]).join(b, [*key, "b_plain", "b_length"]).filter(F.col("a_name") != F.col("b_name"))
     apart = F.abs(F.col("a_start_line") - F.col("b_start_line"))
     file_name = lambda p: F.lower(F.substring_index(F.translate(F.col(f"{p}_file"), "\\", "/"), "/", -1))
     place = F.when(file_name("a") != file_name("b"), 0.0).when(apart <= 5, 1.0).when(apart <= 20, 0.7).when(apart <= 50, 0.3).otherwise(0.0)
-    ratio = F.least(F.length("a_content"), F.length("b_content")) / F.greatest(F.length("a_content"), F.length("b_content"), F.lit(1))
-    raw = structure + 0.05 * place + 0.05 * name_similarity(F.col("a_name"), F.col("b_name")) - F.when(ratio < 0.7, 0.1).otherwise(0.0)
-    x = x.withColumn("structure", structure).filter(F.col("structure") >= floor).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)))
-    best = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))
+    raw = F.col("structure") + 0.05 * place + 0.05 * name_similarity(F.col("a_name"), F.col("b_name")) - F.col("less")
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw))
+    # An aggregate keeps one row a unit and task, where a window would move all
+    one = x.groupBy("a_id").agg(F.min(F.struct((-score).alias("minus"), "b_id")).alias("best")).select("a_id", "best.b_id", (-F.col("best.minus")).alias("score"))
     level = F.when(F.col("score") >= 0.95, "High").when(F.col("score") >= 0.85, "Medium").otherwise("Low")
-    return x.withColumn("n", best).filter("n = 1").select(F.col("a_id").alias("base_id"), F.col("b_id").alias("target_id"), "score", level.alias("confidence"))
+    return one.select(F.col("a_id").alias("base_id"), F.col("b_id").alias("target_id"), "score", level.alias("confidence"))
 
 
 def three_way(base: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

@@ -177,6 +177,44 @@ def test_notifications_of_one_project_are_many_tasks(spark):
     assert out.select(F.spark_partition_id()).distinct().count() > 20
 
 
+def test_renames_compare_classes_of_contents_first(spark, monkeypatch):
+    """Against all pairs: copies of contents, names alike on both sides, lengths far apart, ties. Names are compared for few pairs only."""
+    monkeypatch.setattr(merge, "PARTS", 3)
+    rng = random.Random(4)
+    unit = lambda i, new: (i, rng.choice("MP"), rng.randrange(2), new + rng.choice(["Alpha", "Beta", "Gamma9"]), f"src/f{rng.randrange(3)}.cs", rng.randrange(40))
+    full = lambda u: (*u, f"call {u[3]} with {rng.choice(['11.5', '11.6', '92.75', '7', 'x' * 40, 'x' * 31 + 'y' * 9])}")
+    base, target = [full(unit(i, "")) for i in range(60)], [full(unit(i, rng.choice(["", "New"]))) for i in range(60)]
+    schema = "id long, type string, signature_shape int, name string, file string, start_line int, content string"
+    out = merge.renames(frame(spark, base, schema), frame(spark, target, schema), 0.5)
+
+    def distance(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, line[0] = line[0], i
+            for j, y in enumerate(b, 1):
+                before, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, before + (x != y))
+        return line[-1]
+
+    want = {}
+    for a in base:
+        best = []
+        for b in target:
+            if a[1:3] == b[1:3] and a[3] != b[3]:
+                x, y = a[6].replace(a[3], "_"), b[6].replace(b[3], "_")
+                structure = 1 - distance(x, y) / max(len(x), len(y))
+                apart = abs(a[5] - b[5])
+                place = 0.0 if a[4] != b[4] else 1.0 if apart <= 5 else 0.7 if apart <= 20 else 0.3
+                name = 1 - distance(a[3].lower(), b[3].lower()) / max(len(a[3]), len(b[3]))
+                less = 0.1 if min(len(a[6]), len(b[6])) / max(len(a[6]), len(b[6])) < 0.7 else 0.0
+                if structure >= 0.5:
+                    best.append((-round(min(1.0, max(0.0, structure + 0.05 * place + 0.05 * name - less)), 9), b[0]))
+        if best:
+            want[a[0]] = min(best)[::-1]
+    got = {r.base_id: (r.target_id, -round(r.score, 9)) for r in out.collect()}
+    assert len(want) > 50 and {i: s for i, (_, s) in got.items()} == {i: s for i, (_, s) in want.items()}
+    assert sum(got[i] != w for i, w in want.items()) <= 2  # sums that differ in their last bit
+
+
 def test_empty_layers(spark):
     none = frame(spark, [], "id long, v string")
     assert layers.applied(none, frame(spark, [], "id long, v string, op string")).count() == 0
