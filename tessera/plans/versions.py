@@ -54,7 +54,7 @@ def word_set_members(spark, d) -> DataFrame:
 
 def _clone_groups(spark, d) -> DataFrame:
     classes = _word_classes(spark, d)
-    return similarity.with_copies(similarity.greedy_groups(similarity.set_pairs(classes, 0.8)), classes)
+    return similarity.with_copies(similarity.set_groups(classes, 0.8), classes)
 
 
 @query()

@@ -46,6 +46,30 @@ def test_set_pairs_over_many_buckets(spark, monkeypatch, kind):
     assert dict(out.dtypes)["a"] == kind
 
 
+def test_set_groups_of_near_copies_without_all_their_pairs(spark, monkeypatch):
+    """The groups that one pass in id order makes, in shuffled ids; a group of near copies has some thousands of pairs, of which few are made."""
+    rng, compared = random.Random(3), []
+    base = [f"w{x}" for x in rng.sample(range(900), 60)]
+    sets = [[*base[:at], f"n{i}", *base[at + 1 :]] for i in range(80) for at in [rng.randrange(60)]]
+    for _ in range(30):
+        base = [x if rng.random() > 0.06 else f"w{rng.randrange(900)}" for x in base]
+        sets.append(base)
+    sets = dict(zip(rng.sample(range(500), len(sets)), map(frozenset, sets), strict=True))
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
+    want, taken = {}, set()
+    for a in sorted(sets):
+        if a not in taken:
+            mine = {b: (a, alike[a, b]) for b in sets if b > a and b not in taken and alike[a, b] >= 0.8}
+            taken |= set(mine)
+            want |= mine | ({a: (a, 1.0)} if mine else {})
+    counted = similarity._compared
+    monkeypatch.setattr(similarity, "_compared", lambda *args: compared.append(similarity.checkpointed(counted(*args))) or compared[-1])
+    classes = similarity.checkpointed(similarity.set_classes(frame(spark, [(i, list(s)) for i, s in sets.items()], "id long, s array<string>"), "id", "s"))
+    got = {r.member: (r.leader, r.similarity) for r in similarity.with_copies(similarity.set_groups(classes, 0.8), classes).collect()}
+    assert {m: a for m, (a, _) in got.items()} == {m: a for m, (a, _) in want.items()} and {m: s for m, (_, s) in got.items()} == pytest.approx({m: s for m, (_, s) in want.items()})
+    assert sum(x >= 0.8 for x in alike.values()) > 3000 and sum(x.count() for x in compared) < 1500
+
+
 def test_copies_go_with_their_representative(spark):
     groups = frame(spark, [(1, 1, 1.0), (3, 1, 0.9)], "member long, leader long, similarity double")
     classes = frame(spark, [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 6)], "id long, rep long")
