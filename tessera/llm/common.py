@@ -76,17 +76,34 @@ def table_sum(rows: DataFrame, size: int, tally: Callable[[Iterator[pa.RecordBat
     small_batches(rows.sparkSession)
     kind = "part long, sums binary"
     out = np.zeros((TABLE_PARTS, size // TABLE_PARTS), np.int64)
-    for part, data in rows.mapInArrow(gather, kind).repartition(TABLE_PARTS, "part").mapInArrow(add, kind).collect():
+    for part, data in rows.mapInArrow(tidy(gather), kind).repartition(TABLE_PARTS, "part").mapInArrow(tidy(add), kind).collect():
         out[part] = np.frombuffer(data, "<i8")
     return out.ravel()
 
 
+def trim() -> None:
+    """Returns what allocators have kept of freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if trimmed := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trimmed(0)
+
+
 def give_back() -> None:
     """Returns what this process has freed to the system: after a fit, the allocator would keep it."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    trim()
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """task, whose worker returns what it freed when the batches end. Workers outlive their tasks, so what one's arrays took would else be held beside the JVM's heap through all later stages, those without Python too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            trim()
+
+    return run
 
 
 def let(value: Column, body) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as hash_word
 
-from tessera.llm.common import TABLE_PARTS, checkpointed, coded_words, column_of, give_back, mix64, removed, slices, small_batches, stage_path, staged, table_sum
+from tessera.llm.common import TABLE_PARTS, checkpointed, coded_words, column_of, give_back, mix64, removed, slices, small_batches, stage_path, staged, table_sum, tidy, trim
 from tessera.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -222,7 +222,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, idf, threshol
                 held = {y: fresh.get(y) or held[y] for y in b[-1:]}
                 yield pa.RecordBatch.from_pydict({"a": a, "b": b, "alike": alike})
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, alike boolean")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(tidy(compare), "a long, b long, alike boolean")
 
 
 def block_links(texts: pa.Array, other: pa.Array, labels: np.ndarray, other_labels: np.ndarray, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -330,6 +330,7 @@ def _pool_links(open_rows: DataFrame, nodes: DataFrame, rows: DataFrame, idf, th
         a, b = table.filter(asks), table.filter(pc.invert(asks))
         column = lambda t, c: t[c].combine_chunks()
         i, j = block_links(column(a, "text"), column(b, "text"), a["label"].to_numpy(), b["label"].to_numpy(), idf.value, threshold) if a.num_rows and b.num_rows else (np.zeros(0, np.int64),) * 2
+        trim()
         return pa.table({"a": a["node"].to_numpy()[i], "b": b["node"].to_numpy()[j]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return sent.groupBy("pool", "line", "column").applyInArrow(compare, "a long, b long")
@@ -352,7 +353,7 @@ def _signed(rows: DataFrame, idf, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(columns | {"bands": keyed})
 
     drawn = [f"s{i}" for i in range(SKETCH_WORDS)]
-    signed = rows.mapInArrow(sign, f"doc_id long, h long, g long, size long, {', '.join(f'{c} long' for c in drawn)}, bands array<long>")
+    signed = rows.mapInArrow(tidy(sign), f"doc_id long, h long, g long, size long, {', '.join(f'{c} long' for c in drawn)}, bands array<long>")
     each = signed.groupBy("h", "g").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", *drawn, "bands")])
     return staged(each.withColumn("node", F.monotonically_increasing_id()), "nodes", folder)
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, column_of, slices, small_batches, stage_path
+from tessera.llm.common import checkpointed, column_of, slices, small_batches, stage_path, tidy
 from tessera.llm.tokens import TEXT_BYTES, closed, encoder
 
 CAPACITY, END_ID = 4096, 2
@@ -87,7 +87,7 @@ def write_pieces(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     spark = docs.sparkSession
     small_batches(spark)
     path = path or stage_path(spark, "pieces")
-    docs.select(F.col("doc_id").cast("long").alias("doc_id"), column_of(docs, "text", "string").alias("text")).mapInArrow(cut, PIECES).write.option("compression", "zstd").parquet(path)
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), column_of(docs, "text", "string").alias("text")).mapInArrow(tidy(cut), PIECES).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(PIECES).parquet(path)
 
 

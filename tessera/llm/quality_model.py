@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as hash_word
 
-from tessera.llm.common import coded_words, column_of, give_back, slices, small_batches, table_sum
+from tessera.llm.common import coded_words, column_of, give_back, slices, small_batches, table_sum, tidy
 from tessera.llm.toxicity import sample
 
 #: Words are hashed into a table of fixed size (2 MB of vectors); words of a bucket share a vector.
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> QualityModel:
                 x = pooled(part.column("text"), sent.value)
                 yield pa.RecordBatch.from_pydict({"nth": part.column("nth"), "y": part.column("y"), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))})
 
-    table = sampled.mapInArrow(pool, "nth long, y int, x array<double>").orderBy("nth").toArrow()
+    table = sampled.mapInArrow(tidy(pool), "nth long, y int, x array<double>").orderBy("nth").toArrow()
     sent.destroy()
     x = table["x"].combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
     return fit(vectors, x, table["y"].to_numpy().astype(np.float64))
@@ -206,4 +206,4 @@ def scored(docs: DataFrame, model, *carried: Column, name: str = "score") -> Dat
                 values = sent.value.scores(part.column("__text"))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(values, pa.float64())], [*names, name])
 
-    return rows.mapInArrow(score, rows.drop("__text").withColumn(name, F.lit(0.0)).schema)
+    return rows.mapInArrow(tidy(score), rows.drop("__text").withColumn(name, F.lit(0.0)).schema)

@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, mixing, near_dedup, packing, pii, quality_model, quality_rules, token_files, topk, toxicity
+from tessera.llm.common import give_back
 from tessera.llm.oracles import ORACLES
 from tessera.llm.queries import QUERIES, tokenizer_path
 from tessera.llm.tokens import WordEncoder
@@ -786,3 +787,32 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, none, tmp_path):
     assert by_doc == want
     kept = Counter(map(key, stages["quality classifier"](spark, odd, str(tmp_path)).collect()))
     assert not kept - every and all(n == every[k] for k, n in kept.items())
+
+
+def test_workers_give_back_what_their_tasks_freed(spark, tmp_path):
+    """A worker that ran the Python tasks of the pipeline's stages has little left to return."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(60_000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=2500)), "en", "s1", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+
+    def probe(batches):
+        import time
+
+        for _ in batches:
+            pass
+        time.sleep(1)  # so that each of the workers is asked
+        held = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+        before = held()
+        give_back()
+        yield pa.RecordBatch.from_pydict({"mb": [before - held()]})
+
+    def left():
+        return max(r.mb for r in spark.range(0, 4, 1, 4).mapInArrow(probe, "mb double").collect())
+
+    near_dedup.document_frequencies(docs)
+    assert left() < 12
+    quality_model.word_vectors(docs)
+    assert left() < 12
+    packing.write_pieces(docs, tokenizer_path(), str(tmp_path / "pieces"))
+    assert left() < 12
