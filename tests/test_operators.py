@@ -253,6 +253,29 @@ def test_renames_compare_classes_of_contents_first(spark, monkeypatch):
     assert sum(got[i] != w for i, w in want.items()) <= 2  # sums that differ in their last bit
 
 
+def test_notifications_take_little_disk_when_written(spark, tmp_path):
+    changes = spark.range(2_000).select("id", F.lit("p").alias("project"), (F.col("id") % 3_600).alias("author"))
+    told = spark.range(3_000).select(F.lit("p").alias("project"), F.col("id").alias("subscriber"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for larger tables
+    try:
+        layers.notifications(changes, told).select("id", "subscriber").write.option("compression", "snappy").parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    n = 2_000 * 3_000 - sum(i % 3_600 < 3_000 for i in range(2_000))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == n
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.6 * n
+
+
+def test_notifications_of_more_subscribers_than_a_block(spark):
+    changes = spark.range(12).select("id", F.when(F.col("id") % 3 == 0, "q").otherwise("p").alias("project"), F.when(F.col("id") > 1, F.col("id") * 7).alias("author"))
+    told = spark.range(layers.PARTS * layers.BLOCK + 900).select(F.explode(F.array(F.lit("p"), F.lit("q"), F.lit("r"))).alias("project"), F.when(F.col("id") != 50, F.col("id")).alias("subscriber"))
+    told = told.filter("project <> 'q' OR subscriber = 21 OR subscriber = 42").unionByName(told.filter("subscriber < 9"))
+    plain = changes.join(told.distinct(), "project").filter("subscriber <> author")
+    out = layers.notifications(changes, told)
+    assert out.columns == plain.columns and out.count() == plain.count() > 30_000
+    assert not out.exceptAll(plain).count()
+
+
 def test_empty_layers(spark):
     none = frame(spark, [], "id long, v string")
     assert layers.applied(none, frame(spark, [], "id long, v string, op string")).count() == 0
